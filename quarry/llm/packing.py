@@ -37,55 +37,96 @@ QUERY_TERMS = 8
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _END = " end "  # no word has a space
+_MARK = "\x02"
 
 
 class WordEncoder:
     """Token ids of texts, by the public tokenizer, with each distinct word encoded once.
 
     The tokenizer never joins across white space, so a text's ids are those of its pieces
-    between spaces and line feeds, one after the other.
+    between spaces and line feeds, one after the other. It lower-cases, so texts of Latin-1
+    characters, whose lower case depends on no neighbour, are lower-cased before the split.
+    The table of words outlives a task: a Python worker keeps it until it grows too large.
     """
 
-    MOST = 300_000
+    MOST, MOST_CHARS = 1_000_000, 16 << 20
+    kept: dict[str, WordEncoder] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self._ids(_MARK)
         self._reset()
 
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
+
     def _reset(self) -> None:
         self.codes, self.stored = _Codes(), 0
-        self.ids, self.ends = array("I", [END_ID]), array("q", [0, 1])
+        self.ids, self.ends = array("i", [END_ID]), array("i", [0, 1])
         self.codes[_END] = 0
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words in one text, between marks that no other text encodes to."""
+        if any(_MARK in w for w in words) or len(self.mark) != 1:
+            parts = [self._ids(w) for w in words]
+            found = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            ends = np.cumsum([len(x) for x in parts])
+        else:
+            found = self._ids(f" {_MARK} ".join(words))
+            cut = np.flatnonzero(found == self.mark[0])
+            found = np.delete(found, cut)
+            ends = np.append(cut - np.arange(len(cut)), len(found))
+        base = len(self.ids)
+        self.ids.frombytes(found.astype(np.int32).tobytes())
+        self.ends.frombytes((ends + base).astype(np.int32).tobytes())
+        self.stored += sum(map(len, words))
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's closed by ``END_ID``, and the texts' offsets in them."""
-        if len(self.codes) > self.MOST or self.stored > 32 << 20:
+        if len(self.codes) > self.MOST or self.stored > self.MOST_CHARS:
             self._reset()
         words: list[str] = []
         upto = np.zeros(len(texts) + 1, dtype=np.int64)
         for i, t in enumerate(texts):
             if t:
+                if _is_latin(t):
+                    t = t.lower()
                 words += t.replace("\n", " ").split(" ")
             words.append(_END)
             upto[i + 1] = len(words)
-        code = np.fromiter(map(self.codes.__getitem__, words), dtype=np.int64, count=len(words))
+        code = np.fromiter(map(self.codes.__getitem__, words), dtype=np.int32, count=len(words))
         if fresh := self.codes.fresh:
-            for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False):
-                self.ids.extend(e.ids)
-                self.ends.append(len(self.ids))
-            self.stored += sum(map(len, fresh))
-            fresh.clear()
-        table, ends = np.array(self.ids, dtype=np.uint32), np.array(self.ends, dtype=np.int64)
+            for at in range(0, len(fresh), 20_000):
+                self._learn(fresh[at : at + 20_000])
+            self.codes.fresh = []
+        table, ends = np.array(self.ids, dtype=np.int32), np.array(self.ends, dtype=np.int32)
         first = ends[code]
         length = ends[code + 1] - first
-        total = np.zeros(len(code) + 1, dtype=np.int64)
+        total = np.zeros(len(code) + 1, dtype=np.int32)
         np.cumsum(length, out=total[1:])
-        at = np.repeat(first - total[:-1], length)
-        at += np.arange(len(at))
-        return table[at], total[upto]
+        first -= total[:-1]
+        at = np.repeat(first, length)
+        at += np.arange(len(at), dtype=np.int32)
+        return table[at].view(np.uint32), total[upto].astype(np.int64)
+
+
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class _Codes(dict):
@@ -234,7 +275,7 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Pieces of all documents: see ``SCHEMA``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = WordEncoder.of(tokenizer_path)
         packer = Packer(TaskContext.get().partitionId() << 40)
         tokens = rows = 0
         for batch in slices(batches, "text", 2 << 20):
