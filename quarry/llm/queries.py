@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, pairwise_quality, quality_rules, suffix_dedup
+from . import jaccard_join, packing, pairwise_quality, quality_rules, suffix_dedup, topk_search
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,6 +23,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -41,11 +45,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_exact_topk": op3_exact_topk,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_exact_topk": topk_search.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
 }
