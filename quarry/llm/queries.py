@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, pairwise_quality, quality_rules, suffix_dedup, topk_search
+from . import jaccard_join, packing, page_text, pairwise_quality, quality_rules, suffix_dedup, topk_search
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,6 +39,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op9_html_extraction": op9_html_extraction,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
