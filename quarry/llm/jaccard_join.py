@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ from .storage import exchange_width, materialize
 from .textops import U64, Words, lower_ascii, mix, slices, string_buffer
 
 SKETCH_BITS = 18
+PART_BITS = 8
+SLICE = 2 << 20
 ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("fp", "<u8"), ("n", "<i4"), ("pos", "<i4")])
 
 
@@ -64,7 +67,7 @@ def least_overlap(n: int, percent: int) -> int:
 def _measure(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             sets = shingle_sets(*string_buffer(batch.column(1)), size)
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
@@ -94,7 +97,7 @@ def _prefixes(size: int, percent: int, rarity, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, rows, seen = [], 0, set()
         order = rarity.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids = batch.column(0).to_pylist()
             for doc, s in zip(ids, shingle_sets(*string_buffer(batch.column(1)), size), strict=True):
                 n = len(s)
@@ -180,14 +183,33 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (n1 + n2 - common)
 
 
+def _may_link(percent: int):
+    """Suffix filter without the suffixes: sets meet only part by part, so the smaller counts bound the overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u, v = (np.frombuffer(b"".join(unpack(x.as_py()) for x in batch.column(c)), "<u2").reshape(batch.num_rows, -1) for c in ("parts_u", "parts_v"))
+            n = sum(batch.column(c).to_numpy() for c in ("n_u", "n_v"))
+            full = ((u == 65535) | (v == 65535)).any(axis=1)
+            ok = full | ((100 + percent) * np.minimum(u, v).sum(axis=1, dtype=np.int64) >= percent * n)
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    return run
+
+
 def _verify(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None  # rows of one centre mostly come together
-        for batch in slices(slices(batches, "text_u"), "text_v"):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in slices(batches, "packed_u", SLICE // 4):
             u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left = shingle_sets(*string_buffer(batch.column(2)), size)
+            sets = lambda packed: shingle_sets(*string_buffer(pa.array([unpack(x.as_py()) for x in packed], pa.binary())), size)
+            left = sets(batch.column(2))
             fresh = [i for i in range(len(v)) if (v[i - 1] if i else last) != v[i]]
-            right = dict(zip(fresh, shingle_sets(*string_buffer(batch.column(3).take(pa.array(fresh, pa.int64()))), size), strict=True))
+            right = dict(zip(fresh, sets(batch.column(3).take(pa.array(fresh, pa.int64()))), strict=True))
             good = []
             for i in range(len(v)):
                 held = right.get(i, held)
@@ -212,8 +234,15 @@ def _slot(ids: pa.Array, width: int) -> np.ndarray:
     return (mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(U64)) & U64(width - 1)).astype(np.int64)
 
 
-def texts_of(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``, and some more: a filter of bounded size, without a shuffle of texts."""
+def parted(s: np.ndarray) -> np.ndarray:
+    """How many of a set's n-grams fall into each part of the hash space."""
+    return np.bincount((s >> U64(64 - PART_BITS)).astype(np.int64), minlength=1 << PART_BITS)
+
+
+def texts_of(spark: SparkSession, docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, parts, packed) of the documents in ``ids``, and some more: a filter of bounded
+    size finds them without a shuffle of texts. ``parts`` counts the set's n-grams by part of
+    the hash space, ``packed`` is the compressed text."""
     width = min(1 << 28, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
     parts = ids.repartition(8).mapInArrow(_bits(width), "bits binary").collect()
     bits = np.zeros(width // 8, dtype=np.uint8)
@@ -222,11 +251,19 @@ def texts_of(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in slices(batches, "text", SLICE):
             slot = _slot(batch.column(0), width)
-            yield batch.filter(pa.array((shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
+            batch = batch.filter(pa.array((shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
+            if not batch.num_rows:
+                continue
+            raw, offsets = string_buffer(batch.column(1))
+            whole, sets = raw.tobytes(), shingle_sets(raw, offsets, size)
+            parts = [pack(np.minimum(parted(s), 65535).astype("<u2").tobytes()) for s in sets]
+            packed = [pack(whole[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(parts, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "n", "parts", "packed"])
 
-    return materialize(docs.where("doc_id is not null").mapInArrow(run, docs.schema), "jaccard-texts")
+    return materialize(docs.where("doc_id is not null").mapInArrow(run, "doc_id long, n long, parts binary, packed binary"), "jaccard-texts")
 
 
 def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -235,7 +272,7 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     measured = materialize(docs.mapInArrow(_measure(size), "doc_id long, n long, fp binary, counts binary"), "jaccard-sets")
     own = measured.where("fp is not null")
-    classes = own.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"))
+    classes = own.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     rarity = spark.sparkContext.broadcast(document_counts(measured)) if measured.where("counts is not null").take(1) else None
     if rarity is None:
         return own.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -243,7 +280,7 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     found = materialize(dealt.groupBy("bucket").applyInArrow(_groups(percent), FOUND), "jaccard-groups")
 
     stars = materialize(found.where("doc != centre").groupBy(F.col("doc").alias("u"), F.col("centre").alias("v")).agg(F.max("passes").alias("passes")), "jaccard-stars")
-    texts = texts_of(spark, docs, found.select("doc").distinct())
+    texts = texts_of(spark, docs, found.select("doc").distinct(), size)
     first = materialize(verify(stars.where("passes").select("u", "v"), texts, size, percent), "jaccard-links")
     joined = components(first)
 
@@ -269,7 +306,10 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
         if second.take(1):
             joined = components(first.union(second))
     # A class of equal sets went by one of its documents; its name, and its component's, is the least of all.
-    named = own.join(classes, "fp", "left").select("doc_id", "n", "class_id")
+    # Copies of one text share a key: it is salted, with a class row for each grain of salt.
+    salted = classes.where("copies > 1").select("fp", "class_id", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt"))
+    named = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")).join(salted, ["fp", "salt"], "left")
+    named = named.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).alias("class_id"))
     nodes = joined.union(joined.select(F.col("v").alias("u"), "v").distinct())
     nodes = materialize(nodes.join(named.select(F.col("doc_id").alias("u"), "class_id").distinct(), "u").select("class_id", "v"), "jaccard-nodes")
     least = nodes.groupBy("v").agg(F.min("class_id").alias("_to"))
@@ -278,9 +318,11 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that link."""
-    t = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
-    both = pairs.join(t("u"), "u").join(t("v"), "v").select("u", "v", "text_u", "text_v")
+    """The pairs (u, v) that link. Texts travel only for pairs whose part counts let them."""
+    t = lambda k, *more: texts.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in more])
+    counts = pairs.join(t("u", "n", "parts"), "u").join(t("v", "n", "parts"), "v").select("u", "v", "n_u", "n_v", "parts_u", "parts_v")
+    pairs = materialize(counts.mapInArrow(_may_link(percent), "u long, v long"), "jaccard-candidates")
+    both = pairs.join(t("u", "packed"), "u").join(t("v", "packed"), "v").select("u", "v", "packed_u", "packed_v")
     return both.mapInArrow(_verify(size, percent), "u long, v long").distinct()
 
 
