@@ -152,7 +152,7 @@ def _anchors(length: int, buckets: int):
     reach = length - ANCHOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 6 << 20):
+        for batch in slices(batches, "text", 3 << 20):
             raw, offsets = string_buffer(batch.column(1))
             at, row, h = spots(raw, offsets, length)
             if not len(at):
@@ -336,8 +336,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 4 * exchange_width(spark)
-    homes = max(buckets, size // (8 << 20)) | 1
+    # A home holds about 8 MB of text, a bucket about as much of anchors; rows are one blob per pair of them.
+    buckets = max(exchange_width(spark), size // (16 << 20))
+    homes = max(exchange_width(spark), size // (8 << 20)) | 1
     anchors = docs.where("doc_id is not null").mapInArrow(_anchors(length, buckets), DEALT)
     families = materialize(anchors.groupBy("bucket").applyInArrow(_families(homes), DEALT), "suffix-families")
     at_home = docs.withColumn("home", home_column(homes))
