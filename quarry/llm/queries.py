@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, page_text, pairwise_quality, quality_rules, suffix_dedup, topk_search
+from . import jaccard_join, lm_scoring, packing, page_text, pairwise_quality, quality_rules, suffix_dedup, topk_search
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,6 +39,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return lm_scoring.score(table(spark, sf_dir, "documents"), good)
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(table(spark, sf_dir, "pages"))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_lm_scoring": op7_lm_scoring,
     "op9_html_extraction": op9_html_extraction,
     "op10_packing": op10_packing,
 }
