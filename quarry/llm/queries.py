@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, lm_scoring, packing, page_text, pairwise_quality, quality_rules, suffix_dedup, topk_search
+from . import jaccard_join, language_id, lm_scoring, packing, page_text, pairwise_quality, quality_rules, suffix_dedup, topk_search
 
 
 def tokenizer_path(name: str) -> str:
@@ -44,6 +44,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), good)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_language_id": op8_language_id,
     "op9_html_extraction": op9_html_extraction,
     "op10_packing": op10_packing,
 }
