@@ -156,8 +156,8 @@ def identify(pages: DataFrame, docs: DataFrame, sample_rows: int = 3000) -> Data
         return F.log(value)
 
     met = seen.join(priors, "host", "left").withColumn("d", spoken)
-    logs_of = F.array(*[smoothed(i) + F.col("text")[i] + F.when(F.col("d").isNull(), 0.0).otherwise(table[F.col("d")][i]) for i in range(k)])
-    best = met.withColumn("_log", logs_of).withColumn("_top", F.array_max("_log"))
-    mass = F.aggregate("_log", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
+    score = lambda i: smoothed(i) + F.col("text")[i] + F.when(F.col("d").isNull(), 0.0).otherwise(table[F.col("d")][i])
+    ranked = met.withColumn("_all", F.array(*[F.struct(score(i).alias("log"), F.lit(-i).alias("back")) for i in range(k)])).withColumn("_top", F.array_max("_all"))
+    mass = F.aggregate("_all", F.lit(0.0), lambda a, x: a + F.exp(x["log"] - F.col("_top.log")))
     named = F.array(*[F.lit(x) for x in languages])
-    return best.select("page_id", "url", named[F.array_position("_log", F.col("_top")).cast("int") - 1].alias("lang"), (1 / mass).alias("probability"), named[F.col("vote")].alias("text_lang"), "declared")
+    return ranked.select("page_id", "url", F.get(named, -F.col("_top.back")).alias("lang"), (1 / mass).alias("probability"), F.get(named, F.col("vote")).alias("text_lang"), "declared")
