@@ -1,4 +1,9 @@
-"""All registered queries of the reference's own operators and their SQL."""
+"""All registered queries of the engine and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from quarry.plans import relational
+
+MODULES = (relational,)
+QUERIES = {name: query for m in MODULES for name, query in m.R.queries.items()}
+ORACLE_SQL = {name: text for m in MODULES for name, text in m.R.oracle.items()}
