@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from quarry.functions import catalog as functions
+from quarry.operators import queries as blocks
 from quarry.plans import aggregates, relational
 
-MODULES = (relational, aggregates, functions)
+MODULES = (blocks, relational, aggregates, functions)
 QUERIES = {name: query for m in MODULES for name, query in m.R.queries.items()}
 ORACLE_SQL = {name: text for m in MODULES for name, text in m.R.oracle.items()}
