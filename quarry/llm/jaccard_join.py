@@ -36,11 +36,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import exchange_width, materialize
-from .textops import U64, Words, lower_ascii, mix, slices, string_buffer
+from .textops import SLICE, U64, Words, lower_ascii, mix, slices, string_buffer
 
 SKETCH_BITS = 18
 PART_BITS = 8
-SLICE = 2 << 20
 ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("fp", "<u8"), ("n", "<i4"), ("pos", "<i4")])
 
 

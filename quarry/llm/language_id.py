@@ -39,6 +39,7 @@ BITS = 16
 STRENGTH = 5.0
 TEMPER = 0.3
 SMOOTH = 0.5
+SALT = 64
 HTML_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})\b", re.I)
 META_LANG = re.compile(r"<meta\b[^>]*?(?:content-language|og:locale)[\"']?[^>]*?\bcontent\s*=\s*[\"']?([a-zA-Z]{2,3})\b", re.I)
 
@@ -95,7 +96,7 @@ def declared(page: str | None) -> str | None:
 def _weigh(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = model.value
-        for batch in slices(batches, "html", 2 << 20):
+        for batch in slices(batches, "html"):
             pages = batch.column(2).to_pylist()
             raw, offsets = string_buffer(pa.array([main_text(p) for p in pages], pa.string()))
             text = np.zeros((len(pages), len(logs)))
@@ -155,7 +156,10 @@ def identify(pages: DataFrame, docs: DataFrame, sample_rows: int = 3000) -> Data
             value = (counts[i] - own(i) + STRENGTH * value) / (whole + STRENGTH)
         return F.log(value)
 
-    met = seen.join(priors, "host", "left").withColumn("d", spoken)
+    # A host may hold a third of all pages: its priors are repeated for each grain of salt.
+    grains = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = seen.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
+    met = salted.join(grains, ["host", "salt"], "left").withColumn("d", spoken)
     score = lambda i: smoothed(i) + F.col("text")[i] + F.when(F.col("d").isNull(), 0.0).otherwise(table[F.col("d")][i])
     ranked = met.withColumn("_all", F.array(*[F.struct(score(i).alias("log"), F.lit(-i).alias("back")) for i in range(k)])).withColumn("_top", F.array_max("_all"))
     mass = F.aggregate("_all", F.lit(0.0), lambda a, x: a + F.exp(x["log"] - F.col("_top.log")))

@@ -157,7 +157,7 @@ def _hash(x: str) -> int:
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, path, kind, value): a page's distinct contents (0) and presentation (1) at each node."""
-    for batch in slices(batches, "html", 2 << 20):
+    for batch in slices(batches, "html"):
         rows = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if host is None or not page:
@@ -215,7 +215,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = salted.join(noise, ["_host", "_salt"], "left").select("page_id", "url", "html", "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "html", 2 << 20):
+        for batch in slices(batches, "html"):
             text = [main_text(p, frozenset(r or ())) for p, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+SLICE = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -57,9 +58,13 @@ def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that one holds about ``limit`` bytes of ``column``, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that one holds about ``limit`` bytes of ``column``, one row at least.
+
+    Work on a slice takes some tens of bytes per byte of text, so small slices bound a worker's memory.
+    """
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         if not batch.num_rows:
             continue
         _, offsets = string_buffer(batch.column(batch.schema.get_field_index(column)))
