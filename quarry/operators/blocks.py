@@ -128,17 +128,19 @@ def read_any(spark: SparkSession, path: str, kind: str | None = None, **options:
 
 
 class BlockReader:
-    """Reads files so that one file is one partition, never cut and never packed with others."""
+    """Reads files so that one file is one partition, never cut and never packed with others.
+
+    The two settings that see to that hold in a session of the reader's own.
+    """
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.reader = spark.read
+        self.spark = spark.newSession()
         for key in ("maxPartitionBytes", "openCostInBytes"):
-            self.reader = self.reader.option(key, WHOLE_FILE)
+            self.spark.conf.set(f"spark.sql.files.{key}", WHOLE_FILE)
 
     def load(self, path: str | list[str], kind: str | None = None, **options: str) -> DataFrame:
         """The files' rows; ``block_id`` numbers the files by name."""
-        df = self.reader.format(kind or file_type(path if isinstance(path, str) else path[0])).options(**options).load(path)
+        df = self.spark.read.format(kind or file_type(path if isinstance(path, str) else path[0])).options(**options).load(path)
         name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
         names = sorted({os.path.basename(f) for f in df.inputFiles()})
         return df.withColumn(BLOCK, F.array_position(F.array(*[F.lit(x) for x in names]), name) - 1) if names else df.withColumn(BLOCK, F.lit(0).cast("long"))
