@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import exchange_width, materialize
+from .storage import exchange_width, materialize, small_batches
 from .textops import SLICE, U64, Words, lower_ascii, mix, slices, string_buffer
 
 SKETCH_BITS = 18
@@ -268,6 +268,7 @@ def texts_of(spark: SparkSession, docs: DataFrame, ids: DataFrame, size: int) ->
 def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     measured = materialize(docs.mapInArrow(_measure(size), "doc_id long, n long, fp binary, counts binary"), "jaccard-sets")
     own = measured.where("fp is not null")

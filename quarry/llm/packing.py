@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .textops import slices
+from .textops import kept, slices
 
 WINDOW = 4096
 END_ID = 2
@@ -50,7 +50,6 @@ class WordEncoder:
     """
 
     MOST, MOST_CHARS = 1_000_000, 16 << 20
-    kept: dict[str, WordEncoder] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,12 +59,6 @@ class WordEncoder:
         self.mark = self._ids(_MARK)
         self._reset()
 
-    @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        if path not in cls.kept:
-            cls.kept[path] = cls(path)
-        return cls.kept[path]
-
     def _reset(self) -> None:
         self.codes, self.stored = _Codes(), 0
         self.ids, self.ends = array("i", [END_ID]), array("i", [0, 1])
@@ -275,10 +268,11 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Pieces of all documents: see ``SCHEMA``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.of(tokenizer_path)
+        name = f"packing {tokenizer_path}"
+        encoder = kept(name, lambda: WordEncoder(tokenizer_path))
         packer = Packer(TaskContext.get().partitionId() << 40)
         tokens = rows = 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", keep=name):
             ids, offsets = encoder.encode(batch.column(1).to_pylist())
             packer.add(batch.column(0).to_pylist(), ids, offsets)
             tokens, rows = tokens + len(ids), rows + batch.num_rows

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textops import slices
+from .textops import kept, slices
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -188,7 +188,6 @@ class Encoder:
     """Encodes batches of texts; words are remembered across the batches of a worker."""
 
     MOST, MOST_CHARS, LONG = 1_000_000, 24 << 20, 64
-    kept: dict[str, Encoder] = {}
 
     def __init__(self, model: Model):
         self.model = model
@@ -196,9 +195,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        if path not in cls.kept:
-            cls.kept[path] = cls(Model(path))
-        return cls.kept[path]
+        return kept(f"pieces {path}", lambda: cls(Model(path)))
 
     def _reset(self) -> None:
         self.codes, self.stored, self.ids, self.ends = _Codes(), 0, array("i"), array("i", [0])
@@ -267,7 +264,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(model_path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", keep=f"pieces {model_path}"):
             ids, offsets = encoder.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
 
@@ -293,7 +290,7 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(model_path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", keep=f"pieces {model_path}"):
             texts = batch.column(1).to_pylist()
             ids, offsets = encoder.encode(texts)
             back = decode(encoder.model, ids, offsets)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, small_batches
 from .textops import SPACE, Words, counts_by_row, mix, slices, string_buffer
 
 SYMBOLS = b"#*$%&|<>"
@@ -155,6 +155,7 @@ def fences(sketch: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per row: the base counts, ``base_failed`` and ``kept``."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias(key), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     schema = rows.drop("text").schema
     for c in COUNTS:

@@ -6,7 +6,7 @@ so byte positions and character positions cut the same words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 BYTE_VALUES = np.random.RandomState(20260101).randint(1, 2**63 - 1, size=256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
 _powers: dict[str, np.ndarray] = {}
+_kept: dict[str, object] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,11 +59,22 @@ def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+def kept(key: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task, one thing at a time: see ``slices``."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE, keep: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that one holds about ``limit`` bytes of ``column``, one row at least.
 
     Work on a slice takes some tens of bytes per byte of text, so small slices bound a worker's memory.
+    Workers serve one operator after another; what another one kept under another name than ``keep`` goes.
     """
+    for key in [k for k in _kept if k != keep]:
+        del _kept[key]
     for batch in batches:
         pa.default_memory_pool().release_unused()
         if not batch.num_rows:
