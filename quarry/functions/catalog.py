@@ -126,3 +126,25 @@ def fn_engine_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fn_input_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = load(spark, sf_dir, "region")
     return r.select("r_regionkey", F.input_file_name().contains("region.parquet").alias("named"), ((F.input_file_block_start() >= 0) & (F.input_file_block_length() > 0)).alias("placed"))
+
+
+R.sql(
+    "fn_more_math",
+    "SELECT id, bround(id / 4.0D, 1) AS br, rint(id / 3.0D) AS ri, round(expm1(id / 10.0D), 9) AS e1, round(log1p(id), 9) AS l1, round(cosh(id / 5.0D), 6) AS ch, round(tanh(id / 5.0D), 9) AS th, shiftrightunsigned(id, 1) AS su, signum(id - 4) AS sg, round(log(2, id + 1), 9) AS lb FROM range(0, 10)",
+    "SELECT range AS id, round_even(range / 4.0::DOUBLE, 1) AS br, round_even(range / 3.0::DOUBLE, 0) AS ri, round(exp(range / 10.0::DOUBLE) - 1, 9) AS e1, round(ln(1 + range), 9) AS l1, round(cosh(range / 5.0::DOUBLE), 6) AS ch, round(tanh(range / 5.0::DOUBLE), 9) AS th, range >> 1 AS su, sign(range - 4)::DOUBLE AS sg, round(ln(range + 1) / ln(2), 9) AS lb FROM range(0, 10)",
+)
+R.sql(
+    "fn_more_array",
+    "SELECT n_nationkey, array_join(sequence(1, n_regionkey + 1), ',') AS s, arrays_zip(array(n_nationkey), array(n_name))[0]['1'] AS z, map_from_entries(array(struct('k', n_nationkey)))['k'] AS m, size(array_remove(array(1, 2, n_regionkey), n_regionkey)) AS rm, array_join(array_sort(array(n_regionkey, 1, 9)), ',') AS so, cardinality(array(1, 2)) AS ca, array_join(shuffle(array(7)), '') AS sh, array_join(array_compact(array(n_regionkey, null)), ',') AS ac FROM nation",
+    "SELECT n_nationkey, array_to_string(range(1, n_regionkey + 2), ',') AS s, n_name AS z, n_nationkey AS m, len(list_filter([1, 2, n_regionkey], lambda x: x <> n_regionkey))::INTEGER AS rm, array_to_string(list_sort([n_regionkey, 1, 9]), ',') AS so, 2 AS ca, '7' AS sh, n_regionkey::VARCHAR AS ac FROM nation",
+)
+R.sql(
+    "fn_time_window",
+    "SELECT CAST(unix_timestamp(window.start) AS BIGINT) AS start, count(*) AS n FROM (SELECT CAST(ts AS TIMESTAMP) AS t FROM events) e GROUP BY window(t, '6 hours')",
+    "SELECT epoch_us(ts) // 1000000 // 21600 * 21600 AS start, count(*) AS n FROM events GROUP BY 1",
+)
+R.sql(
+    "fn_date_trunc",
+    "SELECT event_id, date_format(date_trunc('HOUR', ts), 'yyyy-MM-dd HH:mm:ss') AS h, date_format(date_trunc('WEEK', ts), 'yyyy-MM-dd') AS w, make_date(2020, 2, 29) = DATE '2020-02-29' AS md, CAST(timestampdiff(MINUTE, date_trunc('HOUR', ts), ts) AS BIGINT) AS m FROM events",
+    "SELECT event_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS h, strftime(date_trunc('week', ts), '%Y-%m-%d') AS w, true AS md, minute(ts)::BIGINT AS m FROM events",
+)

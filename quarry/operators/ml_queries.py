@@ -191,3 +191,36 @@ def ml_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mf_sets():
     """Twins have equal sets of five of a hundred elements."""
     return array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.when(F.pmod(F.xxhash64("twin", k), F.lit(20)) == 0, 1.0).otherwise(F.when(k == F.col("twin"), 1.0).otherwise(0.0)))).alias("v")
+
+
+@R.frame("SELECT round(avg(1 / sqrt(2 * pi()) / 5 * exp(0 - ((p_size - 20) / 5.0::DOUBLE) ** 2 / 2)), 8) AS at_20, round(avg(1 / sqrt(2 * pi()) / 5 * exp(0 - ((p_size - 40) / 5.0::DOUBLE) ** 2 / 2)), 8) AS at_40 FROM part")
+def ml_kernel_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaussian kernel density of a column at given points, as one aggregate."""
+    import math
+
+    at_ = lambda x, h=5.0: F.round(F.avg(F.exp(-(((F.col("p_size") - x) / h) ** 2) / 2)) / (math.sqrt(2 * math.pi) * h), 8)
+    return load(spark, sf_dir, "part").agg(at_(20).alias("at_20"), at_(40).alias("at_40"))
+
+
+@R.frame("WITH r AS (SELECT o_custkey AS q, o_orderpriority IN ('1-URGENT', '2-HIGH') AS hit, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders), c AS (SELECT *, sum(hit::INTEGER) OVER (PARTITION BY q ORDER BY k) AS hits, sum(hit::INTEGER) OVER (PARTITION BY q) AS total FROM r) SELECT round(avg(p3), 6) AS precision_at_3, round(avg(ap), 6) AS mean_average_precision FROM (SELECT q, sum(CASE WHEN k <= 3 AND hit THEN 1 ELSE 0 END) / 3.0::DOUBLE AS p3, coalesce(sum(CASE WHEN hit THEN hits / k::DOUBLE END) / max(total), 0) AS ap FROM c GROUP BY q)")
+def ml_ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = Window.partitionBy("q").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("q"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("hit"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("k"))
+    per = o.withColumn("hits", F.sum("hit").over(ranked)).groupBy("q").agg((F.sum(F.when(F.col("k") <= 3, F.col("hit")).otherwise(0)) / 3.0).alias("p3"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("hits") / F.col("k"))) / F.sum("hit"), F.lit(0.0)).alias("ap"))
+    return per.agg(F.round(F.avg("p3"), 6).alias("precision_at_3"), F.round(F.avg("ap"), 6).alias("mean_average_precision"))
+
+
+@R.frame("SELECT true AS fitted")
+def ml_generalised_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Poisson regression by iteratively reweighted least squares."""
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    o = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").cast("double").alias("label"), array_to_vector(F.array(F.avg("o_totalprice") / 1e5)).alias("features"))
+    m = GeneralizedLinearRegression(family="poisson", link="log", maxIter=10).fit(o)
+    return spark.createDataFrame([(bool(m.summary.deviance >= 0 and len(m.coefficients) == 1),)], "fitted boolean")
+
+
+@R.frame("SELECT label, top FROM (SELECT label, vec_id AS top, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS r FROM embeddings) WHERE r <= 3")
+def ml_top_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = F.row_number().over(Window.partitionBy("label").orderBy(F.desc(F.col("embedding")[0]), "vec_id"))
+    return load(spark, sf_dir, "embeddings").withColumn("r", r).where("r <= 3").select("label", F.col("vec_id").alias("top"))

@@ -177,3 +177,14 @@ def source_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_local_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = load(spark, sf_dir, "nation")
     return spark.createDataFrame(n.toPandas(), n.schema)
+
+
+@R.frame(NATION)
+def source_jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in an embedded database, written and read in bounded ranges of its key."""
+    url = f"jdbc:derby:{scratch(spark, sf_dir, 'derby').removeprefix('file:').replace('//', '/')};create=true"
+    n = load(spark, sf_dir, "nation")
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    n.coalesce(1).write.mode("overwrite").jdbc(url, "nation", properties=options)
+    read = spark.read.jdbc(url, "nation", column="n_nationkey", lowerBound=0, upperBound=25, numPartitions=3, properties=options)
+    return read.select(*[F.col(c).cast(n.schema[c].dataType) for c in n.columns])
