@@ -28,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .page_text import host_of, main_text
 from .storage import materialize
-from .textops import lower_ascii, slices, string_buffer
+from .textops import slices, string_buffer
 
 BITS = 16
 STRENGTH = 5.0
@@ -45,8 +46,8 @@ META_LANG = re.compile(r"<meta\b[^>]*?(?:content-language|og:locale)[\"']?[^>]*?
 
 
 def trigram_counts(raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """Each text's slots of lower-cased byte trigrams, digits as one."""
-    low = lower_ascii(raw).astype(np.uint32)
+    """Each lower-cased text's slots of byte trigrams, digits as one."""
+    low = raw.astype(np.uint32)
     low[(low >= 48) & (low <= 57)] = 48
     slot = np.zeros(0, np.int64)
     if len(low) > 2:
@@ -61,7 +62,7 @@ def _count(languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), 1 << BITS), dtype=np.int64)
         for batch in slices(batches, "text"):
-            for lang, slot in zip(batch.column(0).to_pylist(), trigram_counts(*string_buffer(batch.column(1))), strict=True):
+            for lang, slot in zip(batch.column(0).to_pylist(), trigram_counts(*string_buffer(pc.utf8_lower(batch.column(1)))), strict=True):
                 total[place[lang]] += np.bincount(slot, minlength=1 << BITS)
         some = [i for i in range(len(languages)) if total[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array([languages[i] for i in some], pa.string()), pa.array([total[i].tobytes() for i in some], pa.binary())], names=["lang", "counts"])
@@ -98,7 +99,7 @@ def _weigh(model):
         logs = model.value
         for batch in slices(batches, "html"):
             pages = batch.column(2).to_pylist()
-            raw, offsets = string_buffer(pa.array([main_text(p) for p in pages], pa.string()))
+            raw, offsets = string_buffer(pc.utf8_lower(pa.array([main_text(p) for p in pages], pa.string())))
             text = np.zeros((len(pages), len(logs)))
             for i, slot in enumerate(trigram_counts(raw, offsets)):
                 if len(slot):

@@ -51,8 +51,8 @@ class Measure:
 
 MEASURES = (
     Measure("symbols_per_word", "n_symbols", "n_words", 0.1),
-    Measure("repeated_words", "n_repeat_words", "n_words", 0.2),
-    Measure("repeated_lines", "n_dup_lines", "n_lines", 0.3),
+    Measure("repeated_words", "n_repeat_words", "n_words", 0.35),
+    Measure("repeated_lines", "n_dup_lines", "n_lines", 0.5),
     Measure("chars_per_word", "word_chars", "n_words", 2.0, low=True),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -213,8 +213,8 @@ WITH base AS (
 ), ratios AS (
   SELECT *, unnest([
     {{'measure': 'symbols_per_word', 'slack': 0.1::DOUBLE, 'low': false, 'x': n_symbols::DOUBLE / greatest(n_words, 1)}},
-    {{'measure': 'repeated_words', 'slack': 0.2::DOUBLE, 'low': false, 'x': n_repeat_words::DOUBLE / greatest(n_words, 1)}},
-    {{'measure': 'repeated_lines', 'slack': 0.3::DOUBLE, 'low': false, 'x': n_dup_lines::DOUBLE / greatest(n_lines, 1)}},
+    {{'measure': 'repeated_words', 'slack': 0.35::DOUBLE, 'low': false, 'x': n_repeat_words::DOUBLE / greatest(n_words, 1)}},
+    {{'measure': 'repeated_lines', 'slack': 0.5::DOUBLE, 'low': false, 'x': n_dup_lines::DOUBLE / greatest(n_lines, 1)}},
     {{'measure': 'chars_per_word', 'slack': 2.0::DOUBLE, 'low': true, 'x': word_chars::DOUBLE / greatest(n_words, 1)}}], recursive := true)
   FROM counted
 ), buckets AS (
