@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,9 +30,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Delete this process's stored tables, once no frame that reads them is wanted any more; how many went."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _made:
+        place = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(place.getFileSystem(conf).delete(place, True))
+    return gone
+
+
 def exchange_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
