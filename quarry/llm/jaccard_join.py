@@ -11,10 +11,12 @@ their first ``n - ceil(t n) + 1``. So only these prefixes are dealt out, by n-gr
 3. in each n-gram's group every member is paired with the least one only; pairs that
    pass the length and positional filters are verified once each, by the suffix filter
    and then by the whole intersection;
-4. where members of a group are still in different components, all their pairs across
-   components that pass the filters are verified too.
+4. where members of a group are still in different components, they meet other members,
+   one at random per turn, for some turns;
+5. what is left apart is joined pair by pair across components: pairs that pass the length
+   and positional filters and whose counts by part of the hash space let them are verified.
 
-Step 4 makes the components exact: two linked documents share a prefix n-gram, so either
+Step 5 makes the components exact: two linked documents share a prefix n-gram, so either
 they are already connected or they are one of its pairs. A group of thousands of near
 copies costs a star and not its square.
 
@@ -40,6 +42,8 @@ from .textops import SLICE, U64, Words, lower_ascii, mix, slices, string_buffer
 
 SKETCH_BITS = 18
 PART_BITS = 8
+COARSE = 32
+TURNS, FEW = 1, 8
 ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("fp", "<u8"), ("n", "<i4"), ("pos", "<i4")])
 
 
@@ -284,27 +288,31 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     first = materialize(verify(stars.where("passes").select("u", "v"), texts, size, percent), "jaccard-links")
     joined = components(first)
 
-    # Members of a group in different components: their pairs across components.
-    place = lambda df, key, out: df.join(joined.select(F.col("u").alias(key), F.col("v").alias("_to")), key, "left").withColumn(out, F.coalesce("_to", key)).drop("_to")
-    apart = place(place(stars.select("u", "v"), "u", "cu"), "v", "cv").where("cu != cv")
-    loose = materialize(apart.select(F.explode(F.array("u", "v")).alias("doc")).distinct(), "jaccard-loose")
-    if loose.take(1):
-        open_groups = found.join(loose, "doc", "left_semi").select("h").distinct()
-        member = place(found.join(open_groups, "h", "left_semi").select("h", "doc", "n", "pos"), "doc", "c")
-        mixed = member.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").select("h")
-        member = materialize(member.join(mixed, "h", "left_semi"), "jaccard-members")
-        other = member.select("h", *[F.col(x).alias(f"{x}2") for x in ("doc", "n", "pos", "c")])
-        need = F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent))
-        pairs = (
-            member.join(other, "h").where("c < c2")
-            .where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-            .where(F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
-            .select(F.greatest("doc", "doc2").alias("u"), F.least("doc", "doc2").alias("v")).distinct()
-        )
-        pairs = pairs.join(stars.where("passes").select("u", "v"), ["u", "v"], "left_anti")  # each pair once
-        second = materialize(verify(pairs, texts, size, percent), "jaccard-links")
-        if second.take(1):
-            joined = components(first.union(second))
+    # Members of a group in different components meet one of them at random, the same in all groups, turn by turn.
+    tested = stars.where("passes").select("u", "v")
+    member = mixed(found, stars, joined)
+    for turn in range(TURNS):
+        load = member.groupBy("h").agg(F.count("*").alias("k")).agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("pairs")).first()
+        if not load.rows or load.pairs <= FEW * load.rows:
+            break
+        centre = member.groupBy("h").agg(F.min_by(F.struct(*[F.col(x).alias(f"{x}2") for x in ("doc", "n", "pos", "c")]), F.xxhash64("doc", F.lit(turn))).alias("m")).select("h", "m.*")
+        met = materialize(candidates(member.join(centre, "h"), percent).join(tested, ["u", "v"], "left_anti"), "jaccard-met")
+        new = materialize(verify(met, texts, size, percent), "jaccard-links")
+        tested = tested.union(met)
+        if not new.take(1):
+            break
+        joined = components(joined.union(new))
+        member = mixed(member.drop("c"), None, joined)
+    # What is still apart is tried pair by pair, as far as the part counts let two sets link.
+    if member.take(1):
+        wide = member.join(coarse(texts), "doc")
+        other = wide.select("h", *[F.col(x).alias(f"{x}2") for x in ("doc", "n", "pos", "c")], *[F.col(f"p{i}").alias(f"q{i}") for i in range(COARSE)])
+        bound = sum((F.least(f"p{i}", f"q{i}") for i in range(COARSE)), F.lit(0))
+        near = (100 + percent) * bound >= percent * (F.col("n") + F.col("n2"))
+        met = candidates(wide.join(other, (wide["h"] == other["h"]) & (F.col("c") < F.col("c2")) & passing(percent) & near), percent)
+        new = materialize(verify(met.join(tested, ["u", "v"], "left_anti"), texts, size, percent), "jaccard-links")
+        if new.take(1):
+            joined = components(joined.union(new))
     # A class of equal sets went by one of its documents; its name, and its component's, is the least of all.
     # Copies of one text share a key: it is salted, with a class row for each grain of salt.
     salted = classes.where("copies > 1").select("fp", "class_id", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt"))
@@ -317,6 +325,47 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("_to", "class_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def placed_in(df: DataFrame, joined: DataFrame, key: str, out: str) -> DataFrame:
+    return df.join(joined.select(F.col("u").alias(key), F.col("v").alias("_to")), key, "left").withColumn(out, F.coalesce("_to", key)).drop("_to")
+
+
+def mixed(found: DataFrame, stars: DataFrame | None, joined: DataFrame) -> DataFrame:
+    """(h, doc, n, pos, c) of groups whose members are in several components c."""
+    if stars is not None:  # only groups with a star whose ends are apart come into question
+        apart = placed_in(placed_in(stars.select("u", "v"), joined, "u", "cu"), joined, "v", "cv").where("cu != cv")
+        loose = materialize(apart.select(F.explode(F.array("u", "v")).alias("doc")).distinct(), "jaccard-loose")
+        found = found.join(found.join(loose, "doc", "left_semi").select("h").distinct(), "h", "left_semi")
+    member = placed_in(found.select("h", "doc", "n", "pos"), joined, "doc", "c")
+    several = member.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").select("h")
+    return materialize(member.join(several, "h", "left_semi"), "jaccard-members")
+
+
+def passing(percent: int):
+    """Length and positional filter over n, pos and n2, pos2; see ``passes``."""
+    need = F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent))
+    return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
+
+
+def candidates(met: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (u, v) across components that pass the filters."""
+    return met.where("c != c2").where(passing(percent)).select(F.greatest("doc", "doc2").alias("u"), F.least("doc", "doc2").alias("v")).distinct()
+
+
+def coarse(texts: DataFrame) -> DataFrame:
+    """(doc, p0, p1, ...): part counts folded to ``COARSE`` parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            if batch.num_rows:
+                counts = np.frombuffer(b"".join(unpack(x.as_py()) for x in batch.column(1)), "<u2").reshape(batch.num_rows, COARSE, -1).astype(np.int64)
+                full = (counts == 65535).any(axis=(1, 2))
+                counts = np.where(full[:, None], 1 << 30, counts.sum(axis=2))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(counts[:, i], pa.int64()) for i in range(COARSE)]], names=["doc", *[f"p{i}" for i in range(COARSE)]])
+
+    return texts.select("doc_id", "parts").mapInArrow(run, "doc long, " + ", ".join(f"p{i} long" for i in range(COARSE))).dropDuplicates(["doc"])
+
+
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (u, v) that link. Texts travel only for pairs whose part counts let them."""
     t = lambda k, *more: texts.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in more])
