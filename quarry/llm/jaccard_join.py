@@ -305,7 +305,8 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
         member = mixed(member.drop("c"), None, joined)
     # What is still apart is tried pair by pair, as far as the part counts let two sets link.
     if member.take(1):
-        wide = member.join(coarse(texts), "doc")
+        # Stored, for else the optimizer joins members with members first and brings their counts in later.
+        wide = materialize(member.join(coarse(texts), "doc"), "jaccard-wide")
         other = wide.select("h", *[F.col(x).alias(f"{x}2") for x in ("doc", "n", "pos", "c")], *[F.col(f"p{i}").alias(f"q{i}") for i in range(COARSE)])
         bound = sum((F.least(f"p{i}", f"q{i}") for i in range(COARSE)), F.lit(0))
         near = (100 + percent) * bound >= percent * (F.col("n") + F.col("n2"))
