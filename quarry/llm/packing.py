@@ -18,6 +18,7 @@ are packed each by itself; an empty table gives no pieces; other columns are ign
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -40,6 +41,16 @@ _END = " end "  # no word has a space
 _MARK = "\x02"
 
 
+def _byte_names() -> dict[int, str]:
+    """Characters that byte-level vocabularies write for bytes: printable ones as they are, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden) if b != 32}
+
+
+_BYTES = _byte_names()
+
+
 class WordEncoder:
     """Token ids of texts, by the public tokenizer, with each distinct word encoded once.
 
@@ -57,30 +68,60 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._ids(_MARK)
+        # The model alone, for words whose pieces need no further cutting; a word's last token says so in its name.
+        with open(path) as f:
+            parts = json.load(f)
+        self.plain = None
+        suffix = parts["model"].get("end_of_word_suffix")
+        if suffix and [x["type"] for x in parts["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
+            self.plain = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+            self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            self.closes[[i for t, i in parts["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self._reset()
 
     def _reset(self) -> None:
         self.codes, self.stored = _Codes(), 0
-        self.ids, self.ends = array("i", [END_ID]), array("i", [0, 1])
+        self.ids, self.first, self.size = array("i", [END_ID]), array("i", [0]), array("i", [1])
         self.codes[_END] = 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words in one text, between marks that no other text encodes to."""
-        if any(_MARK in w for w in words) or len(self.mark) != 1:
-            parts = [self._ids(w) for w in words]
-            found = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            ends = np.cumsum([len(x) for x in parts])
-        else:
-            found = self._ids(f" {_MARK} ".join(words))
-            cut = np.flatnonzero(found == self.mark[0])
-            found = np.delete(found, cut)
-            ends = np.append(cut - np.arange(len(cut)), len(found))
-        base = len(self.ids)
-        self.ids.frombytes(found.astype(np.int32).tobytes())
-        self.ends.frombytes((ends + base).astype(np.int32).tobytes())
+        """Encode new words: those of Latin-1 letters by the model alone, others in one text with marks between."""
+        simple, rest, cuts = [], [], []
+        for i, w in enumerate(words):
+            stem = w[:-1] if w[-1:] in (",", ".") else w
+            if stem.isalpha() and (w.isascii() or max(w) < "\u0100") and w == w.lower() and self.plain is not None:
+                simple.append(i)
+                cuts.append(stem if stem is w else f"{stem} {w[-1]}")
+            else:
+                rest.append(i)
+        first, size = np.zeros(len(words), dtype=np.int32), np.zeros(len(words), dtype=np.int32)
+
+        def store(which: list[int], found: np.ndarray, ends: np.ndarray) -> None:
+            starts = np.concatenate([[0], ends[:-1]])
+            first[which], size[which] = starts + len(self.ids), ends - starts
+            self.ids.frombytes(found.astype(np.int32).tobytes())
+
+        if simple:
+            text = " ".join(cuts)
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(_BYTES)
+            found = np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+            ends = np.flatnonzero(self.closes[found]) + 1
+            store(simple, found, ends[np.cumsum([1 + (" " in c) for c in cuts]) - 1])  # a stop or comma is a piece of its own
+        if rest:
+            if any(_MARK in words[i] for i in rest) or len(self.mark) != 1:
+                parts = [self._ids(words[i]) for i in rest]
+                store(rest, np.concatenate(parts), np.cumsum([len(x) for x in parts]))
+            else:
+                found = self._ids(f" {_MARK} ".join(words[i] for i in rest))
+                cut = np.flatnonzero(found == self.mark[0])
+                found = np.delete(found, cut)
+                store(rest, found, np.append(cut - np.arange(len(cut)), len(found)))
+        self.first.frombytes(first.tobytes())
+        self.size.frombytes(size.tobytes())
         self.stored += sum(map(len, words))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +142,8 @@ class WordEncoder:
             for at in range(0, len(fresh), 20_000):
                 self._learn(fresh[at : at + 20_000])
             self.codes.fresh = []
-        table, ends = np.array(self.ids, dtype=np.int32), np.array(self.ends, dtype=np.int32)
-        first = ends[code]
-        length = ends[code + 1] - first
+        table = np.array(self.ids, dtype=np.int32)
+        first, length = np.array(self.first, dtype=np.int32)[code], np.array(self.size, dtype=np.int32)[code]
         total = np.zeros(len(code) + 1, dtype=np.int32)
         np.cumsum(length, out=total[1:])
         first -= total[:-1]
