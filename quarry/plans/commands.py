@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,9 +83,8 @@ def command_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.frame("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 100, 'NEW'")
 def command_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = f"inserted_{hashlib.md5(sf_dir.encode()).hexdigest()[:8]}"
+    t = _name("inserted")
     register(spark, sf_dir, "nation")
-    spark.sql(f"DROP TABLE IF EXISTS {t}")
     spark.sql(f"CREATE TABLE {t} (n_nationkey INT, n_name STRING) USING parquet")
     spark.sql(f"INSERT OVERWRITE {t} SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
     spark.sql(f"INSERT INTO {t} VALUES (100, 'NEW')")

@@ -150,11 +150,14 @@ def join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.frame("SELECT o_orderpriority, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority")
 def join_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tables bucketed alike by order key meet without a shuffle."""
-    import hashlib
+    import uuid
 
-    tag = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
+    from quarry.plans.scratch import scratch
+
+    tag = uuid.uuid4().hex[:12]
     for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
-        load(spark, sf_dir, name).write.mode("overwrite").bucketBy(8, key).sortBy(key).saveAsTable(f"bucketed_{name}_{tag}")
+        place = f"{scratch(spark, sf_dir, 'bucketed')}/{name}_{tag}"
+        load(spark, sf_dir, name).write.option("path", place).bucketBy(8, key).sortBy(key).saveAsTable(f"bucketed_{name}_{tag}")
     o, li = spark.table(f"bucketed_orders_{tag}"), spark.table(f"bucketed_lineitem_{tag}")
     return o.hint("merge").join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
