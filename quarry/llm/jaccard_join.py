@@ -42,7 +42,7 @@ from .textops import SLICE, U64, Words, lower_ascii, mix, slices, string_buffer
 
 SKETCH_BITS = 18
 PART_BITS = 8
-COARSE = 32
+COARSE, EARLIER = 32, 64
 TURNS, FEW = 1, 8
 ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("fp", "<u8"), ("n", "<i4"), ("pos", "<i4")])
 
@@ -306,11 +306,11 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     # What is still apart is tried pair by pair, as far as the part counts let two sets link.
     if member.take(1):
         # Stored, for else the optimizer joins members with members first and brings their counts in later.
-        wide = materialize(member.join(coarse(texts), "doc"), "jaccard-wide")
-        other = wide.select("h", *[F.col(x).alias(f"{x}2") for x in ("doc", "n", "pos", "c")], *[F.col(f"p{i}").alias(f"q{i}") for i in range(COARSE)])
+        wide = materialize(with_earlier(member).join(coarse(texts), "doc"), "jaccard-wide")
+        other = wide.select("h", *[F.col(x).alias(f"{x}2") for x in ("doc", "n", "pos", "c", "earlier")], *[F.col(f"p{i}").alias(f"q{i}") for i in range(COARSE)])
         bound = sum((F.least(f"p{i}", f"q{i}") for i in range(COARSE)), F.lit(0))
         near = (100 + percent) * bound >= percent * (F.col("n") + F.col("n2"))
-        met = candidates(wide.join(other, (wide["h"] == other["h"]) & (F.col("c") < F.col("c2")) & passing(percent) & near), percent)
+        met = candidates(wide.join(other, (wide["h"] == other["h"]) & (F.col("c") < F.col("c2")) & passing(percent) & near & ~F.arrays_overlap("earlier", "earlier2")), percent)
         new = materialize(verify(met.join(tested, ["u", "v"], "left_anti"), texts, size, percent), "jaccard-links")
         if new.take(1):
             joined = components(joined.union(new))
@@ -341,6 +341,14 @@ def mixed(found: DataFrame, stars: DataFrame | None, joined: DataFrame) -> DataF
     return materialize(member.join(several, "h", "left_semi"), "jaccard-members")
 
 
+def with_earlier(member: DataFrame) -> DataFrame:
+    """Members with the n-grams that stand before, of the document's first ``EARLIER``: a pair that shares one
+    of them has met there, so most pairs meet once; a pair that shares later ones only may meet again."""
+    firsts = member.groupBy("doc").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "h"))), 1, EARLIER).alias("_first"))
+    before = F.transform(F.filter("_first", lambda e: e["pos"] < F.col("pos")), lambda e: e["h"])
+    return member.join(firsts, "doc").withColumn("earlier", before).drop("_first")
+
+
 def passing(percent: int):
     """Length and positional filter over n, pos and n2, pos2; see ``passes``."""
     need = F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent))
