@@ -7,13 +7,14 @@ background loss less the target loss: the higher, the more it reads like the tar
 
     p(w | v) = (c(v, w) + MU p(w)) / (c(v) + MU),   p(w) = (c(w) + 1) / (N + V)
 
-The vocabulary is the most frequent words, at most ``VOCABULARY``, in whole classes of
-frequency; other words are one unknown word. Its size is a parameter of the model, so the
-unigram tables are of bounded size and are broadcast. Bigrams aren't: every pair of a
-document goes, with its document, to the bucket of its key; there both models' counts are
-complete and the losses are summed up per document. A document's own pairs are left out
-of the counts that score it. Counts cover all documents; only the target is bounded, at
-about ``target_rows`` labelled documents by hash of their id.
+The vocabulary is all words of the corpus. Those of the most frequent ones that ``HELD``
+has room for, in whole classes of frequency, have ids and broadcast counts; a pair of two
+such words goes, with its document, to the bucket of its key. A word beyond them is at most
+a ``HELD``-th of the corpus: it has a bucket by its hash, where its counts and those of its
+pairs are complete. In the buckets the losses are summed up per document. A document's own
+pairs are left out of the counts that score it. Counts cover all documents, and all good
+ones: the labels are joined to the documents. Callers may bound the vocabulary
+(``most_words``, up to ``HELD``); then other words are one unknown word.
 
 Defined cases: null text counts as empty; a text of under two words has 0 tokens and
 score 0; rows repeating a doc_id count as one document; a row with null doc_id isn't
@@ -23,6 +24,7 @@ an empty result.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +35,16 @@ from pyspark.sql import functions as F
 from .storage import exchange_width, materialize
 from .textops import U64, Words, lower_ascii, slices, string_buffer
 
-VOCABULARY = 65_535
+VOCABULARY = sys.maxsize  # no bound
+HELD = 65_535  # words with ids of 16 bits and broadcast counts
 MU = 20.0
 COUNT = np.dtype([("h", "<u8"), ("all", "<u4"), ("target", "<u4")])
-PAIRS = "bucket long, docs binary, keys binary, rows binary, counts binary"
+DOC = np.dtype([("doc", "<i8"), ("good", "u1")])
+PAIRS = "bucket long, docs binary, keys binary, rows binary, counts binary, rare binary"
+# About a word h without an id, in one document: its count; a pair of it and the id after it;
+# a pair of the id before it and it; a pair of another such word and it; its count as the first of those.
+COUNTED, BEFORE_ID, AFTER_ID, AFTER_RARE, BEFORE_RARE = range(5)
+RARE = [("h", "<u8"), ("other", "<u8"), ("row", "<u4"), ("n", "<u4"), ("kind", "u1")]
 SUM = np.dtype([("doc", "<i8"), ("sum", "<f8"), ("n", "<u4")])
 STEP = 8  # classes of frequency per octave
 
@@ -52,7 +60,7 @@ def _cuts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cut, np.append(cut[1:], len(bucket))
 
 
-def _words(buckets: int, target: np.ndarray):
+def _words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -68,7 +76,7 @@ def _words(buckets: int, target: np.ndarray):
             raw, offsets = string_buffer(batch.column(1))
             words = Words(lower_ascii(raw), offsets)
             h = words.hashes()
-            good = np.isin(batch.column(0).to_numpy(zero_copy_only=False), target)[words.row_of_word()]
+            good = batch.column(2).to_numpy(zero_copy_only=False)[words.row_of_word()]
             e = np.empty(len(h), dtype=COUNT)
             e["h"], e["all"], e["target"] = h, 1, good
             held.append(_added(e))
@@ -106,17 +114,19 @@ def _totals(table: pa.Table) -> pa.Table:
 
 
 class Unigrams:
-    """The shared vocabulary and both models' word counts; id ``len(h)`` is the unknown word."""
+    """Both models' counts of the words with ids; id ``len(h)`` is any other word.
 
-    def __init__(self, words: np.ndarray, rest: tuple[int, int]):
+    ``rest`` has the counts of all other words. ``rare`` is how many they are if each is a
+    word of its own, and 0 if they are one unknown word."""
+
+    def __init__(self, words: np.ndarray, rest: tuple[int, int], rare: int = 0):
         words = words[np.argsort(words["h"])]
-        self.h = words["h"]
+        self.h, self.rare = words["h"], rare
         self.all = np.append(words["all"], rest[0]).astype(np.float64)
         self.target = np.append(words["target"], rest[1]).astype(np.float64)
-        size = len(self.all)
-        self.ratio = self.target.sum() / max(self.all.sum(), 1)
-        self.p_all = (self.all + 1) / (self.all.sum() + size)
-        self.p_target = (self.target + 1) / (self.target.sum() + size)
+        self.size = len(self.all) + rare
+        self.n_all, self.n_target = self.all.sum(), self.target.sum()
+        self.ratio = self.n_target / max(self.n_all, 1)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         if not len(self.h):
@@ -124,29 +134,78 @@ class Unigrams:
         at = np.searchsorted(self.h, h)
         return np.where(self.h[np.minimum(at, len(self.h) - 1)] == h, at, len(self.h))
 
+    def word(self, all_: np.ndarray, target: np.ndarray, n_all: np.ndarray, n_target: np.ndarray) -> np.ndarray:
+        """The second word's part of the gain: pairs with the first two counts, words with the others."""
+        p_all, p_target = (n_all + 1) / (self.n_all + self.size), (n_target + 1) / (self.n_target + self.size)
+        return np.log(target + MU * p_target) - np.log(self.ratio * all_ + MU * p_all)
+
+    def context(self, n_all: np.ndarray, n_target: np.ndarray) -> np.ndarray:
+        """The first word's part."""
+        return np.log(self.ratio * n_all + MU) - np.log(n_target + MU)
+
     def gain(self, key: np.ndarray, all_: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Background loss less target loss of pairs with these counts."""
         v, w = key >> 16, key & 0xFFFF
-        p_target = (target + MU * self.p_target[w]) / (self.target[v] + MU)
-        p_all = (self.ratio * all_ + MU * self.p_all[w]) / (self.ratio * self.all[v] + MU)
-        return np.log(p_target) - np.log(p_all)
+        return self.word(all_, target, self.all[w], self.target[w]) + self.context(self.all[v], self.target[v])
 
 
-def vocabulary(docs: DataFrame, target: np.ndarray, most: int) -> Unigrams:
-    """Counted over all documents; at most ``most`` words reach the driver."""
-    counted = docs.mapInArrow(_words(exchange_width(docs.sparkSession), target), "bucket long, blob binary")
+def vocabulary(docs: DataFrame, most: int, held: int = HELD) -> Unigrams:
+    """Counted over all documents; at most ``held`` words reach the driver."""
+    counted = docs.mapInArrow(_words(exchange_width(docs.sparkSession)), "bucket long, blob binary")
     classes = materialize(counted.groupBy("bucket").applyInArrow(_totals, "class long, words long, all long, target long, blob binary"), "lm-words")
     sizes = classes.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("words", "all", "target")]).collect()  # some hundred classes at most
     total, lowest = 0, None
     for r in sorted(sizes, key=lambda r: -r["class"]):
         total += r["words"]
-        if total > most:
+        if total > min(most, held):
             break
         lowest = r["class"]
     taken = [] if lowest is None else classes.where(F.col("class") >= lowest).select("blob").collect()
     words = np.concatenate([np.frombuffer(r.blob, COUNT) for r in taken] or [np.zeros(0, COUNT)])
     rest = tuple(sum(r[c] for r in sizes if lowest is None or r["class"] < lowest) for c in ("all", "target"))
-    return Unigrams(words, rest)
+    distinct = sum(r["words"] for r in sizes)
+    return Unigrams(words, rest, distinct - len(words) if distinct <= most else 0)
+
+
+def _rare(h: np.ndarray, word: np.ndarray, row: np.ndarray, same: np.ndarray, unknown: int) -> np.ndarray:
+    """What the buckets of words without an id learn from a slice, equal entries added up."""
+    rare = word == unknown
+    v, w = np.flatnonzero(same), np.flatnonzero(same) + 1
+    one = np.flatnonzero(rare)
+    parts = [(COUNTED, one, None)]
+    parts.append((BEFORE_ID, v[k := rare[v] & ~rare[w]], word[w[k]]))
+    parts.append((AFTER_ID, w[k := ~rare[v] & rare[w]], word[v[k]]))
+    parts.append((AFTER_RARE, w[k := rare[v] & rare[w]], h[v[k]]))
+    parts.append((BEFORE_RARE, v[k], None))
+    e = np.empty(sum(len(at) for _, at, _ in parts), dtype=RARE)
+    done = 0
+    for kind, at, other in parts:
+        x = e[done : done + len(at)]
+        x["h"], x["other"], x["row"], x["n"], x["kind"] = h[at], 0 if other is None else other, row[at], 1, kind
+        done += len(at)
+    e = e[np.lexsort((e["row"], e["other"], e["kind"], e["h"]))]
+    head = np.flatnonzero(np.concatenate([[True], _differ(e, "h", "kind", "other", "row")])) if len(e) else np.zeros(0, np.int64)
+    out = e[head]
+    out["n"] = np.diff(np.append(head, len(e)))
+    return out
+
+
+def _differ(e: np.ndarray, *fields: str) -> np.ndarray:
+    """Of sorted entries, those from the second on that differ from the one before."""
+    return np.logical_or.reduce([e[f][1:] != e[f][:-1] for f in fields])
+
+
+def _columns(e: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(e[f]).tobytes() for f, _ in RARE)
+
+
+def _entries(blob: bytes) -> np.ndarray:
+    out = np.empty(len(blob) // np.dtype(RARE).itemsize, dtype=RARE)
+    at = 0
+    for f, kind in RARE:
+        out[f] = np.frombuffer(blob, kind, len(out), at)
+        at += len(out) * np.dtype(kind).itemsize
+    return out
 
 
 def _pairs(buckets: int, unigrams):
@@ -155,27 +214,38 @@ def _pairs(buckets: int, unigrams):
         for batch in slices(batches, "text", 2 << 20):
             raw, offsets = string_buffer(batch.column(1))
             words = Words(lower_ascii(raw), offsets)
-            word = model.ids(words.hashes()).astype(np.uint64)
+            h = words.hashes()
+            word = model.ids(h).astype(np.uint64)
             row = words.row_of_word()
             same = row[1:] == row[:-1]
+            rare = np.zeros(0, RARE)
+            if model.rare:
+                rare = _rare(h, word, row, same, len(model.h))
+                same &= (word[1:] != len(model.h)) & (word[:-1] != len(model.h))
             full = (row[:-1][same].astype(np.uint64) << U64(32)) | (word[:-1][same] << U64(16)) | word[1:][same]
             full, count = np.unique(full, return_counts=True)
             key, doc = (full & U64(0xFFFFFFFF)).astype(np.uint32), (full >> U64(32)).astype(np.uint32)
             at = _bucket(key, buckets)
             order = np.lexsort((key, at))
             key, doc, count, at = key[order], doc[order], np.minimum(count[order], 65535).astype("<u2"), at[order]
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-            cut, end = _cuts(at)
-            rows = [[], [], [], [], []]
-            for a, b in zip(cut, end, strict=True):
-                own, place = np.unique(doc[a:b], return_inverse=True)
+            docs = np.empty(batch.num_rows, dtype=DOC)
+            docs["doc"], docs["good"] = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            place_of = (rare["h"] % U64(buckets)).astype(np.int64)
+            order = np.argsort(place_of, kind="stable")
+            rare, all_buckets = rare[order], np.arange(buckets + 1)
+            cut, rare_cut = np.searchsorted(at, all_buckets), np.searchsorted(place_of[order], all_buckets)
+            rows = [[], [], [], [], [], []]
+            for i in np.flatnonzero(np.diff(cut) + np.diff(rare_cut)):
+                a, b, c = cut[i], cut[i + 1], rare[rare_cut[i] : rare_cut[i + 1]]
+                own, place = np.unique(np.concatenate([doc[a:b], c["row"]]), return_inverse=True)
                 small = "<u2" if len(own) < 65536 else "<u4"
-                for out, x in zip(rows, (int(at[a]), ids[own].tobytes(), _planes(key[a:b]), b"%d" % (2 + 2 * (small == "<u4")) + place.astype(small).tobytes(), count[a:b].tobytes()), strict=True):
+                c["row"] = place[b - a :]
+                for out, x in zip(rows, (int(i), docs[own].tobytes(), _planes(key[a:b]), b"%d" % (2 + 2 * (small == "<u4")) + place[: b - a].astype(small).tobytes(), count[a:b].tobytes(), _columns(c)), strict=True):
                     out.append(x)
             # Every document arrives somewhere, those without a pair too.
-            for out, x in zip(rows, (int(ids[0] % buckets), ids.tobytes(), b"", b"2", b""), strict=True):
+            for out, x in zip(rows, (int(docs["doc"][0] % buckets), docs.tobytes(), b"", b"2", b"", b""), strict=True):
                 out.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64())] + [pa.array(r, pa.binary()) for r in rows[1:]], names=["bucket", "docs", "keys", "rows", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64())] + [pa.array(r, pa.binary()) for r in rows[1:]], names=["bucket", "docs", "keys", "rows", "counts", "rare"])
 
     return run
 
@@ -194,30 +264,91 @@ def _keys(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), dtype=np.uint32)
 
 
-def _losses(unigrams, target: np.ndarray, homes: int):
+def _parts(head: np.ndarray, size: int = 1 << 18) -> Iterator[slice]:
+    """Whole groups of sorted entries, about ``size`` entries at a time; ``head`` marks the groups' first ones."""
+    start = 0
+    while start < len(head):
+        more = np.flatnonzero(head[start + size : start + 2 * size])
+        stop = start + size
+        while stop < len(head) and not len(more):
+            stop += size
+            more = np.flatnonzero(head[stop : stop + size])
+        stop = min(stop + (int(more[0]) if len(more) else 0), len(head))
+        yield slice(start, stop)
+        start = stop
+
+
+def _heads(differ: np.ndarray, n: int) -> np.ndarray:
+    return np.concatenate([[True], differ])[:n]
+
+
+def _held_gain(model: Unigrams, k: np.ndarray, own: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Of pairs in the order of their keys: count, and if the document is good."""
+    own_good = own * good
+    group = np.cumsum(_heads(k[1:] != k[:-1], len(k))) - 1
+    all_, target = (np.bincount(group, weights=c)[group] - c for c in (own, own_good))
+    return own * model.gain(k.astype(np.int64), all_, target)
+
+
+def _rare_gain(model: Unigrams, x: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Of entries of words without an id, in the order of h, kind and other; a word's entries are complete."""
+    own = x["n"].astype(np.float64)
+    own_good = own * good
+    word = np.cumsum(_heads(_differ(x, "h"), len(x))) - 1
+    counted = x["kind"] == COUNTED
+    n_all, n_target = (np.bincount(word, weights=c * counted)[word] for c in (own, own_good))
+    group = np.cumsum(_heads(_differ(x, "h", "kind", "other"), len(x))) - 1
+    all_, target = (np.bincount(group, weights=c)[group] - c for c in (own, own_good))
+    before, after = x["kind"] == BEFORE_ID, x["kind"] == AFTER_ID
+    held = np.where(before | after, x["other"], 0).astype(np.int64)
+    out = (before | after | (x["kind"] == AFTER_RARE)) * model.word(all_, target, np.where(before, model.all[held], n_all), np.where(before, model.target[held], n_target))
+    out += (before | (x["kind"] == BEFORE_RARE)) * model.context(n_all, n_target)
+    out += after * model.context(model.all[held], model.target[held])
+    return own * out
+
+
+def _losses(unigrams, homes: int):
     def run(table: pa.Table) -> pa.Table:
         model = unigrams.value
-        ids = [np.frombuffer(x.as_py(), "<i8") for x in table["docs"]]
+        ids = [np.frombuffer(x.as_py(), DOC) for x in table["docs"]]
         base = np.cumsum([0, *map(len, ids)])
-        doc = np.concatenate([np.frombuffer(x.as_py(), f"<u{x.as_py()[:1].decode()}", offset=1).astype(np.int64) + b for x, b in zip(table["rows"], base[:-1], strict=True)])
-        key = np.concatenate([_keys(x.as_py()) for x in table["keys"]])
-        count = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in table["counts"]]).astype(np.int64)
-        names, whose = np.unique(np.concatenate(ids), return_inverse=True)  # one document may come in several blobs
-        good = np.isin(names, target)
-        doc = whose[doc]
-        gain = np.zeros(len(key))
-        if len(key):
+        docs = np.concatenate(ids)
+        names, first, whose = np.unique(docs["doc"], return_index=True, return_inverse=True)  # one document may come in several blobs
+        good, whose = docs["good"][first], whose.astype(np.int32)
+        sums, n = np.zeros(len(names)), np.zeros(len(names))
+
+        def add(doc: np.ndarray, gain: np.ndarray, count: np.ndarray) -> None:
+            nonlocal sums, n
+            sums += np.bincount(doc, weights=gain, minlength=len(names))
+            n += np.bincount(doc, weights=count, minlength=len(names))
+
+        def held() -> None:
+            doc = np.concatenate([whose[np.frombuffer(x.as_py(), f"<u{x.as_py()[:1].decode()}", offset=1).astype(np.int64) + b] for x, b in zip(table["rows"], base[:-1], strict=True)])
+            key = np.concatenate([_keys(x.as_py()) for x in table["keys"]])
+            count = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in table["counts"]])
             order = np.argsort(key, kind="stable")
-            k = key[order]
-            head = np.concatenate([[True], k[1:] != k[:-1]])
-            group = np.cumsum(head) - 1
-            own = count[order]
-            own_good = own * good[doc[order]]
-            all_ = np.bincount(group, weights=own)[group] - own
-            target_ = np.bincount(group, weights=own_good)[group] - own_good
-            gain[order] = own * model.gain(k.astype(np.int64), all_, target_)
+            key, doc, count = key[order], doc[order], count[order]
+            del order
+            for part in _parts(_heads(key[1:] != key[:-1], len(key))):
+                own = count[part].astype(np.float64)
+                add(doc[part], _held_gain(model, key[part], own, good[doc[part]]), own)
+
+        def rare() -> None:
+            blobs = [_entries(x.as_py()) for x in table["rare"]]
+            for e, b in zip(blobs, base[:-1], strict=True):
+                e["row"] = whose[e["row"].astype(np.int64) + b]
+            e = np.concatenate(blobs)
+            blobs.clear()
+            order = np.lexsort((e["other"], e["kind"], e["h"]))
+            for part in _parts(_heads(np.diff(e["h"][order]) != 0, len(order))):
+                x = e[order[part]]
+                paired = x["n"] * np.isin(x["kind"], (BEFORE_ID, AFTER_ID, AFTER_RARE))
+                add(x["row"], _rare_gain(model, x, good[x["row"]]), paired)
+
+        held()
+        rare()
         out = np.empty(len(names), dtype=SUM)
-        out["doc"], out["sum"], out["n"] = names, np.bincount(doc, weights=gain, minlength=len(names)), np.bincount(doc, weights=count, minlength=len(names))
+        out["doc"], out["sum"], out["n"] = names, sums, n
         home = np.mod(names ^ (names >> 17), homes)
         by = np.argsort(home, kind="stable")
         out, home = out[by], home[by]
@@ -238,17 +369,18 @@ def _scores(some_target: bool):
     return run
 
 
-def score(docs: DataFrame, good: DataFrame, most_words: int = VOCABULARY, target_rows: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, good: DataFrame, most_words: int = VOCABULARY, held: int = HELD) -> DataFrame:
     """doc_id, n_tokens, score. ``good`` has the doc_id of every document of the target domain."""
+    if not 0 < held <= HELD or held < most_words < VOCABULARY:
+        raise ValueError(f"at most {HELD} words can be held, and a bounded vocabulary must fit in them")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    whole = rows.where("doc_id is not null")
-    share = min(1.0, target_rows / max(1, good.count()))
-    picked = good.where("doc_id is not null").where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 32)) < int(share * (1 << 32)))
-    target = np.unique(np.array([r.doc_id for r in picked.select(F.col("doc_id").cast("long").alias("doc_id")).collect()], dtype=np.int64))
-    unigrams = spark.sparkContext.broadcast(vocabulary(whole, target, most_words))
+    marks = good.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("good", F.lit(True))
+    flagged = rows.where("doc_id is not null").join(marks.hint("shuffle_hash"), "doc_id", "left")
+    whole = materialize(flagged.select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good")), "lm-docs")
+    unigrams = spark.sparkContext.broadcast(vocabulary(whole, most_words, held))
     width = exchange_width(spark)
     pairs = whole.mapInArrow(_pairs(width, unigrams), PAIRS)
-    sums = pairs.groupBy("bucket").applyInArrow(_losses(unigrams, target, width), "home long, blob binary")
-    scored = sums.groupBy("home").applyInArrow(_scores(unigrams.value.target.sum() > 0), "doc_id long, n_tokens long, score double")
+    sums = pairs.groupBy("bucket").applyInArrow(_losses(unigrams, width), "home long, blob binary")
+    scored = sums.groupBy("home").applyInArrow(_scores(unigrams.value.n_target > 0), "doc_id long, n_tokens long, score double")
     return scored.union(rows.where("doc_id is null").selectExpr("doc_id", "0L", "cast(null as double)"))

@@ -64,3 +64,25 @@ def test_odd_rows(spark):
     assert got[1] == got[2] == got[3] == (0, 0.0) and got[4][0] == 3 and got[None] == (0, None)
     assert {r.score for r in lm_scoring.score(docs, good.limit(0)).where("doc_id is not null").collect()} == {0.0}
     assert lm_scoring.score(docs.limit(0), good).count() == 0
+
+
+def test_words_without_an_id_count_each(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    good = {d for d in texts if d % 3 == 0}
+    rows = lm_scoring.score(docs, spark.createDataFrame([(d,) for d in good], "doc_id long"), held=300).collect()
+    want = brute(texts, good)
+    for r in rows:
+        assert r.n_tokens == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-6)
+
+
+def test_all_of_a_large_target_counts(spark):
+    texts = {d: f"w{d % 50} x{d % 7} rare{d}" for d in range(70_000)}
+    good = {d for d in texts if d % 3}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = lm_scoring.score(docs, spark.createDataFrame([(d,) for d in good], "doc_id long")).collect()
+    want = brute(texts, good)
+    assert len(rows) == len(want)
+    for r in rows:
+        assert r.n_tokens == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-6)
