@@ -227,7 +227,7 @@ def _pairs(buckets: int, unigrams):
             key, doc = (full & U64(0xFFFFFFFF)).astype(np.uint32), (full >> U64(32)).astype(np.uint32)
             at = _bucket(key, buckets)
             order = np.lexsort((key, at))
-            key, doc, count, at = key[order], doc[order], np.minimum(count[order], 65535).astype("<u2"), at[order]
+            key, doc, count, at = key[order], doc[order], count[order], at[order]
             docs = np.empty(batch.num_rows, dtype=DOC)
             docs["doc"], docs["good"] = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             place_of = (rare["h"] % U64(buckets)).astype(np.int64)
@@ -240,10 +240,10 @@ def _pairs(buckets: int, unigrams):
                 own, place = np.unique(np.concatenate([doc[a:b], c["row"]]), return_inverse=True)
                 small = "<u2" if len(own) < 65536 else "<u4"
                 c["row"] = place[b - a :]
-                for out, x in zip(rows, (int(i), docs[own].tobytes(), _planes(key[a:b]), b"%d" % (2 + 2 * (small == "<u4")) + place[: b - a].astype(small).tobytes(), count[a:b].tobytes(), _columns(c)), strict=True):
+                for out, x in zip(rows, (int(i), docs[own].tobytes(), _planes(key[a:b]), b"%d" % (2 + 2 * (small == "<u4")) + place[: b - a].astype(small).tobytes(), _sized(count[a:b]), _columns(c)), strict=True):
                     out.append(x)
             # Every document arrives somewhere, those without a pair too.
-            for out, x in zip(rows, (int(docs["doc"][0] % buckets), docs.tobytes(), b"", b"2", b"", b""), strict=True):
+            for out, x in zip(rows, (int(docs["doc"][0] % buckets), docs.tobytes(), b"", b"2", b"2", b""), strict=True):
                 out.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64())] + [pa.array(r, pa.binary()) for r in rows[1:]], names=["bucket", "docs", "keys", "rows", "counts", "rare"])
 
@@ -254,6 +254,12 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(33)).astype(np.int64) % buckets
 
 
+def _sized(count: np.ndarray) -> bytes:
+    """Counts in two bytes each, or in four where one needs them; the first byte tells."""
+    size = 2 if not len(count) or count.max() < 65536 else 4
+    return b"%d" % size + count.astype(f"<u{size}").tobytes()
+
+
 def _planes(key: np.ndarray) -> bytes:
     """Ascending keys as differences, byte by byte, which compresses well."""
     return np.diff(key, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -325,7 +331,7 @@ def _losses(unigrams, homes: int):
         def held() -> None:
             doc = np.concatenate([whose[np.frombuffer(x.as_py(), f"<u{x.as_py()[:1].decode()}", offset=1).astype(np.int64) + b] for x, b in zip(table["rows"], base[:-1], strict=True)])
             key = np.concatenate([_keys(x.as_py()) for x in table["keys"]])
-            count = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in table["counts"]])
+            count = np.concatenate([np.frombuffer(x.as_py(), f"<u{x.as_py()[:1].decode()}", offset=1) for x in table["counts"]])
             order = np.argsort(key, kind="stable")
             key, doc, count = key[order], doc[order], count[order]
             del order

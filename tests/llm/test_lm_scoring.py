@@ -86,3 +86,12 @@ def test_all_of_a_large_target_counts(spark):
     assert len(rows) == len(want)
     for r in rows:
         assert r.n_tokens == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-6)
+
+
+@pytest.mark.parametrize("held", [lm_scoring.HELD, 1])
+def test_a_pair_that_repeats_often(spark, held):
+    texts = {1: "ha " * 70_000 + "so it is", 2: "ha ha so", 3: "ho " * 66_000, 4: "so it goes ho ho"}
+    docs, good = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), {2, 3}
+    want = brute(texts, good)
+    for r in lm_scoring.score(docs, spark.createDataFrame([(d,) for d in good], "doc_id long"), held=held).collect():
+        assert r.n_tokens == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-6)
