@@ -22,25 +22,22 @@ ITEMSETS = "block_id long, itemset string, support long"
 # Itemsets.
 
 
-def frequent_itemsets(baskets: Sequence[Sequence], least: int, most_items: int = 3) -> dict[tuple, int]:
-    """Itemsets of up to ``most_items`` items in ``least`` baskets or more, level by level."""
-    rows = [frozenset(b) for b in baskets]
-    level = {}
-    for r in rows:
-        for x in r:
-            level[(x,)] = level.get((x,), 0) + 1
-    level = {k: n for k, n in level.items() if n >= least}
-    found = dict(level)
+def frequent_itemsets(baskets: Sequence[Sequence], least: int, most_items: int | None = 3) -> dict[tuple, int]:
+    """Itemsets of up to ``most_items`` items (None: of any size) in ``least`` baskets or more, level by level."""
+    least = max(least, 1)
+    held: dict[tuple, set[int]] = {}
+    for i, r in enumerate(baskets):
+        for x in set(r):
+            held.setdefault((x,), set()).add(i)
+    level = {k: held[k] for k in sorted(held) if len(held[k]) >= least}
+    found = {k: len(at) for k, at in level.items()}
     size = 2
-    while level and size <= most_items:
-        single = {x for k in level for x in k}
-        counts: dict[tuple, int] = {}
-        for r in rows:
-            for c in combinations(sorted(r & single), size):
-                if all(c[:i] + c[i + 1 :] in level for i in range(size)):
-                    counts[c] = counts.get(c, 0) + 1
-        level = {k: n for k, n in counts.items() if n >= least}
-        found |= level
+    while level and (most_items is None or size <= most_items):
+        alike: dict[tuple, list] = {}
+        for k in level:
+            alike.setdefault(k[:-1], []).append(k)
+        level = {x + y[-1:]: at for group in alike.values() for x, y in combinations(group, 2) if len(at := level[x] & level[y]) >= least}
+        found |= {k: len(at) for k, at in level.items()}
         size += 1
     return found
 
@@ -49,7 +46,7 @@ def name_of(items: Sequence) -> str:
     return "{" + ",".join(map(str, items)) + "}"
 
 
-def local_itemsets(frame: BlockFrame, items: str, least: int, most_items: int = 3) -> DataFrame:
+def local_itemsets(frame: BlockFrame, items: str, least: int, most_items: int | None = None) -> DataFrame:
     """Per block its frequent itemsets of two items or more; ``least`` counts baskets of one block."""
 
     def mine(block: int, rows: pd.DataFrame) -> pd.DataFrame:

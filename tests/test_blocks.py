@@ -59,6 +59,13 @@ def test_itemsets_like_counting(baskets, least):
     assert lg.frequent_itemsets(baskets, least) == want
 
 
+def test_itemsets_of_any_size(spark):
+    rows = [(0, list("abcde"))] * 3 + [(0, list("abcd")), (0, list("xy"))]
+    frame = BlockFrame(spark.createDataFrame(rows, f"{BLOCK} long, items array<string>"), 1)
+    got = {r.itemset: r.support for r in lg.local_itemsets(frame, "items", 3).collect()}
+    assert got["{a,b,c,d}"] == 4 and got["{a,b,c,d,e}"] == 3 and len(got) == 26
+
+
 def test_learners():
     r = np.random.RandomState(0)
     x = np.vstack([r.randn(120, 3) - 2, r.randn(120, 3) + 2])
