@@ -2,6 +2,8 @@
 
 import html
 import re
+from collections import Counter
+from math import exp, log
 
 import pytest
 
@@ -67,3 +69,64 @@ def test_language_evidence(spark):
     assert got[21].lang is not None
     assert language_id.identify(df.limit(0), docs).count() == 0
     assert {r.lang for r in language_id.identify(df, docs.limit(0)).collect()} == {None}
+
+
+def _domain(host):
+    parts = host.split(".")
+    short = len(parts) > 2 and len(parts[-1]) == 2 and parts[-2] in ("co", "com", "net", "org", "ac", "gov", "edu", "ne", "or", "go")
+    return ".".join(parts[-3 if short else -2 :])
+
+
+def _posteriors(pages, languages, logs):
+    """Dictionaries and loops over (page_id, url, html): page_id to (language, probability)."""
+    k, seen = len(languages), []
+    for page_id, url, page in pages:
+        host = (re.match(r"[a-z]+://([^/?#:]*)", url or "", re.I) or ["", ""])[1].lower()
+        raw = page_text.main_text(page).lower().encode()
+        low = [48 if 48 <= x <= 57 else x for x in raw]
+        slots = [((a << 16 | b << 8 | c) * 2654435761 & 0xFFFFFFFF) >> 16 for a, b, c in zip(low, low[1:], low[2:], strict=False)]
+        text = [sum(float(logs[i, s]) for s in slots) * language_id.TEMPER for i in range(k)]
+        text = [t - max(text) for t in text]
+        said = language_id.declared(page)
+        seen.append((page_id, host, text, text.index(max(text)) if slots else None, said if said is None or said in languages else "other"))
+    votes = Counter()
+    for _, host, _, vote, _ in seen:
+        for level in {("all",), ("suffix", host.split(".")[-1]), ("domain", _domain(host)), ("host", host)}:
+            votes[level, vote] += vote is not None
+    heard = Counter((vote, d) for *_, vote, d in seen if vote is not None and d is not None)
+    names, out = [*languages, "other"], {}
+    for page_id, host, text, vote, d in seen:
+        total = []
+        for i in range(k):
+            prior = 1 / k
+            for level in (("all",), ("suffix", host.split(".")[-1]), ("domain", _domain(host)), ("host", host)):
+                whole = sum(votes[level, j] for j in range(k)) - (vote is not None)
+                prior = (votes[level, i] - (vote == i) + language_id.STRENGTH * prior) / (whole + language_id.STRENGTH)
+            told = 0.0
+            if d is not None:
+                true = 0.9 if d == languages[i] else 0.1 / k
+                told = log((heard[i, d] + language_id.STRENGTH * true) / (sum(heard[i, x] for x in names) + language_id.STRENGTH))
+            total.append(log(prior) + text[i] + told)
+        best = max(range(k), key=lambda i: (total[i], -i))
+        out[page_id] = (languages[best], 1 / sum(exp(t - total[best]) for t in total))
+    return out
+
+
+def test_language_posterior_by_brute_force(spark):
+    """A hot host, "co.uk", nulls, a very long page, clashing columns: the posterior of every page."""
+    words = {"en": "the and with from that", "de": "der und nicht mit das", "fr": "les des dans pour avec"}
+    docs = spark.createDataFrame([(i, f"{w} {i}", g) for i in range(15) for g, w in words.items()] + [(99, "x y z", "??"), (98, "les", "FR-ca")], "doc_id long, text string, lang string")
+    pages, hosts = [], ("www.shop.co.uk", "a.b.de", "a.c.de", "news.fr", "shop.co.uk", "other.co.uk")
+    for i in range(400):
+        host = "hot.example.com" if i % 3 == 0 else hosts[i % len(hosts)]
+        g = ("en", "de", "fr", "de", "en")[i % 5]
+        lang = (f" lang='{g}'", "", " lang=sv", " lang=fr")[i % 4]
+        pages.append((i, f"http://{host}/{i}", f"<html{lang}><p>{words[g] if i % 7 else 'der les'} {i}</p></html>"))
+    pages += [(900, None, None), (901, "http://solo.it/", ""), (902, "http://news.fr/x", None), (903, "http://long.de/", f"<p>{words['en'] * 30_000}</p>")]
+    df = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, lang string, host int")
+    languages, logs = language_id.fit(docs)
+    assert languages == ["de", "en", "fr"]
+    want = _posteriors(pages, languages, logs)
+    got = {r.page_id: (r.lang, r.probability) for r in language_id.identify(df, docs).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 1e-6 for p in want)
