@@ -1,21 +1,26 @@
 """Exact top-k search by aggregation without random access (operator 3).
 
 Vectors become integers, ``floor(256 x)``, and a score is their inner product. The rows
-are cut into shards; a shard keeps one list per component, sorted by value, and reads all
-lists from the end that the query's sign prefers, some entries at a time. An entry that
-was read counts as it is; one that wasn't lies between the list's far end and the value
-read last. So every vector has a lower and an upper score. A query is over in a shard
-once fewer vectors than ``RESOLVE`` can still reach its k-th lower score; these few are
-then scored fully. The bounds of all queries of a block come from four matrix products.
+are cut into shards; a shard keeps one list per component, sorted by magnitude, and an
+entry carries its vector's squared norm. A query reads the lists from their heads, best
+first: at each level every list is read on to where an entry's part of the score,
+``|q_j v_j|``, falls below one common value. What was read counts as it is. The parts not
+read are bounded by the lists' next entries, and by what is left of the query's and the
+vector's norms (Cauchy-Schwarz), so every vector has a lower and an upper score. Once at
+most ``RESOLVE`` vectors, or a 32nd of the shard, can still reach the k-th lower score, no
+outsider qualifies: the query stops reading, and the few are scored in full.
 
 The query set is stated (ids divisible by ``every``), so blocks of queries meet shards of
-rows, each pair once, in tasks of their own; per pair at most k rows go on. Nothing is
-broadcast or collected.
+rows, each pair once. A task holds one shard and streams blocks; per pair at most k rows
+go on. Nothing is broadcast or collected, and tasks grow with the rows.
 
 Defined cases: a vector that is null, or has a null, NaN or infinite component, takes no
-part; vectors of different lengths are compared over the shorter; an id that repeats
-makes separate candidates, and is never its own candidate; equal scores rank by id;
-integers are held within 2**28, so that scores stay exact.
+part, nor does a row of null id; vectors of different lengths are compared over the
+shorter; an id that repeats makes separate candidates, and is never its own candidate; of
+equal queries one is asked, and different vectors of one query's id are asked together;
+equal scores rank by id; integers beyond a long are held at its ends, sums are exact at
+any size, and a score beyond a long is shown as its end; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,31 +32,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import exchange_width, materialize, small_batches
 
-LARGEST = float(1 << 28)
-SHARD, BLOCK, RESOLVE = 4096, 1024, 64
-DEPTHS = (0.125, 0.25, 0.5, 0.75)
-FOUND = "query_id long, vec_id long, score long"
+LEAST, LARGEST = -float(1 << 63), float((1 << 63) - 1024)  # doubles that fit a long
+SHARD, BLOCK, RESOLVE = 16_384, 128, 64
+SHARES = (0.4, 0.5, 0.55, 0.6, 0.65, 0.7, 0.74, 0.78, 0.82, 0.86, 0.9, 0.95, 1.0)  # of all entries, at a level
+FOUND = "query_id long, vec_id long, score long, key binary"
 
 
-def packed(rows: DataFrame, groups: int, name: str) -> DataFrame:
-    """Rows (vec_id, v) in ``groups`` blobs by hash of the id: (``name``, ids, cells, width)."""
+def packed(rows: DataFrame, groups: int, name: str, *place) -> DataFrame:
+    """Rows (vec_id, v) in ``groups`` blobs by hash of ``place``: (``name``, ids, cells, width)."""
 
     def run(table: pa.Table) -> pa.Table:
-        lists = [x.as_py() for x in table["v"]]
-        width = max(map(len, lists))
+        lists = table["v"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        width = int(sizes.max())
         cells = np.zeros((len(lists), width), dtype="<i8")
-        for i, x in enumerate(lists):
-            cells[i, : len(x)] = x
-        ids = np.array(table["vec_id"].to_pylist(), dtype="<i8")
+        cells[np.arange(width)[None, :] < sizes[:, None]] = lists.flatten().to_numpy()
+        ids = table["vec_id"].to_numpy().astype("<i8")
         return pa.table({name: pa.array([table[name][0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "cells": pa.array([_squeeze(cells)], pa.binary()), "width": pa.array([width], pa.int32())})
 
-    return rows.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(groups))).groupBy(name).applyInArrow(run, f"{name} long, ids binary, cells binary, width int")
+    return rows.withColumn(name, F.pmod(F.xxhash64(*place), F.lit(groups))).groupBy(name).applyInArrow(run, f"{name} long, ids binary, cells binary, width int")
 
 
 def _squeeze(cells: np.ndarray) -> bytes:
-    small = np.abs(cells).max(initial=0) < 32767
+    small = cells.max(initial=0) < 32767 and cells.min(initial=0) > -32767
     return (b"s" if small else b"l") + cells.astype("<i2" if small else "<i8").tobytes()
 
 
@@ -59,97 +64,125 @@ def _open(blob: bytes, rows: int, width: int) -> np.ndarray:
     return np.frombuffer(blob, dtype="<i2" if blob[:1] == b"s" else "<i8", offset=1).reshape(rows, width)
 
 
+class Reading:
+    """One query's way through a shard's lists: how far each is read, and what is known of every vector."""
+
+    def __init__(self, lists: Lists, query: np.ndarray):
+        self.lists, self.query = lists, query
+        n, width = len(lists.ids), len(query)
+        self.at = np.zeros(width, dtype=np.int64)
+        self.score, self.left = np.zeros(n), lists.norms.copy()
+        self.asked = np.full(n, float(query @ query))
+        self.slack = 1e-12 * (1 + self.asked[0] if n else 1.0), 1e-12 * (1 + lists.norms.max(initial=0))  # of sums in floating point
+
+    def read(self, share: float) -> None:
+        """Read on, best first, until about ``share`` of all entries are read."""
+        lists, weight = self.lists, np.abs(self.query)
+        worth = lists.marks * weight  # of some entries of each list
+        level = np.sort(worth, axis=None)[int((1 - share) * (worth.size - 1))] if share < 1 else -1.0
+        for j in range(len(weight)):
+            begin, n = self.at[j], len(lists.ids)
+            end = n if level < 0 else np.searchsorted(-lists.sizes[j], -level / weight[j], side="right") if weight[j] else n if level <= 0 else 0
+            if end > begin:
+                rows, value = lists.order[j, begin:end], lists.values[j, begin:end]
+                self.score[rows] += self.query[j] * value
+                self.left[rows] -= value * value
+                self.asked[rows] -= weight[j] ** 2
+                self.at[j] = end
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper scores of all vectors."""
+        n = len(self.lists.ids)
+        following = np.array([self.lists.sizes[j, a] if a < n else 0.0 for j, a in enumerate(self.at)])
+        unread = float(np.abs(self.query) @ following)
+        width = np.sqrt((np.maximum(self.asked, 0) + self.slack[0]) * (np.maximum(self.left, 0) + self.slack[1]))
+        width = np.minimum(width, unread + np.sqrt(self.slack[0] * self.slack[1]))
+        return self.score - width, self.score + width
+
+
 class Lists:
-    """A shard's sorted lists; ``upto[d]`` says how far they are read at depth d."""
+    """A shard's lists, sorted by magnitude, as rows of ``order`` (whose), ``values`` and ``sizes``."""
 
     def __init__(self, ids: np.ndarray, cells: np.ndarray):
-        self.ids, self.cells = ids, cells.astype(np.float64)
+        self.ids, self.whole = ids, cells.astype(np.int64)
+        columns = np.ascontiguousarray(cells.T).astype(np.float64)
+        self.norms = (columns * columns).sum(axis=0)
+        self.order = np.argsort(-np.abs(columns), axis=1, kind="stable")
+        self.values = np.take_along_axis(columns, self.order, axis=1)
+        self.sizes = np.abs(self.values)
         n = len(ids)
-        order = np.argsort(cells, axis=0, kind="stable")
-        self.rank = np.empty_like(order)
-        np.put_along_axis(self.rank, order, np.arange(n)[:, None], axis=0)
-        self.sorted = np.take_along_axis(self.cells, order, axis=0)
-
-    def bounds(self, query: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper scores of all vectors for all queries after ``depth`` entries of each list."""
-        n = len(self.ids)
-        plus, minus = np.maximum(query, 0), np.minimum(query, 0)
-        top, bottom = self.sorted[-1], self.sorted[0]
-        down, up = self.rank >= n - depth, self.rank < depth  # read from the high end; from the low end
-        last_down, last_up = self.sorted[n - depth], self.sorted[depth - 1]
-        lower = plus @ np.where(down, self.cells, bottom).T + minus @ np.where(up, self.cells, top).T
-        upper = plus @ np.where(down, self.cells, last_down).T + minus @ np.where(up, self.cells, last_up).T
-        return lower, upper
-
-    def top(self, query_ids: np.ndarray, query: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Per query its k best (ids, scores) here."""
-        n, width = self.cells.shape
-        shared = min(width, query.shape[1])
-        wide = np.zeros((len(query), width))
-        wide[:, :shared] = query[:, :shared]
-        open_, whole = np.arange(len(query)), self.cells.astype(np.int64)
-        for depth in [max(1, int(n * d)) for d in DEPTHS] if n > RESOLVE else []:
-            if not len(open_):
+        self.marks = self.sizes[:, np.linspace(0, n - 1, min(n, 64)).astype(np.int64)].T
+        self.entries_read = self.entries = 0
+
+    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+        """The ids and scores of the query's k best here."""
+        n, width = self.whole.shape
+        wide = np.zeros(width, dtype=np.int64)
+        wide[: len(query)] = query[:width]
+        reading, others = Reading(self, wide.astype(np.float64)), self.ids != query_id
+        near = others
+        few = max(RESOLVE, n // 32)
+        for share in SHARES:
+            if near.sum() <= few:
                 break
-            lower, upper = self.bounds(wide[open_], depth)
-            own = query_ids[open_][:, None] == self.ids[None, :]
-            lower[own] = -np.inf
-            kth = np.partition(lower, n - k, axis=1)[:, n - k] if n >= k else np.full(len(open_), -np.inf)
-            near = (upper >= kth[:, None]) & ~own
-            over = near.sum(axis=1) <= RESOLVE
-            for i in np.flatnonzero(over):
-                yield self._resolve(query_ids[open_[i]], wide[open_[i]], whole, np.flatnonzero(near[i]), k)
-            open_ = open_[~over]
-        for part in np.array_split(open_, max(1, len(open_) // 256)):  # the lists read to their ends
-            if len(part):
-                score = wide[part] @ self.cells.T
-                own = query_ids[part][:, None] == self.ids[None, :]
-                score[own] = -np.inf
-                kth = np.partition(score, n - k, axis=1)[:, n - k] if n >= k else np.full(len(part), -np.inf)
-                near = (score >= kth[:, None]) & ~own
-                for i, q in enumerate(part):
-                    yield self._resolve(query_ids[q], wide[q], whole, np.flatnonzero(near[i]), k)
-
-    def _resolve(self, query_id: int, query: np.ndarray, whole: np.ndarray, near: np.ndarray, k: int):
-        score = whole[near] @ query.astype(np.int64)
-        best = np.lexsort((self.ids[near], -score))[:k]
-        return int(query_id), self.ids[near][best], score[best]
+            reading.read(share)
+            lower, upper = reading.bounds()
+            lower[~others] = -np.inf
+            near = others & (upper >= np.partition(lower, n - k)[n - k])
+        self.entries_read, self.entries = self.entries_read + int(reading.at.sum()), self.entries + n * width
+        return self._resolve(wide, np.flatnonzero(near), k)
+
+    def _resolve(self, query: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+        cells, most = self.whole[near], float(np.abs(query.astype(np.float64)).max(initial=0)) * float(np.abs(self.values).max(initial=0))
+        if most * max(1, len(query)) < 1 << 62:
+            score = cells @ query
+            best = np.lexsort((self.ids[near], -score))[:k]
+            return self.ids[near][best], score[best].tolist()
+        exact = [sum(x * y for x, y in zip(row, query.tolist(), strict=True)) for row in cells.tolist()]
+        best = sorted(range(len(exact)), key=lambda i: (-exact[i], self.ids[near[i]]))[:k]
+        return self.ids[near[best]], [exact[i] for i in best]
 
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, lists = None, None
         for batch in batches:
-            for ids, cells, width, query_ids, query_cells, query_width in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                n, m = len(ids) // 8, len(query_ids) // 8
-                lists = Lists(np.frombuffer(ids, "<i8"), _open(cells, n, width))
-                found = list(lists.top(np.frombuffer(query_ids, "<i8"), _open(query_cells, m, query_width).astype(np.float64), k))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)),
-                        pa.array(np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])),
-                        pa.array(np.concatenate([f[2] for f in found] or [np.zeros(0, np.int64)])),
-                    ],
-                    names=["query_id", "vec_id", "score"],
-                )
+            for now, ids, cells, width, query_ids, query_cells, query_width in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if shard != now:
+                    n = len(ids) // 8
+                    shard, lists = now, Lists(np.frombuffer(ids, "<i8"), _open(cells, n, width))
+                query_ids = np.frombuffer(query_ids, "<i8")
+                rows = [], [], []
+                for query_id, query in zip(query_ids.tolist(), _open(query_cells, len(query_ids), query_width).astype(np.int64), strict=True):
+                    best, score = lists.top(query_id, query, k)
+                    for out, x in zip(rows, ([query_id] * len(best), best.tolist(), score), strict=True):
+                        out += x
+                shown = [min(max(x, -(1 << 63)), (1 << 63) - 1) for x in rows[2]]
+                keys = [(x + (1 << 159)).to_bytes(20, "big") for x in rows[2]]  # in the order of the scores, of any size
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(shown, pa.int64()), pa.array(keys, pa.binary())], names=["query_id", "vec_id", "score", "key"])
 
     return run
 
 
 def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best other rows of each query."""
-    v = F.transform("embedding", lambda x: F.floor(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), 256 * x.cast("double")))).cast("long"))
+    spark = vectors.sparkSession
+    small_batches(spark)
+    v = F.transform("embedding", lambda x: F.greatest(F.lit(LEAST), F.least(F.lit(LARGEST), 256 * x.cast("double"))))
+    v = F.transform(v, lambda x: F.floor(x).cast("long"))
     sound = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.where("vec_id is not null").where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    asked = rows.where(F.col("vec_id") % every == 0)
+    asked = rows.where(F.col("vec_id") % every == 0).distinct()
     n, m = rows.count(), asked.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
-    data = materialize(packed(rows, shards, "shard"), "topk-shards")
-    queries = packed(asked.distinct(), blocks, "block").select("block", F.col("ids").alias("query_ids"), F.col("cells").alias("query_cells"), F.col("width").alias("query_width"))
-    # Every block of queries is due at every shard: it is sent there, and the pairs are dealt to tasks.
+    parts = min(blocks, -(-2 * exchange_width(spark) // shards))  # a few shards alone would leave tasks idle
+    data = packed(rows, shards, "shard", "vec_id", F.monotonically_increasing_id())  # of the rows as read: ids and whole rows may repeat
+    data = materialize(data, "topk-shards").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    queries = packed(asked, blocks, "block", "vec_id", "v").select(F.pmod("block", F.lit(parts)).alias("part"), F.col("ids").alias("query_ids"), F.col("cells").alias("query_cells"), F.col("width").alias("query_width"))
     sent = materialize(queries, "topk-queries").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    pairs = data.join(sent, "shard").repartition(shards * blocks, "shard", "block")
-    found = pairs.select("ids", "cells", "width", "query_ids", "query_cells", "query_width").mapInArrow(_search(k), FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    pairs = data.repartition(shards * parts, "shard", "part").join(sent.repartition(shards * parts, "shard", "part"), ["shard", "part"])
+    found = pairs.select("shard", "ids", "cells", "width", "query_ids", "query_cells", "query_width").mapInArrow(_search(k), FOUND)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -32,12 +32,45 @@ def test_against_all(spark, monkeypatch):
 
 def test_bounds_hold():
     pick = np.random.RandomState(5)
-    cells, query = pick.randint(-50, 50, (200, 6)), pick.randint(-50, 50, (9, 6)).astype(float)
-    lists = topk_search.Lists(np.arange(200), cells)
-    exact = query @ cells.T
-    width = []
-    for depth in (1, 20, 100, 200):
-        lower, upper = lists.bounds(query, depth)
-        assert (lower <= exact).all() and (exact <= upper).all()
+    cells, query = pick.randint(-50, 50, (200, 6)), pick.randint(-50, 50, 6).astype(float)
+    query[3] = 0
+    reading = topk_search.Reading(topk_search.Lists(np.arange(200), cells), query)
+    exact, width = query @ cells.T, []
+    for share in (0.1, 0.3, 0.6, 1.0):
+        reading.read(share)
+        lower, upper = reading.bounds()
+        assert (lower <= exact + 1e-6).all() and (exact <= upper + 1e-6).all()
         width.append((upper - lower).mean())
-    assert width == sorted(width, reverse=True) and width[-1] == 0
+    assert width == sorted(width, reverse=True) and width[-1] < 1e-3
+
+
+def test_queries_stop_reading_early(spark):
+    """On the table every query stops before the lists end; what it read and what it left is counted."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids = np.array([r.vec_id for r in rows])
+    cells = np.floor(256 * np.array([r.embedding for r in rows]).astype(np.float64)).astype(np.int64)
+    lists = topk_search.Lists(ids, cells)
+    for at in np.flatnonzero(ids % 50 == 0):
+        before = lists.entries_read
+        best, score = lists.top(ids[at], cells[at], 5)
+        all_ = cells @ cells[at]
+        all_[at] = -(1 << 60)
+        order = np.lexsort((ids, -all_))[:5]
+        assert best.tolist() == ids[order].tolist() and score == all_[order].tolist()
+        assert lists.entries_read - before < 0.93 * cells.size
+    assert lists.entries_read < 0.85 * lists.entries
+
+
+def test_large_components(spark):
+    """Integers far beyond 2**28, and sums beyond a long: exact, and in order."""
+    pick = np.random.RandomState(6)
+    rows = [(i, (pick.randn(4) * 10.0 ** pick.randint(-2, 13)).tolist()) for i in range(300)]
+    rows += [(1000, [2e6, 2e6, -2e6, 1.0]), (1001, [2e6, 2e6, -2e6, 1.25]), (1050, [1e300, 1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    held = [(i, [min(max(int(np.floor(min(max(256 * x, -(2.0**63)), 2.0**63 - 1024))), -(2**63)), 2**63 - 1) for x in v]) for i, v in rows]
+    want = set()
+    for q, a in held:
+        if q % 50 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in held if i != q)
+            want |= {(q, r + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, i) in enumerate(scored[:5])}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.search(df).collect()} == want
