@@ -1,392 +1,186 @@
 """Cross-entropy difference of two bigram models (operator 7).
 
 The target model is counted over good documents, the background model over all
-documents; both share one vocabulary and, the background scaled to the target's size,
-one strength of smoothing. A document's score is the mean over its tokens of the
-background loss less the target loss: the higher, the more it reads like the target.
+documents; both share one vocabulary, all words of the corpus, and, the background scaled
+to the target's size, one strength of smoothing. A document's score is the mean over its
+tokens of the background loss less the target loss: the higher, the more it reads like
+the target.
 
-    p(w | v) = (c(v, w) + MU p(w)) / (c(v) + MU),   p(w) = (c(w) + 1) / (N + V)
+    p(w | v) = (c(v, w) + MU p(w)) / (c(v) + MU),   p(w) = (c(w) + 1) / (N + V + 1)
 
-The vocabulary is all words of the corpus. Those of the most frequent ones that ``HELD``
-has room for, in whole classes of frequency, have ids and broadcast counts; a pair of two
-such words goes, with its document, to the bucket of its key. A word beyond them is at most
-a ``HELD``-th of the corpus: it has a bucket by its hash, where its counts and those of its
-pairs are complete. In the buckets the losses are summed up per document. A document's own
-pairs are left out of the counts that score it. Counts cover all documents, and all good
-ones: the labels are joined to the documents. Callers may bound the vocabulary
-(``most_words``, up to ``HELD``); then other words are one unknown word.
+Documents are stored in slices of about ``SLICE_BYTES``. A slice adds up its own words and
+pairs and sends each, once, with both counts to the bucket of its key; the bucket adds the
+slices up and answers each with the totals, in the order that it asked in; the slice then
+scores its documents. So the most frequent pair is one entry per slice and not one per
+document, nothing is broadcast, and both kinds of tasks stay as large as they are when
+the corpus grows. A document's own pairs are left out of the counts that score it.
 
 Defined cases: null text counts as empty; a text of under two words has 0 tokens and
-score 0; rows repeating a doc_id count as one document; a row with null doc_id isn't
-counted and scores null; without target documents every score is 0; an empty table gives
-an empty result.
+score 0; rows that repeat a doc_id are documents of their own; a row of null doc_id isn't
+counted and scores null; a very long text is a slice by itself; without target documents
+every score is 0; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import exchange_width, materialize
-from .textops import U64, Words, lower_ascii, slices, string_buffer
+from .storage import exchange_width, materialize, small_batches
+from .textops import U64, Words, lower_ascii, mix, slices, string_buffer
 
-VOCABULARY = sys.maxsize  # no bound
-HELD = 65_535  # words with ids of 16 bits and broadcast counts
 MU = 20.0
-COUNT = np.dtype([("h", "<u8"), ("all", "<u4"), ("target", "<u4")])
-DOC = np.dtype([("doc", "<i8"), ("good", "u1")])
-PAIRS = "bucket long, docs binary, keys binary, rows binary, counts binary, rare binary"
-# About a word h without an id, in one document: its count; a pair of it and the id after it;
-# a pair of the id before it and it; a pair of another such word and it; its count as the first of those.
-COUNTED, BEFORE_ID, AFTER_ID, AFTER_RARE, BEFORE_RARE = range(5)
-RARE = [("h", "<u8"), ("other", "<u8"), ("row", "<u4"), ("n", "<u4"), ("kind", "u1")]
-SUM = np.dtype([("doc", "<i8"), ("sum", "<f8"), ("n", "<u4")])
-STEP = 8  # classes of frequency per octave
+SLICE_BYTES = 2 << 20
+BUCKET_BYTES = 16 << 20  # of text, whose entries one bucket gets
+GRAINS = 16
+KINDS = ("words", "pairs")
+SLICES = "slice long, bytes long, n_all long, n_target long, ids binary, good binary, ends binary, text binary"
+ASKED = "bucket long, slice long, " + ", ".join(f"{k}_{c} binary" for k in KINDS for c in ("keys", "all", "target"))
+TOLD = "slice long, bucket long, distinct long, " + ", ".join(f"{k}_{c} binary" for k in KINDS for c in ("all", "target"))
 
 
-def frequency_class(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(n, 1)) * STEP).astype(np.int64)
+def ints(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs, byte by byte, which compresses well; the first byte tells."""
+    most = int(x.max(initial=0))
+    size = next(s for s in (1, 2, 4, 8) if most < 1 << 8 * s)
+    return bytes([size]) + np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T).tobytes()
 
 
-def _cuts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(bucket):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    return cut, np.append(cut[1:], len(bucket))
+def whole(blob: bytes) -> np.ndarray:
+    size = blob[0]
+    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{size}").reshape(-1).astype(U64)
 
 
-def _words(buckets: int):
+def _stored(limit: int):
+    """Rows (doc_id, text, good) as slices."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def deal() -> pa.RecordBatch:
-            e = _added(np.concatenate(held))
-            at = (e["h"] % U64(buckets)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            e, at = e[order], at[order]
-            cut, end = _cuts(at)
-            return pa.RecordBatch.from_arrays([pa.array(at[cut], pa.int64()), pa.array([e[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary())], names=["bucket", "blob"])
-
-        for batch in slices(batches, "text"):
-            raw, offsets = string_buffer(batch.column(1))
-            words = Words(lower_ascii(raw), offsets)
-            h = words.hashes()
-            good = batch.column(2).to_numpy(zero_copy_only=False)[words.row_of_word()]
-            e = np.empty(len(h), dtype=COUNT)
-            e["h"], e["all"], e["target"] = h, 1, good
-            held.append(_added(e))
-            size += len(held[-1])
-            if size > 1_000_000:
-                yield deal()
-                held, size = [], 0
-        if held:
-            yield deal()
+        pack, number = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId() << 32
+        for batch in slices(batches, "text", limit):
+            raw, ends = string_buffer(batch.column(1))
+            words = Words(raw, ends).per_row
+            good = batch.column(2).to_numpy(zero_copy_only=False)
+            row = [number, len(raw), int(words.sum()), int(words[good].sum()), batch.column(0).to_numpy().astype("<i8").tobytes(), good.tobytes(), ends.astype("<i8").tobytes(), pack(raw.tobytes())]
+            kinds = [pa.int64()] * 4 + [pa.binary()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in SLICES.split(", ")])
+            number += 1
 
     return run
 
 
-def _added(e: np.ndarray) -> np.ndarray:
-    """Counts of equal hashes added up."""
-    if not len(e):
-        return e
-    e = e[np.argsort(e["h"])]
-    head = np.flatnonzero(np.concatenate([[True], e["h"][1:] != e["h"][:-1]]))
-    out = e[head].copy()
-    for c in ("all", "target"):
-        out[c] = np.minimum(np.add.reduceat(e[c].astype(np.int64), head), 2**32 - 1)
-    return out
-
-
-def _totals(table: pa.Table) -> pa.Table:
-    """Of a bucket's words: (class, words, all, target, blob) per class of frequency."""
-    e = _added(np.concatenate([np.frombuffer(x.as_py(), COUNT) for x in table["blob"]]))
-    kind = frequency_class(e["all"])
-    order = np.argsort(kind, kind="stable")
-    e, kind = e[order], kind[order]
-    cut, end = _cuts(kind)
-    sums = [[int(e[c][a:b].astype(np.int64).sum()) for a, b in zip(cut, end, strict=True)] for c in ("all", "target")]
-    return pa.table({"class": pa.array(kind[cut], pa.int64()), "words": pa.array(end - cut, pa.int64()), "all": pa.array(sums[0], pa.int64()), "target": pa.array(sums[1], pa.int64()), "blob": pa.array([e[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary())})
-
-
-class Unigrams:
-    """Both models' counts of the words with ids; id ``len(h)`` is any other word.
-
-    ``rest`` has the counts of all other words. ``rare`` is how many they are if each is a
-    word of its own, and 0 if they are one unknown word."""
-
-    def __init__(self, words: np.ndarray, rest: tuple[int, int], rare: int = 0):
-        words = words[np.argsort(words["h"])]
-        self.h, self.rare = words["h"], rare
-        self.all = np.append(words["all"], rest[0]).astype(np.float64)
-        self.target = np.append(words["target"], rest[1]).astype(np.float64)
-        self.size = len(self.all) + rare
-        self.n_all, self.n_target = self.all.sum(), self.target.sum()
-        self.ratio = self.n_target / max(self.n_all, 1)
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.h):
-            return np.zeros(len(h), np.int64)
-        at = np.searchsorted(self.h, h)
-        return np.where(self.h[np.minimum(at, len(self.h) - 1)] == h, at, len(self.h))
-
-    def word(self, all_: np.ndarray, target: np.ndarray, n_all: np.ndarray, n_target: np.ndarray) -> np.ndarray:
-        """The second word's part of the gain: pairs with the first two counts, words with the others."""
-        p_all, p_target = (n_all + 1) / (self.n_all + self.size), (n_target + 1) / (self.n_target + self.size)
-        return np.log(target + MU * p_target) - np.log(self.ratio * all_ + MU * p_all)
-
-    def context(self, n_all: np.ndarray, n_target: np.ndarray) -> np.ndarray:
-        """The first word's part."""
-        return np.log(self.ratio * n_all + MU) - np.log(n_target + MU)
-
-    def gain(self, key: np.ndarray, all_: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Background loss less target loss of pairs with these counts."""
-        v, w = key >> 16, key & 0xFFFF
-        return self.word(all_, target, self.all[w], self.target[w]) + self.context(self.all[v], self.target[v])
-
-
-def vocabulary(docs: DataFrame, most: int, held: int = HELD) -> Unigrams:
-    """Counted over all documents; at most ``held`` words reach the driver."""
-    counted = docs.mapInArrow(_words(exchange_width(docs.sparkSession)), "bucket long, blob binary")
-    classes = materialize(counted.groupBy("bucket").applyInArrow(_totals, "class long, words long, all long, target long, blob binary"), "lm-words")
-    sizes = classes.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("words", "all", "target")]).collect()  # some hundred classes at most
-    total, lowest = 0, None
-    for r in sorted(sizes, key=lambda r: -r["class"]):
-        total += r["words"]
-        if total > min(most, held):
-            break
-        lowest = r["class"]
-    taken = [] if lowest is None else classes.where(F.col("class") >= lowest).select("blob").collect()
-    words = np.concatenate([np.frombuffer(r.blob, COUNT) for r in taken] or [np.zeros(0, COUNT)])
-    rest = tuple(sum(r[c] for r in sizes if lowest is None or r["class"] < lowest) for c in ("all", "target"))
-    distinct = sum(r["words"] for r in sizes)
-    return Unigrams(words, rest, distinct - len(words) if distinct <= most else 0)
-
-
-def _rare(h: np.ndarray, word: np.ndarray, row: np.ndarray, same: np.ndarray, unknown: int) -> np.ndarray:
-    """What the buckets of words without an id learn from a slice, equal entries added up."""
-    rare = word == unknown
-    v, w = np.flatnonzero(same), np.flatnonzero(same) + 1
-    one = np.flatnonzero(rare)
-    parts = [(COUNTED, one, None)]
-    parts.append((BEFORE_ID, v[k := rare[v] & ~rare[w]], word[w[k]]))
-    parts.append((AFTER_ID, w[k := ~rare[v] & rare[w]], word[v[k]]))
-    parts.append((AFTER_RARE, w[k := rare[v] & rare[w]], h[v[k]]))
-    parts.append((BEFORE_RARE, v[k], None))
-    e = np.empty(sum(len(at) for _, at, _ in parts), dtype=RARE)
-    done = 0
-    for kind, at, other in parts:
-        x = e[done : done + len(at)]
-        x["h"], x["other"], x["row"], x["n"], x["kind"] = h[at], 0 if other is None else other, row[at], 1, kind
-        done += len(at)
-    e = e[np.lexsort((e["row"], e["other"], e["kind"], e["h"]))]
-    head = np.flatnonzero(np.concatenate([[True], _differ(e, "h", "kind", "other", "row")])) if len(e) else np.zeros(0, np.int64)
-    out = e[head]
-    out["n"] = np.diff(np.append(head, len(e)))
-    return out
-
-
-def _differ(e: np.ndarray, *fields: str) -> np.ndarray:
-    """Of sorted entries, those from the second on that differ from the one before."""
-    return np.logical_or.reduce([e[f][1:] != e[f][:-1] for f in fields])
-
-
-def _columns(e: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(e[f]).tobytes() for f, _ in RARE)
-
-
-def _entries(blob: bytes) -> np.ndarray:
-    out = np.empty(len(blob) // np.dtype(RARE).itemsize, dtype=RARE)
-    at = 0
-    for f, kind in RARE:
-        out[f] = np.frombuffer(blob, kind, len(out), at)
-        at += len(out) * np.dtype(kind).itemsize
-    return out
-
-
-def _pairs(buckets: int, unigrams):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = unigrams.value
-        for batch in slices(batches, "text", 2 << 20):
-            raw, offsets = string_buffer(batch.column(1))
-            words = Words(lower_ascii(raw), offsets)
-            h = words.hashes()
-            word = model.ids(h).astype(np.uint64)
-            row = words.row_of_word()
-            same = row[1:] == row[:-1]
-            rare = np.zeros(0, RARE)
-            if model.rare:
-                rare = _rare(h, word, row, same, len(model.h))
-                same &= (word[1:] != len(model.h)) & (word[:-1] != len(model.h))
-            full = (row[:-1][same].astype(np.uint64) << U64(32)) | (word[:-1][same] << U64(16)) | word[1:][same]
-            full, count = np.unique(full, return_counts=True)
-            key, doc = (full & U64(0xFFFFFFFF)).astype(np.uint32), (full >> U64(32)).astype(np.uint32)
-            at = _bucket(key, buckets)
-            order = np.lexsort((key, at))
-            key, doc, count, at = key[order], doc[order], count[order], at[order]
-            docs = np.empty(batch.num_rows, dtype=DOC)
-            docs["doc"], docs["good"] = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-            place_of = (rare["h"] % U64(buckets)).astype(np.int64)
-            order = np.argsort(place_of, kind="stable")
-            rare, all_buckets = rare[order], np.arange(buckets + 1)
-            cut, rare_cut = np.searchsorted(at, all_buckets), np.searchsorted(place_of[order], all_buckets)
-            rows = [[], [], [], [], [], []]
-            for i in np.flatnonzero(np.diff(cut) + np.diff(rare_cut)):
-                a, b, c = cut[i], cut[i + 1], rare[rare_cut[i] : rare_cut[i + 1]]
-                own, place = np.unique(np.concatenate([doc[a:b], c["row"]]), return_inverse=True)
-                small = "<u2" if len(own) < 65536 else "<u4"
-                c["row"] = place[b - a :]
-                for out, x in zip(rows, (int(i), docs[own].tobytes(), _planes(key[a:b]), b"%d" % (2 + 2 * (small == "<u4")) + place[: b - a].astype(small).tobytes(), _sized(count[a:b]), _columns(c)), strict=True):
-                    out.append(x)
-            # Every document arrives somewhere, those without a pair too.
-            for out, x in zip(rows, (int(docs["doc"][0] % buckets), docs.tobytes(), b"", b"2", b"2", b""), strict=True):
-                out.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64())] + [pa.array(r, pa.binary()) for r in rows[1:]], names=["bucket", "docs", "keys", "rows", "counts", "rare"])
+class Counted:
+    """A slice's words and pairs: their keys by bucket, and which ones its tokens are."""
 
-    return run
+    def __init__(self, ends: bytes, text: bytes, buckets: int):
+        offsets = np.frombuffer(ends, "<i8")
+        words = Words(lower_ascii(np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)), offsets)
+        h = words.hashes()
+        self.row = words.row_of_word()
+        self.first = np.flatnonzero(self.row[1:] == self.row[:-1])  # a pair is its first word's place
+        pair = mix(h[self.first] * U64(0x9FB21C651E98DF25) + h[self.first + 1])
+        self.keys, self.which, self.bucket = {}, {}, {}
+        for kind, key in zip(KINDS, (h, pair), strict=True):
+            key, which = np.unique(key, return_inverse=True)
+            bucket = (key % U64(buckets)).astype(np.int64)
+            order = np.lexsort((key, bucket))
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            self.keys[kind], self.bucket[kind], self.which[kind] = key[order], bucket[order], rank[which]
 
 
-def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
-    return ((key.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(33)).astype(np.int64) % buckets
-
-
-def _sized(count: np.ndarray) -> bytes:
-    """Counts in two bytes each, or in four where one needs them; the first byte tells."""
-    size = 2 if not len(count) or count.max() < 65536 else 4
-    return b"%d" % size + count.astype(f"<u{size}").tobytes()
-
-
-def _planes(key: np.ndarray) -> bytes:
-    """Ascending keys as differences, byte by byte, which compresses well."""
-    return np.diff(key, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _keys(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), dtype=np.uint32)
-
-
-def _parts(head: np.ndarray, size: int = 1 << 18) -> Iterator[slice]:
-    """Whole groups of sorted entries, about ``size`` entries at a time; ``head`` marks the groups' first ones."""
-    start = 0
-    while start < len(head):
-        more = np.flatnonzero(head[start + size : start + 2 * size])
-        stop = start + size
-        while stop < len(head) and not len(more):
-            stop += size
-            more = np.flatnonzero(head[stop : stop + size])
-        stop = min(stop + (int(more[0]) if len(more) else 0), len(head))
-        yield slice(start, stop)
-        start = stop
-
-
-def _heads(differ: np.ndarray, n: int) -> np.ndarray:
-    return np.concatenate([[True], differ])[:n]
-
-
-def _held_gain(model: Unigrams, k: np.ndarray, own: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """Of pairs in the order of their keys: count, and if the document is good."""
-    own_good = own * good
-    group = np.cumsum(_heads(k[1:] != k[:-1], len(k))) - 1
-    all_, target = (np.bincount(group, weights=c)[group] - c for c in (own, own_good))
-    return own * model.gain(k.astype(np.int64), all_, target)
-
-
-def _rare_gain(model: Unigrams, x: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """Of entries of words without an id, in the order of h, kind and other; a word's entries are complete."""
-    own = x["n"].astype(np.float64)
-    own_good = own * good
-    word = np.cumsum(_heads(_differ(x, "h"), len(x))) - 1
-    counted = x["kind"] == COUNTED
-    n_all, n_target = (np.bincount(word, weights=c * counted)[word] for c in (own, own_good))
-    group = np.cumsum(_heads(_differ(x, "h", "kind", "other"), len(x))) - 1
-    all_, target = (np.bincount(group, weights=c)[group] - c for c in (own, own_good))
-    before, after = x["kind"] == BEFORE_ID, x["kind"] == AFTER_ID
-    held = np.where(before | after, x["other"], 0).astype(np.int64)
-    out = (before | after | (x["kind"] == AFTER_RARE)) * model.word(all_, target, np.where(before, model.all[held], n_all), np.where(before, model.target[held], n_target))
-    out += (before | (x["kind"] == BEFORE_RARE)) * model.context(n_all, n_target)
-    out += after * model.context(model.all[held], model.target[held])
-    return own * out
-
-
-def _losses(unigrams, homes: int):
-    def run(table: pa.Table) -> pa.Table:
-        model = unigrams.value
-        ids = [np.frombuffer(x.as_py(), DOC) for x in table["docs"]]
-        base = np.cumsum([0, *map(len, ids)])
-        docs = np.concatenate(ids)
-        names, first, whose = np.unique(docs["doc"], return_index=True, return_inverse=True)  # one document may come in several blobs
-        good, whose = docs["good"][first], whose.astype(np.int32)
-        sums, n = np.zeros(len(names)), np.zeros(len(names))
-
-        def add(doc: np.ndarray, gain: np.ndarray, count: np.ndarray) -> None:
-            nonlocal sums, n
-            sums += np.bincount(doc, weights=gain, minlength=len(names))
-            n += np.bincount(doc, weights=count, minlength=len(names))
-
-        def held() -> None:
-            doc = np.concatenate([whose[np.frombuffer(x.as_py(), f"<u{x.as_py()[:1].decode()}", offset=1).astype(np.int64) + b] for x, b in zip(table["rows"], base[:-1], strict=True)])
-            key = np.concatenate([_keys(x.as_py()) for x in table["keys"]])
-            count = np.concatenate([np.frombuffer(x.as_py(), f"<u{x.as_py()[:1].decode()}", offset=1) for x in table["counts"]])
-            order = np.argsort(key, kind="stable")
-            key, doc, count = key[order], doc[order], count[order]
-            del order
-            for part in _parts(_heads(key[1:] != key[:-1], len(key))):
-                own = count[part].astype(np.float64)
-                add(doc[part], _held_gain(model, key[part], own, good[doc[part]]), own)
-
-        def rare() -> None:
-            blobs = [_entries(x.as_py()) for x in table["rare"]]
-            for e, b in zip(blobs, base[:-1], strict=True):
-                e["row"] = whose[e["row"].astype(np.int64) + b]
-            e = np.concatenate(blobs)
-            blobs.clear()
-            order = np.lexsort((e["other"], e["kind"], e["h"]))
-            for part in _parts(_heads(np.diff(e["h"][order]) != 0, len(order))):
-                x = e[order[part]]
-                paired = x["n"] * np.isin(x["kind"], (BEFORE_ID, AFTER_ID, AFTER_RARE))
-                add(x["row"], _rare_gain(model, x, good[x["row"]]), paired)
-
-        held()
-        rare()
-        out = np.empty(len(names), dtype=SUM)
-        out["doc"], out["sum"], out["n"] = names, sums, n
-        home = np.mod(names ^ (names >> 17), homes)
-        by = np.argsort(home, kind="stable")
-        out, home = out[by], home[by]
-        cut, end = _cuts(home)
-        return pa.table({"home": pa.array(home[cut], pa.int64()), "blob": pa.array([out[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary())})
+def _ask(buckets: int):
+    """What each slice asks each bucket: its keys there, ascending, and its own counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, good, ends, text in zip(*[batch.column(c).to_pylist() for c in ("slice", "good", "ends", "text")], strict=True):
+                counted = Counted(ends, text, buckets)
+                marked = np.frombuffer(good, bool)[counted.row].astype(np.float64)
+                columns, asked = {}, np.unique(np.concatenate([counted.bucket[k] for k in KINDS]))
+                for kind, weight in zip(KINDS, (marked, marked[counted.first]), strict=True):
+                    key, which = counted.keys[kind], counted.which[kind]
+                    counts = np.bincount(which, minlength=len(key)), np.bincount(which, weights=weight, minlength=len(key)).astype(np.int64)
+                    begin, end = (np.searchsorted(counted.bucket[kind], asked, side=s) for s in ("left", "right"))
+                    for name, x in zip(("keys", "all", "target"), (key, *counts), strict=True):
+                        step = lambda v: np.diff(v, prepend=U64(0)) if name == "keys" else v  # noqa: E731, B023
+                        columns[f"{kind}_{name}"] = pa.array([ints(step(x[a:b])) for a, b in zip(begin, end, strict=True)], pa.binary())
+                fixed = [pa.array(asked, pa.int64()), pa.array(np.full(len(asked), number), pa.int64())]
+                yield pa.RecordBatch.from_arrays(fixed + list(columns.values()), names=["bucket", "slice", *columns])
 
     return run
 
 
-def _scores(some_target: bool):
-    def run(table: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(x.as_py(), SUM) for x in table["blob"]])
-        names, at = np.unique(e["doc"], return_inverse=True)
-        n = np.bincount(at, weights=e["n"]).astype(np.int64)
-        score = np.bincount(at, weights=e["sum"]) / np.maximum(n, 1) * some_target
-        return pa.table({"doc_id": pa.array(names, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "score": pa.array(np.round(score, 9), pa.float64())})
+def _tell(table: pa.Table) -> pa.Table:
+    """A bucket's totals for every slice that asked, and one row with the number of its words."""
+    columns, distinct = {}, 0
+    for kind in KINDS:
+        keys = [np.cumsum(whole(x.as_py()), dtype=U64) for x in table[f"{kind}_keys"]]
+        cut = np.cumsum([0, *map(len, keys)])
+        key, which = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        if kind == "words":
+            distinct = len(key)
+        for name in ("all", "target"):
+            own = np.concatenate([whole(x.as_py()) for x in table[f"{kind}_{name}"]])
+            total = np.zeros(len(key), dtype=U64)
+            np.add.at(total, which, own)
+            total = total[which]
+            columns[f"{kind}_{name}"] = pa.array([ints(total[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)] + [None], pa.binary())
+    n = table.num_rows
+    numbers = pa.array(table["slice"].to_pylist() + [None], pa.int64())
+    return pa.table({"slice": numbers, "bucket": pa.array([table["bucket"][0].as_py()] * (n + 1), pa.int64()), "distinct": pa.array([None] * n + [distinct], pa.int64()), **columns})
+
+
+def _scores(buckets: int, n_all: int, n_target: int, vocabulary: int):
+    ratio = n_target / max(1, n_all)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right, out = right.sort_by("bucket"), []
+        for row in left.to_pylist():
+            counted = Counted(row["ends"], row["text"], buckets)
+            total = {k: [np.concatenate([whole(x.as_py()) for x in right[f"{k}_{c}"]] or [np.zeros(0, U64)]).astype(np.float64) for c in ("all", "target")] for k in KINDS}
+            ids, good = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["good"], bool)
+            place, pair = counted.row[counted.first], counted.which["pairs"]
+            _, at, own = np.unique((place << 32) | pair, return_index=True, return_counts=True)  # a document's distinct pairs
+            doc, pair = place[at], pair[at]
+            v, w = (counted.which["words"][counted.first[at] + k] for k in (0, 1))
+            loss = []
+            for k, (size, scale) in enumerate(((n_all, ratio), (n_target, 1.0))):
+                left_out = own * good[doc] if k else own
+                base = (total["words"][k][w] + 1) / (size + vocabulary + 1)
+                seen = scale * (total["pairs"][k][pair] - left_out)
+                loss.append(np.log(scale * total["words"][k][v] + MU) - np.log(seen + MU * base))
+            n = np.bincount(doc, weights=own, minlength=len(ids))
+            score = np.bincount(doc, weights=own * (loss[0] - loss[1]), minlength=len(ids)) / np.maximum(n, 1) * (n_target > 0)
+            out.append(pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(n.astype(np.int64), pa.int64()), "score": pa.array(np.round(score, 9), pa.float64())}))
+        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
     return run
 
 
-def score(docs: DataFrame, good: DataFrame, most_words: int = VOCABULARY, held: int = HELD) -> DataFrame:
+def score(docs: DataFrame, good: DataFrame) -> DataFrame:
     """doc_id, n_tokens, score. ``good`` has the doc_id of every document of the target domain."""
-    if not 0 < held <= HELD or held < most_words < VOCABULARY:
-        raise ValueError(f"at most {HELD} words can be held, and a bounded vocabulary must fit in them")
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = good.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("good", F.lit(True))
-    flagged = rows.where("doc_id is not null").join(marks.hint("shuffle_hash"), "doc_id", "left")
-    whole = materialize(flagged.select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good")), "lm-docs")
-    unigrams = spark.sparkContext.broadcast(vocabulary(whole, most_words, held))
-    width = exchange_width(spark)
-    pairs = whole.mapInArrow(_pairs(width, unigrams), PAIRS)
-    sums = pairs.groupBy("bucket").applyInArrow(_losses(unigrams, width), "home long, blob binary")
-    scored = sums.groupBy("home").applyInArrow(_scores(unigrams.value.n_target > 0), "doc_id long, n_tokens long, score double")
+    # An id may repeat very often: documents are salted, with a mark for each grain of salt.
+    marks = marks.withColumn("grain", F.explode(F.sequence(F.lit(0), F.lit(GRAINS - 1))))
+    salted = rows.where("doc_id is not null").withColumn("grain", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(GRAINS)).cast("int"))
+    flagged = salted.join(marks.hint("shuffle_hash"), ["doc_id", "grain"], "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
+    sliced = materialize(flagged.mapInArrow(_stored(SLICE_BYTES), SLICES), "lm-slices")
+    sizes = sliced.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("bytes", "n_all", "n_target")]).first()
+    buckets = max(exchange_width(spark), -(-sizes["bytes"] // BUCKET_BYTES))
+    asked = sliced.mapInArrow(_ask(buckets), ASKED).repartition(buckets, "bucket")
+    told = materialize(asked.groupBy("bucket").applyInArrow(_tell, TOLD), "lm-totals")
+    vocabulary = told.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    home = lambda df: df.repartition(buckets, "slice").groupBy("slice")
+    scored = home(sliced.drop("bytes", "n_all", "n_target")).cogroup(home(told.where("slice is not null").drop("distinct"))).applyInArrow(_scores(buckets, sizes["n_all"], sizes["n_target"], vocabulary), "doc_id long, n_tokens long, score double")
     return scored.union(rows.where("doc_id is null").selectExpr("doc_id", "0L", "cast(null as double)"))
