@@ -33,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import exchange_width, materialize, small_batches
-from .textops import U64, Words, lower_ascii, mix, slices, string_buffer
+from .textops import SLICE, U64, Words, lower_ascii, mix, slices, string_buffer
 
 MU = 20.0
-SLICE_BYTES = 2 << 20
-BUCKET_BYTES = 16 << 20  # of text, whose entries one bucket gets
+SLICE_BYTES = 8 << 20
+BUCKET_BYTES = 8 << 20  # of text, whose entries one bucket gets
+PER_TASK = 4  # buckets, so that tasks are even though buckets are dealt by hash
 GRAINS = 16
 KINDS = ("words", "pairs")
 SLICES = "slice long, bytes long, n_all long, n_target long, ids binary, good binary, ends binary, text binary"
@@ -46,16 +47,17 @@ TOLD = "slice long, bucket long, distinct long, " + ", ".join(f"{k}_{c} binary"
 
 
 def ints(x: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the largest needs, byte by byte, which compresses well; the first byte tells."""
-    most = int(x.max(initial=0))
-    size = next(s for s in (1, 2, 4, 8) if most < 1 << 8 * s)
-    return bytes([size]) + np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T).tobytes()
+    """Whole numbers in as few bytes each as the largest needs, byte by byte, and compressed; the first byte tells."""
+    size = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T)
+    return bytes([size]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def whole(blob: bytes) -> np.ndarray:
-    size = blob[0]
-    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{size}").reshape(-1).astype(U64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : blob[0]] = planes.T
+    return out.reshape(-1).view("<u8")
 
 
 def _stored(limit: int):
@@ -76,22 +78,31 @@ def _stored(limit: int):
 
 
 class Counted:
-    """A slice's words and pairs: their keys by bucket, and which ones its tokens are."""
+    """A slice's words and pairs: their keys by bucket, and which ones its tokens are.
+
+    A key in its bucket has 48 bits. Buckets don't grow, so that two keys of a bucket hardly
+    ever meet, however large the corpus."""
 
     def __init__(self, ends: bytes, text: bytes, buckets: int):
         offsets = np.frombuffer(ends, "<i8")
-        words = Words(lower_ascii(np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)), offsets)
-        h = words.hashes()
-        self.row = words.row_of_word()
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
+        h, rows, at = [], [], 0
+        while at < len(offsets) - 1:  # some documents at a time
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
+            words = Words(lower_ascii(raw[offsets[at] : offsets[stop]]), offsets[at : stop + 1] - offsets[at])
+            h.append(words.hashes())
+            rows.append((words.row_of_word() + at).astype(np.int32))
+            at = stop
+        h, self.row = np.concatenate(h or [np.zeros(0, U64)]), np.concatenate(rows or [np.zeros(0, np.int32)])
         self.first = np.flatnonzero(self.row[1:] == self.row[:-1])  # a pair is its first word's place
         pair = mix(h[self.first] * U64(0x9FB21C651E98DF25) + h[self.first + 1])
         self.keys, self.which, self.bucket = {}, {}, {}
         for kind, key in zip(KINDS, (h, pair), strict=True):
             key, which = np.unique(key, return_inverse=True)
-            bucket = (key % U64(buckets)).astype(np.int64)
+            bucket, key = (key % U64(buckets)).astype(np.int64), mix(key + U64(1)) >> U64(16)
             order = np.lexsort((key, bucket))
-            rank = np.empty(len(order), dtype=np.int64)
-            rank[order] = np.arange(len(order))
+            rank = np.empty(len(order), dtype=np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
             self.keys[kind], self.bucket[kind], self.which[kind] = key[order], bucket[order], rank[which]
 
 
@@ -148,7 +159,7 @@ def _scores(buckets: int, n_all: int, n_target: int, vocabulary: int):
             total = {k: [np.concatenate([whole(x.as_py()) for x in right[f"{k}_{c}"]] or [np.zeros(0, U64)]).astype(np.float64) for c in ("all", "target")] for k in KINDS}
             ids, good = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["good"], bool)
             place, pair = counted.row[counted.first], counted.which["pairs"]
-            _, at, own = np.unique((place << 32) | pair, return_index=True, return_counts=True)  # a document's distinct pairs
+            _, at, own = np.unique((place.astype(np.int64) << 32) | pair, return_index=True, return_counts=True)  # a document's distinct pairs
             doc, pair = place[at], pair[at]
             v, w = (counted.which["words"][counted.first[at] + k] for k in (0, 1))
             loss = []
@@ -177,10 +188,11 @@ def score(docs: DataFrame, good: DataFrame) -> DataFrame:
     flagged = salted.join(marks.hint("shuffle_hash"), ["doc_id", "grain"], "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
     sliced = materialize(flagged.mapInArrow(_stored(SLICE_BYTES), SLICES), "lm-slices")
     sizes = sliced.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("bytes", "n_all", "n_target")]).first()
-    buckets = max(exchange_width(spark), -(-sizes["bytes"] // BUCKET_BYTES))
-    asked = sliced.mapInArrow(_ask(buckets), ASKED).repartition(buckets, "bucket")
+    buckets = max(PER_TASK * exchange_width(spark), -(-sizes["bytes"] // BUCKET_BYTES))
+    width = -(-buckets // PER_TASK)
+    asked = sliced.mapInArrow(_ask(buckets), ASKED).repartition(width, "bucket")
     told = materialize(asked.groupBy("bucket").applyInArrow(_tell, TOLD), "lm-totals")
     vocabulary = told.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
-    home = lambda df: df.repartition(buckets, "slice").groupBy("slice")
+    home = lambda df: df.repartition(width, "slice").groupBy("slice")
     scored = home(sliced.drop("bytes", "n_all", "n_target")).cogroup(home(told.where("slice is not null").drop("distinct"))).applyInArrow(_scores(buckets, sizes["n_all"], sizes["n_target"], vocabulary), "doc_id long, n_tokens long, score double")
     return scored.union(rows.where("doc_id is null").selectExpr("doc_id", "0L", "cast(null as double)"))

@@ -90,7 +90,7 @@ def test_long_texts_and_pairs_that_repeat_often(spark):
     same(got, brute(texts, good))
 
 
-@pytest.mark.parametrize("most", [0, 255, 256, 65_535, 65_536, 2**32 - 1, 2**32, 2**63])
+@pytest.mark.parametrize("most", [0, 255, 256, 65_536, 2**24, 2**48, 2**64 - 1])
 def test_whole_numbers(most):
     x = np.array([0, 1, most, 7], dtype=np.uint64)
     assert lm_scoring.whole(lm_scoring.ints(x)).tolist() == x.tolist()
