@@ -3,7 +3,7 @@
 Documents become token ids, and sequences of ``WINDOW`` tokens are filled with lexically
 close documents. Each task streams its rows through pools of bounded size. A pool has its
 own BM25 inverted index (a shard): the seed is the first unused document, the index
-returns its unused neighbours by score, and they fill the window greedily; the document
+returns its unused neighbours by the score of all its terms, and they fill the window greedily; the document
 that overflows it is cut, and its rest seeds the next window. What is left when a pool
 runs low waits for the next pool, and the rest of a task, under one window, is laid out
 in sequences whose lengths are powers of two, which need no padding. So only whole
@@ -12,8 +12,10 @@ windows and powers of two occur, and no token of padding.
 No row moves between tasks, so no key can be hot; memory is bounded by the pool (and by
 the longest single document). Ids of sequences are unique: task, then running number.
 
-Defined cases: null text counts as empty and yields its end token alone; repeated rows
-are packed each by itself; an empty table gives no pieces; other columns are ignored.
+Defined cases: null text counts as empty and yields its end token alone; a row of null
+doc_id is packed like others, its pieces named null; a very long text is cut over as many
+windows as it needs; repeated rows are packed each by itself; an empty table gives no
+pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from .textops import kept, slices
 WINDOW = 4096
 END_ID = 2
 POOL_TOKENS = 3_000_000
-QUERY_TERMS = 8
+COMMON = 16  # a term is common if over one in so many documents has it
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _END = " end "  # no word has a space
@@ -175,47 +177,48 @@ class _Codes(dict):
 
 
 class Shard:
-    """A BM25 inverted index over the token ids of up to 65,536 documents."""
+    """A BM25 index over the token ids of a pool's documents: postings of rare terms, a matrix of common ones."""
 
     def __init__(self, ids: np.ndarray, offsets: np.ndarray):
         n = self.n = len(offsets) - 1
         sizes = np.diff(offsets)
-        key, tf = np.unique((np.repeat(np.arange(n, dtype=np.uint32), sizes) << np.uint32(16)) | ids.astype(np.uint32), return_counts=True)
-        doc, term = (key >> np.uint32(16)).astype(np.int32), (key & np.uint32(0xFFFF)).astype(np.uint16)
+        kind = np.uint32 if n <= 1 << 16 else np.uint64
+        key, tf = np.unique((np.repeat(np.arange(n, dtype=kind), sizes) << kind(16)) | ids.astype(kind), return_counts=True)
+        doc, term = (key >> kind(16)).astype(np.int32), (key & kind(0xFFFF)).astype(np.uint16)
         df = np.bincount(term, minlength=1 << 16)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if n else 1.0))
         weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
-        weight[df[term] < 2] = 0  # a term of one document leads nowhere
-        self.rows = np.searchsorted(doc, np.arange(n + 1))
-        self.term, self.weight = term, weight
+        self.rows, self.term = np.searchsorted(doc, np.arange(n + 1)), term
+        common = COMMON * df > n  # of such terms there are at most COMMON times a document's terms
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        at = common[term]
+        self.dense, self.free = np.zeros((int(common.sum()), n), dtype=np.float32), np.arange(n)
+        self.dense[self.column[term[at]], doc[at]] = weight[at]
+        rare = ~at & (df[term] > 1)  # a term of one document leads nowhere
+        doc, term, weight = doc[rare], term[rare], weight[rare]
         order = np.argsort(term, kind="stable")
         self.doc, self.by_term = doc[order], weight[order]
-        self.terms = np.concatenate([[0], np.cumsum(df)])
-        self.score = np.zeros(n, dtype=np.float32)
+        self.terms = np.searchsorted(term[order], np.arange((1 << 16) + 1))
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's strongest terms, best first; ties to the earlier."""
-        a, b = self.rows[seed], self.rows[seed + 1]
-        weight = self.weight[a:b]
-        if len(weight) > QUERY_TERMS:
-            best = np.argpartition(weight, -QUERY_TERMS)[-QUERY_TERMS:]
-        else:
-            best = np.arange(len(weight))
-        hit = []
-        for k in best[weight[best] > 0]:
-            t = self.term[a + k]
-            d = self.doc[self.terms[t] : self.terms[t + 1]]
-            self.score[d] += self.by_term[self.terms[t] : self.terms[t + 1]]
-            hit.append(d)
-        if not hit:
-            return np.zeros(0, np.int64)
-        found = np.unique(np.concatenate(hit))
-        value = self.score[found]
-        self.score[found] = 0
-        free = ~used[found]
-        found, value = found[free], value[free]
-        return found[np.argsort(-value, kind="stable")]
+        """Unused documents that share a term with the seed, by the score of all its terms, best first; ties to the earlier."""
+        terms = self.term[self.rows[seed] : self.rows[seed + 1]]
+        column = self.column[terms]
+        stay = ~used[self.free]
+        if 10 * np.count_nonzero(stay) < 9 * len(stay):  # used documents leave the matrix
+            self.dense, self.free = self.dense[:, stay], self.free[stay]
+        met = np.zeros(len(self.free), dtype=np.float32)
+        for row in column[column >= 0].tolist():
+            met += self.dense[row]
+        score = np.zeros(self.n, dtype=np.float32)
+        score[self.free] = met
+        rare = terms[column < 0].astype(np.int64)
+        lists = [(a, b) for a, b in zip(self.terms[rare], self.terms[rare + 1], strict=True) if a < b]
+        for a, b in lists:
+            score[self.doc[a:b]] += self.by_term[a:b]
+        found = np.flatnonzero((score > 0) & ~used)
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 class Packer:

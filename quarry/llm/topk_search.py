@@ -1,14 +1,14 @@
 """Exact top-k search by aggregation without random access (operator 3).
 
 Vectors become integers, ``floor(256 x)``, and a score is their inner product. The rows
-are cut into shards; a shard keeps one list per component, sorted by magnitude, and an
-entry carries its vector's squared norm. A query reads the lists from their heads, best
-first: at each level every list is read on to where an entry's part of the score,
-``|q_j v_j|``, falls below one common value. What was read counts as it is. The parts not
-read are bounded by the lists' next entries, and by what is left of the query's and the
-vector's norms (Cauchy-Schwarz), so every vector has a lower and an upper score. Once at
-most ``RESOLVE`` vectors, or a 32nd of the shard, can still reach the k-th lower score, no
-outsider qualifies: the query stops reading, and the few are scored in full.
+are cut into shards; a shard keeps one list per component, sorted by magnitude. A block of
+queries reads the lists from their heads, best first: at each level every list is read on
+to where an entry's worth, its magnitude by the block's weight of the component, falls
+below one common value. What was read counts as it is. The parts not read are bounded by
+the lists' next entries, and by what is left of the query's and the vector's norms
+(Cauchy-Schwarz), so every vector has a lower and an upper score for each query. Once at
+most ``RESOLVE`` vectors, or an 8th of the shard, can still reach a query's k-th lower
+score, no outsider qualifies: the query stops, and the few are scored in full, in integers.
 
 The query set is stated (ids divisible by ``every``), so blocks of queries meet shards of
 rows, each pair once. A task holds one shard and streams blocks; per pair at most k rows
@@ -36,7 +36,8 @@ from .storage import exchange_width, materialize, small_batches
 
 LEAST, LARGEST = -float(1 << 63), float((1 << 63) - 1024)  # doubles that fit a long
 SHARD, BLOCK, RESOLVE = 16_384, 128, 64
-SHARES = (0.4, 0.5, 0.55, 0.6, 0.65, 0.7, 0.74, 0.78, 0.82, 0.86, 0.9, 0.95, 1.0)  # of all entries, at a level
+SHARES = (0.5, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)  # of all entries, at a level
+SLACK = np.float32(1e-5)  # of sums in floating point, against lengths of 1 at most
 FOUND = "query_id long, vec_id long, score long, key binary"
 
 
@@ -65,75 +66,87 @@ def _open(blob: bytes, rows: int, width: int) -> np.ndarray:
 
 
 class Reading:
-    """One query's way through a shard's lists: how far each is read, and what is known of every vector."""
-
-    def __init__(self, lists: Lists, query: np.ndarray):
-        self.lists, self.query = lists, query
-        n, width = len(lists.ids), len(query)
-        self.at = np.zeros(width, dtype=np.int64)
-        self.score, self.left = np.zeros(n), lists.norms.copy()
-        self.asked = np.full(n, float(query @ query))
-        self.slack = 1e-12 * (1 + self.asked[0] if n else 1.0), 1e-12 * (1 + lists.norms.max(initial=0))  # of sums in floating point
-
-    def read(self, share: float) -> None:
-        """Read on, best first, until about ``share`` of all entries are read."""
-        lists, weight = self.lists, np.abs(self.query)
+    """A block of queries on its way through a shard's lists: how far each is read, and what was read of every vector.
+
+    Vectors are scaled by the longest, queries to length 1, so that no sum overflows."""
+
+    def __init__(self, lists: Lists, queries: np.ndarray):
+        self.lists = lists
+        self.sizes = np.sqrt((queries * queries).sum(axis=1))
+        self.queries = (queries / np.where(self.sizes > 0, self.sizes, 1)[:, None]).astype(np.float32)
+        self.at = np.zeros(lists.width, dtype=np.int64)
+        self.seen = np.zeros((len(lists.ids), lists.width), dtype=np.float32)  # entries read, at their vectors
+        self.known = np.zeros_like(self.seen)  # 1 where an entry was read
+
+    def read(self, share: float, asking: np.ndarray) -> None:
+        """Read on, best first for those that still ask, until about ``share`` of all entries are read."""
+        lists, n = self.lists, len(self.lists.ids)
+        weight = np.sqrt((self.queries[asking].astype(np.float64) ** 2).mean(axis=0)) if share < 1 else np.ones(lists.width)
         worth = lists.marks * weight  # of some entries of each list
-        level = np.sort(worth, axis=None)[int((1 - share) * (worth.size - 1))] if share < 1 else -1.0
-        for j in range(len(weight)):
-            begin, n = self.at[j], len(lists.ids)
-            end = n if level < 0 else np.searchsorted(-lists.sizes[j], -level / weight[j], side="right") if weight[j] else n if level <= 0 else 0
+        level = np.partition(worth, i := int((1 - share) * (worth.size - 1)), axis=None)[i]
+        for j in range(lists.width):
+            begin, end = self.at[j], n
+            if share < 1:
+                end = lists.ascending[j].searchsorted(-level / weight[j], side="right") if weight[j] else 0
             if end > begin:
-                rows, value = lists.order[j, begin:end], lists.values[j, begin:end]
-                self.score[rows] += self.query[j] * value
-                self.left[rows] -= value * value
-                self.asked[rows] -= weight[j] ** 2
+                rows = lists.order[j, begin:end]
+                self.seen[rows, j], self.known[rows, j] = lists.entries[j, begin:end], 1
                 self.at[j] = end
 
-    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper scores of all vectors."""
-        n = len(self.lists.ids)
-        following = np.array([self.lists.sizes[j, a] if a < n else 0.0 for j, a in enumerate(self.at)])
-        unread = float(np.abs(self.query) @ following)
-        width = np.sqrt((np.maximum(self.asked, 0) + self.slack[0]) * (np.maximum(self.left, 0) + self.slack[1]))
-        width = np.minimum(width, unread + np.sqrt(self.slack[0] * self.slack[1]))
-        return self.score - width, self.score + width
+    def bounds(self, asking: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper scores of all vectors for these queries, a row each; scaled."""
+        lists, n = self.lists, len(self.lists.ids)
+        q = self.queries[asking]
+        score = q @ self.seen.T
+        asked = np.maximum(0, (q * q).sum(axis=1)[:, None] - (q * q) @ self.known.T)
+        left = np.maximum(0, lists.norms - np.einsum("ij,ij->i", self.seen, self.seen))
+        following = np.array([-lists.ascending[j, a] if a < n else 0.0 for j, a in enumerate(self.at)])
+        width = np.minimum(np.sqrt((asked + SLACK) * (left + SLACK)), (np.abs(q) @ following)[:, None]) + SLACK
+        return score - width, score + width
 
 
 class Lists:
-    """A shard's lists, sorted by magnitude, as rows of ``order`` (whose), ``values`` and ``sizes``."""
+    """A shard's lists, sorted by magnitude, as rows of ``order`` (whose), ``entries`` and ``ascending`` (magnitudes, negated)."""
 
     def __init__(self, ids: np.ndarray, cells: np.ndarray):
         self.ids, self.whole = ids, cells.astype(np.int64)
+        n, self.width = cells.shape
         columns = np.ascontiguousarray(cells.T).astype(np.float64)
-        self.norms = (columns * columns).sum(axis=0)
+        self.largest = float(np.abs(columns).max(initial=0))
+        columns /= float(np.sqrt((columns * columns).sum(axis=0).max(initial=0))) or 1.0
+        self.norms = (columns * columns).sum(axis=0).astype(np.float32)
         self.order = np.argsort(-np.abs(columns), axis=1, kind="stable")
-        self.values = np.take_along_axis(columns, self.order, axis=1)
-        self.sizes = np.abs(self.values)
-        n = len(ids)
-        self.marks = self.sizes[:, np.linspace(0, n - 1, min(n, 64)).astype(np.int64)].T
-        self.entries_read = self.entries = 0
-
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
-        """The ids and scores of the query's k best here."""
-        n, width = self.whole.shape
-        wide = np.zeros(width, dtype=np.int64)
-        wide[: len(query)] = query[:width]
-        reading, others = Reading(self, wide.astype(np.float64)), self.ids != query_id
-        near = others
-        few = max(RESOLVE, n // 32)
+        self.entries = np.take_along_axis(columns, self.order, axis=1).astype(np.float32)
+        self.ascending = -np.abs(self.entries.astype(np.float64))
+        self.marks = -self.ascending[:, np.linspace(0, n - 1, min(n, 64)).astype(np.int64)].T
+        self.n_read = self.n_entries = 0
+
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+        """Per query the ids and scores of its k best here."""
+        n, shared = len(self.ids), min(self.width, queries.shape[1])
+        wide = np.zeros((len(queries), self.width), dtype=np.int64)
+        wide[:, :shared] = queries[:, :shared]
+        reading, asking = Reading(self, wide.astype(np.float64)), np.arange(len(queries))
+        few = max(RESOLVE, n // 8)
         for share in SHARES:
-            if near.sum() <= few:
+            if n <= RESOLVE:
+                near = self.ids[None, :] != query_ids[asking][:, None]
+            else:
+                reading.read(share, asking)
+                lower, upper = reading.bounds(asking)
+                own = self.ids[None, :] == query_ids[asking][:, None]
+                lower[own] = -np.inf
+                near = ~own & (upper >= np.partition(lower, n - k, axis=1)[:, [n - k]])
+            over = (near.sum(axis=1) <= few) | (share == 1)
+            self.n_read, self.n_entries = self.n_read + int(over.sum()) * int(reading.at.sum()), self.n_entries + int(over.sum()) * n * self.width
+            for i in np.flatnonzero(over):
+                yield int(query_ids[asking[i]]), *self._resolve(wide[asking[i]], np.flatnonzero(near[i]), k)
+            asking = asking[~over]
+            if not len(asking):
                 break
-            reading.read(share)
-            lower, upper = reading.bounds()
-            lower[~others] = -np.inf
-            near = others & (upper >= np.partition(lower, n - k)[n - k])
-        self.entries_read, self.entries = self.entries_read + int(reading.at.sum()), self.entries + n * width
-        return self._resolve(wide, np.flatnonzero(near), k)
 
     def _resolve(self, query: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
-        cells, most = self.whole[near], float(np.abs(query.astype(np.float64)).max(initial=0)) * float(np.abs(self.values).max(initial=0))
+        cells, most = self.whole[near], float(np.abs(query.astype(np.float64)).max(initial=0)) * self.largest
         if most * max(1, len(query)) < 1 << 62:
             score = cells @ query
             best = np.lexsort((self.ids[near], -score))[:k]
@@ -153,8 +166,7 @@ def _search(k: int):
                     shard, lists = now, Lists(np.frombuffer(ids, "<i8"), _open(cells, n, width))
                 query_ids = np.frombuffer(query_ids, "<i8")
                 rows = [], [], []
-                for query_id, query in zip(query_ids.tolist(), _open(query_cells, len(query_ids), query_width).astype(np.int64), strict=True):
-                    best, score = lists.top(query_id, query, k)
+                for query_id, best, score in lists.top(query_ids, _open(query_cells, len(query_ids), query_width).astype(np.int64), k):
                     for out, x in zip(rows, ([query_id] * len(best), best.tolist(), score), strict=True):
                         out += x
                 shown = [min(max(x, -(1 << 63)), (1 << 63) - 1) for x in rows[2]]

@@ -46,7 +46,7 @@ def test_whole_table(spark):
 
 
 def test_edges(spark):
-    texts = {0: None, 1: "", 2: "a b\tc  d\n\n e's I'M ΆΣ ́x", 3: "word " * 9000, 4: "x" * 20000, 5: "same text", 6: "same text"}
+    texts = {0: None, 1: "", 2: "a b\tc  d\n\n e's I'M ΆΣ ́x", 3: "word " * 9000, 4: "x" * 20000, 5: "same text", 6: "same text", None: "no id"}
     df = spark.createDataFrame([(k, v, "extra") for k, v in texts.items()], "doc_id long, text string, length string")
     check(packing.pack(df, PATH).collect(), texts)
     assert packing.pack(df.limit(0), PATH).count() == 0
@@ -64,6 +64,32 @@ def test_neighbours_share_terms():
     assert shard.neighbours(2, used).tolist() == [3]
 
 
+def test_neighbours_by_brute_force():
+    """Every unused document that shares a term, in the order of its BM25 score over all the seed's terms."""
+    pick = np.random.RandomState(3)
+    docs = [np.minimum(pick.zipf(1.3, pick.randint(1, 400)), 3000).astype(np.uint32) for _ in range(300)]
+    docs += [docs[7], np.array([49_000], dtype=np.uint32), np.zeros(0, dtype=np.uint32)]
+    sizes = np.array([len(d) for d in docs])
+    shard = packing.Shard(np.concatenate(docs), np.concatenate([[0], np.cumsum(sizes)]))
+    df, n, mean = {}, len(docs), sizes.mean()
+    for d in docs:
+        for t in set(d.tolist()):
+            df[t] = df.get(t, 0) + 1
+    used = np.zeros(n, dtype=bool)
+    for seed in [7, 0, 301, 302, *pick.permutation(299)[:150].tolist()]:
+        used[seed] = True
+        asked, want = set(docs[seed].tolist()), {}
+        for i in np.flatnonzero(~used):
+            tf = {t: c for t, c in zip(*map(np.ndarray.tolist, np.unique(docs[i], return_counts=True)), strict=True) if t in asked}
+            if tf:
+                norm = packing.K1 * (1 - packing.B + packing.B * sizes[i] / mean)
+                want[i] = sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c * (packing.K1 + 1) / (c + norm) for t, c in tf.items())
+        got = shard.neighbours(seed, used).tolist()
+        assert sorted(got) == sorted(want)
+        values = np.array([want[i] for i in got])
+        assert (np.diff(values) <= 1e-4 * np.abs(values[:-1]) + 1e-6).all()
+
+
 @pytest.mark.parametrize("sizes", [[1], [4096], [4097], [5000, 100, 3995, 1], [3000] * 7])
 def test_layout(sizes):
     p = packing.Packer(0)

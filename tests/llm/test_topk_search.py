@@ -32,33 +32,33 @@ def test_against_all(spark, monkeypatch):
 
 def test_bounds_hold():
     pick = np.random.RandomState(5)
-    cells, query = pick.randint(-50, 50, (200, 6)), pick.randint(-50, 50, 6).astype(float)
-    query[3] = 0
-    reading = topk_search.Reading(topk_search.Lists(np.arange(200), cells), query)
-    exact, width = query @ cells.T, []
+    cells, queries = pick.randint(-50, 50, (200, 6)), pick.randint(-50, 50, (9, 6)).astype(float)
+    queries[3], queries[:, 2], asking = 0, 0, np.arange(9)
+    reading = topk_search.Reading(topk_search.Lists(np.arange(200), cells), queries)
+    exact = (queries / np.maximum(1, reading.sizes)[:, None]) @ cells.T / np.sqrt((cells**2).sum(axis=1).max())
+    width = []
     for share in (0.1, 0.3, 0.6, 1.0):
-        reading.read(share)
-        lower, upper = reading.bounds()
-        assert (lower <= exact + 1e-6).all() and (exact <= upper + 1e-6).all()
+        reading.read(share, asking)
+        lower, upper = reading.bounds(asking)
+        assert (lower <= exact).all() and (exact <= upper).all()
         width.append((upper - lower).mean())
     assert width == sorted(width, reverse=True) and width[-1] < 1e-3
 
 
 def test_queries_stop_reading_early(spark):
-    """On the table every query stops before the lists end; what it read and what it left is counted."""
+    """On the table every query stops before the lists end; what was read and what was left is counted."""
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
     ids = np.array([r.vec_id for r in rows])
     cells = np.floor(256 * np.array([r.embedding for r in rows]).astype(np.float64)).astype(np.int64)
-    lists = topk_search.Lists(ids, cells)
-    for at in np.flatnonzero(ids % 50 == 0):
-        before = lists.entries_read
-        best, score = lists.top(ids[at], cells[at], 5)
+    lists, asked = topk_search.Lists(ids, cells), np.flatnonzero(ids % 50 == 0)
+    found = {q: (best.tolist(), score) for q, best, score in lists.top(ids[asked], cells[asked], 5)}
+    assert len(found) == len(asked)
+    for at in asked:
         all_ = cells @ cells[at]
         all_[at] = -(1 << 60)
         order = np.lexsort((ids, -all_))[:5]
-        assert best.tolist() == ids[order].tolist() and score == all_[order].tolist()
-        assert lists.entries_read - before < 0.93 * cells.size
-    assert lists.entries_read < 0.85 * lists.entries
+        assert found[ids[at]] == (ids[order].tolist(), all_[order].tolist())
+    assert lists.n_entries == len(asked) * cells.size and lists.n_read < 0.85 * lists.n_entries
 
 
 def test_large_components(spark):
