@@ -27,6 +27,20 @@ SF = "/root/testdata/sf0.01"
         ("<article><header><h1>head</h1></header><p>x</p></article>", "head x"),
         ("<p title=\"a>b\">quoted</p><!-- <p>no</p> -->", "quoted"),
         ("</div></p><li>stray", "stray"),
+        ('<article><p>a</p><script>var x="<body>";alert(1)</script><p>b</p></article>', "a b"),
+        ("<article><p>x is <math><mi>y</mi></math> and <button>go</button> on</p><button>Share</button></article>", "x is y and go on"),
+        ("<article><div class='legal'>Its legal side.</div><p class='tags-note'>Of tags.</p></article>", "Its legal side. Of tags."),
+        ("<div class='post'><p>main text</p></div><section class='comments'><article><p>first!</p></article></section>", "main text"),
+        ("<article><p>text</p></article><article class='comment'><p>first!</p></article>", "text"),
+        ("<div class='has-sidebar'><p>a</p></div><div class='content-with-sidebar'><article><p>b</p></article></div>", "b"),
+        ("<div class='sidebar-left'><article><p>held</p></article><p>no</p></div>", "held"),
+        ("<nav><article><p>teaser</p></article></nav><p>body</p>", "body"),
+        ("<head><title>t<p>one</p><select><p>two</p>", "one two"),
+        ("<p>a</p><style>p{}", "a"),
+        ("<title>t</title><p>a <svg/>b<svg><text>no</text></svg></p><template><p>no</p></template>", "a b"),
+        ("<div>" * 700 + "deep" + "</div>" * 700 + "<p>after</p>", "deep after"),
+        ("<article>" + "<div>" * 40 + "<p>in</p><nav>no</nav>" + "</div>" * 40 + "</article><p>out</p>", "in"),
+        ("<p class=it's>one</p><p>two</p><p cut", "one two"),
     ],
 )
 def test_main_text(page, text):
@@ -43,6 +57,46 @@ def test_site_style_tree(spark):
     assert page_text.extract(df.limit(0)).count() == 0
 
 
+def test_tree_alone_tells_what_is_noise(spark):
+    """No names, no article: deep boxes that say the same everywhere go, class names beyond the third count, boxes of an article go where 20 pages agree."""
+    same, nest = "Read our other stories and follow us everywhere", "<div>" * 30
+    pages, want = [], {}
+    for i in range(40):
+        news = " ".join(f"n{i}x{j}" for j in range(20))
+        pages.append((i, f"http://deep.example/{i}", f"<body>{nest}<div class='a b c d'>{news}</div><div class='a b c e'>{same}</div>{'</div>' * 30}</body>"))
+        pages.append((100 + i, f"http://art.example/{i}", f"<article><p>{news}</p><div class='x'>{same}</div><p>The same every day.</p></article>"))
+        pages.append((200 + i, f"http://few{i % 14}.example/{i}", f"<article><p>{news}</p><div class='x'>{same}</div></article>"))
+        want |= {i: news, 100 + i: f"{news} The same every day.", 200 + i: f"{news} {same}"}
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in page_text.extract(df).collect()} == want
+
+
+def test_importance_by_brute_force(spark):
+    """Entropies of every node, counted page by page."""
+    pages = [f"<body><div class=k>{'same' if i % 3 else i}</div><ul><li>a{i % 2}</li>{'<li>b</li>' * (i % 4)}</ul></body>" for i in range(20)]
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.node: r for r in page_text.style_tree(df).collect()}
+    contents, shapes, lines = {}, {}, {}
+    for p in pages:
+        for node, _, kind, value, line in page_text.observations(p):
+            (shapes if kind else contents).setdefault(node, Counter())[value] += 1
+            lines[node] = line or lines.get(node)
+    assert got.keys() == shapes.keys()
+    for node, shape in shapes.items():
+        m = sum(shape.values())
+        presentation = -sum(n / m * log(n / m, m) for n in shape.values())
+        below = [(sum(c.values()), 1 - sum(n * log(n) for n in c.values()) / sum(c.values()) / log(sum(shapes[x].values()))) for x, c in contents.items() if node in lines[x]]
+        news = sum(n * max(0, x) for n, x in below) / sum(n for n, _ in below)
+        weight = page_text.GAMMA ** len(shape)
+        assert got[node].pages == m and got[node].importance == pytest.approx((1 - weight) * presentation + weight * news)
+
+
+def test_a_very_long_page(spark):
+    long = "<article>" + "<p>some text here</p>" * 100_000 + "<select>" * 1000 + "</article>"
+    df = spark.createDataFrame([(1, "http://a.example/", long, 5)], "page_id long, url string, html string, n_chars int")
+    assert page_text.extract(df).first().text == " ".join(["some text here"] * 100_000)
+
+
 def test_table(spark):
     pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in op9_html_extraction(spark, SF).collect():
