@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -46,11 +47,12 @@ def name_of(items: Sequence) -> str:
     return "{" + ",".join(map(str, items)) + "}"
 
 
-def local_itemsets(frame: BlockFrame, items: str, least: int, most_items: int | None = None) -> DataFrame:
-    """Per block its frequent itemsets of two items or more; ``least`` counts baskets of one block."""
+def local_itemsets(frame: BlockFrame, items: str, least: float, most_items: int | None = None) -> DataFrame:
+    """Per block its frequent itemsets of two items or more; ``least`` counts baskets of one block, and under 1 it is a share of them."""
 
     def mine(block: int, rows: pd.DataFrame) -> pd.DataFrame:
-        found = {k: n for k, n in frequent_itemsets(rows[items].tolist(), least, most_items).items() if len(k) > 1}
+        needed = least if least >= 1 else ceil(least * len(rows))
+        found = {k: n for k, n in frequent_itemsets(rows[items].tolist(), needed, most_items).items() if len(k) > 1}
         return pd.DataFrame({"block_id": block, "itemset": [name_of(k) for k in found], "support": list(found.values())})
 
     return frame.local(mine, ITEMSETS, [items])
@@ -65,15 +67,27 @@ def vote_itemsets(local: DataFrame, n_blocks: int, share: float = 0.5) -> DataFr
 def recount_itemsets(candidates: DataFrame, baskets: DataFrame, basket: str, item: str, least: float) -> DataFrame:
     """Exact shares of candidate itemsets over (basket, item) rows: a basket holds an itemset if it has all its items.
 
-    An equi-join on items and two counts, so no basket meets a candidate it shares nothing with.
+    A basket grows its own subsets, item by item in order, and only those stay that begin a candidate. So rows
+    are what baskets hold, and not baskets by candidates.
     """
-    wanted = candidates.select("itemset").distinct().select("itemset", F.explode(F.split(F.regexp_replace("itemset", "[{}]", ""), ",")).alias("item"))
-    size = wanted.groupBy("itemset").agg(F.count("*").alias("size"))
-    total = baskets.select(basket).distinct().count()
+    parts = F.array_sort(F.split(F.regexp_replace("itemset", "[{}]", ""), ","))
+    wanted = candidates.select("itemset").distinct().select("itemset", parts.alias("parts"))
+    prefix = F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.struct(k.alias("size"), F.concat_ws(",", F.slice("parts", 1, k)).alias("begun")))).alias("p")
+    begun = wanted.select(prefix).select("p.*").distinct()
     rows = baskets.select(F.col(basket).alias("basket"), F.col(item).cast("string").alias("item")).distinct()
-    met = rows.join(wanted, "item").groupBy("basket", "itemset").agg(F.count("*").alias("met"))
-    full = met.join(size, "itemset").where("met = size").groupBy("itemset").agg((F.count("*") / total).alias("support"))
-    return full.where(F.col("support") >= least)
+    total = rows.select("basket").distinct().count()
+    known = rows.join(wanted.select(F.explode("parts").alias("item")).distinct(), "item", "left_semi")
+    held = known.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("rest")).select("rest", F.lit(None).cast("string").alias("begun"))
+    met = None
+    for size in range(1, (wanted.agg(F.max(F.size("parts"))).first()[0] or 0) + 1):
+        grown = held.select("begun", "rest", F.posexplode("rest").alias("at", "item"))
+        grown = grown.select(F.concat_ws(",", "begun", "item").alias("begun"), F.expr("slice(rest, at + 2, size(rest))").alias("rest"))
+        held = grown.join(begun.where(F.col("size") == size).select("begun"), "begun", "left_semi")
+        counted = held.groupBy("begun").agg((F.count("*") / total).alias("support")).where(F.col("support") >= least)
+        met = counted if met is None else met.union(counted)
+    if met is None:
+        return wanted.select("itemset", F.lit(0.0).alias("support"))
+    return met.join(wanted.select("itemset", F.concat_ws(",", "parts").alias("begun")), "begun").select("itemset", "support")
 
 
 # Clustering.

@@ -210,6 +210,15 @@ def itemset_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lg.recount_itemsets(candidates, baskets(spark, sf_dir), "basket", "item", 0.003).select("itemset", F.round("support", 9).alias("support"))
 
 
+SHARED = LOCAL.replace("support >= 4", "support >= ceil(0.01 * (SELECT count(DISTINCT basket) FROM k n WHERE n.block_id = s.block_id))").replace("FROM pair WHERE", "FROM pair s WHERE").replace("FROM triple WHERE", "FROM triple s WHERE")
+
+
+@R.frame(SHARED + "SELECT block_id, itemset, support FROM local")
+def itemset_local_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Itemsets in a hundredth of a block's baskets."""
+    return lg.local_itemsets(basket_blocks(spark, sf_dir), "items", 0.01, most_items=3)
+
+
 @R.frame("SELECT '1 ' || n_nationkey || ' ' || n_regionkey AS line, [1, n_nationkey, n_regionkey]::VARCHAR AS items FROM nation")
 def itemset_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = load(spark, sf_dir, "nation").select(F.concat_ws(" ", F.lit(1), "n_nationkey", "n_regionkey").alias("line"))

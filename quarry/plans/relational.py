@@ -33,7 +33,7 @@ R.sql("existence_join", "SELECT c_custkey FROM customer c WHERE c_acctbal > 9000
 R.sql("inline_values", "SELECT k, v FROM (VALUES (1, 'a'), (2, 'b'), (3, CAST(NULL AS STRING))) AS t(k, v)", "SELECT k, v FROM (VALUES (1, 'a'), (2, 'b'), (3, CAST(NULL AS VARCHAR))) AS t(k, v)")
 R.sql("range_tvf", "SELECT id FROM range(3, 40, 4)", "SELECT range AS id FROM range(3, 40, 4)")
 R.sql("null_handling", "SELECT c, b, b + 1 AS s, c > 1 AND b IS NULL AS t, c > 1 OR b > 2 AS u FROM (VALUES (1, 2), (2, NULL), (NULL, 3)) AS v(c, b)")
-R.sql("explode_lateral", "SELECT doc_id, w FROM documents LATERAL VIEW explode(split(substring(text, 1, 60), ' ')) t AS w", "SELECT doc_id, unnest(string_split(substr(text, 1, 60), ' ')) AS w FROM documents")
+R.sql("explode_lateral", "SELECT lang, w, count(*) AS n FROM documents LATERAL VIEW explode(split(text, ' ')) t AS w GROUP BY lang, w", "SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY lang, w")
 R.sql("explode_outer_lateral", "SELECT n_nationkey, x FROM nation LATERAL VIEW OUTER explode(sequence(1, n_regionkey)) t AS x WHERE n_regionkey > 0", "SELECT n_nationkey, unnest(range(1, n_regionkey + 1))::INTEGER AS x FROM nation WHERE n_regionkey > 0")
 R.sql("posexplode_rows", "SELECT n_nationkey, pos, c FROM nation LATERAL VIEW posexplode(split(n_name, '')) t AS pos, c", "SELECT n_nationkey, (i - 1)::INTEGER AS pos, n_name[i] AS c FROM (SELECT *, unnest(range(1, len(n_name) + 1)) AS i FROM nation)")
 R.sql("stack_rows", "SELECT r_regionkey, k, v FROM region LATERAL VIEW stack(2, 'a', r_regionkey, 'b', r_regionkey * 10) t AS k, v", "SELECT r_regionkey, 'a' AS k, r_regionkey AS v FROM region UNION ALL SELECT r_regionkey, 'b', r_regionkey * 10 FROM region")
