@@ -113,13 +113,18 @@ R.sql(
 R.sql("fn_reflect", "SELECT reflect('java.lang.Math', 'max', 3, 7) AS r, java_method('java.lang.Integer', 'toHexString', 255) AS j, current_database() AS d", "SELECT '7' AS r, 'ff' AS j, 'default' AS d")
 
 
-@R.frame("SELECT r_name, hash_ok, unique_ok FROM (SELECT r_name, true AS hash_ok, true AS unique_ok FROM region)")
+@R.frame("SELECT count(*) AS n, -1321691492 AS h, 5602566077635097486 AS x, 1557323817::BIGINT AS c, count(*) AS ids, count(*) AS uuids, true AS even, true AS normal, 3::BIGINT AS parts FROM lineitem")
 def fn_engine_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes are functions of the value; ids are unique; random values lie in their range."""
-    r = load(spark, sf_dir, "region")
-    again = (F.hash("r_name") == F.hash(F.concat("r_name", F.lit("")))) & (F.xxhash64("r_name") == F.xxhash64(F.concat("r_name", F.lit(""))))
-    sound = (F.length(F.uuid()) == 36) & (F.rand(1) < 1) & F.randn(1).isNotNull() & (F.monotonically_increasing_id() >= 0) & (F.spark_partition_id() >= 0)
-    return r.select("r_name", again.alias("hash_ok"), sound.alias("unique_ok"))
+    """Hashes of fixed values; ids that are unique over the table; random numbers by mean and spread; partitions by their count."""
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey").repartition(3)
+    fixed = F.lit("Spark"), F.array(F.lit(123)), F.lit(2)
+    r = li.select(F.hash(*fixed).alias("h"), F.xxhash64(*fixed).alias("x"), F.crc32(F.lit("Spark")).alias("c"), F.monotonically_increasing_id().alias("i"), F.uuid().alias("u"), F.rand(1).alias("r"), F.randn(1).alias("g"), F.spark_partition_id().alias("p"))
+    known = F.regexp_like("u", F.lit("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"))
+    return r.agg(
+        F.count("*").alias("n"), F.max("h").alias("h"), F.min("x").alias("x"), F.max("c").alias("c"), F.countDistinct("i").alias("ids"), F.countDistinct(F.when(known, F.col("u"))).alias("uuids"),
+        ((F.min("r") >= 0) & (F.max("r") < 1) & (F.abs(F.avg("r") - 0.5) < 0.02) & (F.abs(F.stddev("r") - 12**-0.5) < 0.02)).alias("even"),
+        ((F.abs(F.avg("g")) < 0.06) & (F.abs(F.stddev("g") - 1) < 0.06)).alias("normal"), F.countDistinct("p").alias("parts"),
+    )
 
 
 @R.frame("SELECT r_regionkey, true AS named, true AS placed FROM region")

@@ -25,6 +25,21 @@ R.sql(
 R.sql("agg_corr_cov", "SELECT l_linestatus, round(corr(l_quantity, l_extendedprice), 6) AS r, round(covar_pop(l_quantity, l_discount), 6) AS cp, round(covar_samp(l_quantity, l_discount), 6) AS cs FROM lineitem GROUP BY l_linestatus")
 R.sql("agg_percentile", "SELECT l_returnflag, percentile(l_extendedprice, 0.5) AS p50, percentile(l_extendedprice, 0.9) AS p90 FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.9) AS p90 FROM lineitem GROUP BY l_returnflag")
 R.sql("agg_first_last", "SELECT c_mktsegment, min_by(c_name, c_custkey) AS f, max_by(c_name, c_custkey) AS l, max(struct(c_acctbal, c_custkey)).c_custkey AS rich FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, min_by(c_name, c_custkey) AS f, max_by(c_name, c_custkey) AS l, max_by(c_custkey, (c_acctbal, c_custkey)) AS rich FROM customer GROUP BY c_mktsegment")
+R.sql(
+    "agg_aliases",
+    "SELECT o_orderstatus, round(mean(o_totalprice), 4) AS mean, round(std(o_totalprice), 4) AS std, approx_percentile(o_orderkey, 0.5, 1000000) AS middle, sum(mod(o_orderkey, 7)) AS rest, round(max(power(o_custkey, 2)), 0) AS squared, sum(ceiling(o_totalprice)) AS whole, max(character_length(o_orderpriority)) AS longest FROM orders GROUP BY o_orderstatus",
+    "SELECT o_orderstatus, round(avg(o_totalprice), 4) AS mean, round(stddev(o_totalprice), 4) AS std, quantile_disc(o_orderkey, 0.5) AS middle, sum(o_orderkey % 7)::BIGINT AS rest, round(max(o_custkey ** 2), 0) AS squared, sum(ceil(o_totalprice)::BIGINT)::BIGINT AS whole, max(length(o_orderpriority))::INTEGER AS longest FROM orders GROUP BY o_orderstatus",
+)
+
+
+@R.frame("SELECT c_nationkey, arg_min(c_name, c_custkey) AS first, arg_max(c_name, c_custkey) AS last, count(DISTINCT c_mktsegment) > 0 AS any FROM customer GROUP BY 1")
+def agg_ordered_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """first and last see rows in order where one frame holds the group."""
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    c = load(spark, sf_dir, "customer").select("c_nationkey", F.first("c_name").over(w).alias("first"), F.last("c_name").over(w).alias("last"), F.any_value("c_mktsegment").over(w).isNotNull().alias("any"))
+    return c.distinct()
+
+
 R.sql("agg_bool", "SELECT o_custkey, bool_and(o_totalprice > 50000) AS all_big, bool_or(o_totalprice > 200000) AS any_big, count_if(o_orderstatus = 'F') AS f FROM orders GROUP BY o_custkey", "SELECT o_custkey, bool_and(o_totalprice > 50000) AS all_big, bool_or(o_totalprice > 200000) AS any_big, count_if(o_orderstatus = 'F')::BIGINT AS f FROM orders GROUP BY o_custkey")
 R.sql("cube", "SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 R.sql("rollup", "SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
@@ -63,8 +78,9 @@ def drop_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("c_nationkey").agg(F.min("c_custkey").alias("c_custkey")).dropDuplicates(["c_nationkey"])
 
 
-@R.frame()
+@R.frame("SELECT list_sort(list(DISTINCT o_orderpriority)) AS priority, list_sort(list(DISTINCT o_orderstatus)) AS status FROM orders")
 def freq_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With room for ten, all of five priorities and three states are found."""
     return load(spark, sf_dir, "orders").stat.freqItems(["o_orderpriority", "o_orderstatus"], 0.1).select(F.array_sort("o_orderpriority_freqItems").alias("priority"), F.array_sort("o_orderstatus_freqItems").alias("status"))
 
 
@@ -84,21 +100,21 @@ def approx_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(q, "l_returnflag").groupBy("l_returnflag").agg((F.abs(rank - 0.5) < 0.01).alias("close"))
 
 
-@R.frame("SELECT count(*) AS n, true AS never_less FROM (SELECT DISTINCT o_orderpriority FROM orders)")
+@R.frame("SELECT o_orderpriority, count(*) AS estimate FROM orders GROUP BY 1 UNION ALL SELECT 'none of them', 0")
 def count_min_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimates read from the serialised sketch never fall under the true counts."""
+    """Estimates read from the serialised sketch; with far fewer values than its width they are the counts."""
     o = load(spark, sf_dir, "orders")
     blob = o.agg(F.count_min_sketch("o_orderpriority", F.lit(0.001), F.lit(0.99), F.lit(7)).alias("s")).first().s
     counts = spark.sparkContext._jvm.org.apache.spark.util.sketch.CountMinSketch.readFrom(bytearray(blob))
-    exact = o.groupBy("o_orderpriority").count().collect()
-    ok = all(counts.estimateCount(r.o_orderpriority) >= r["count"] for r in exact)
-    return spark.range(1).select(F.lit(len(exact)).cast("long").alias("n"), F.lit(ok).alias("never_less"))
+    asked = [r.o_orderpriority for r in o.select("o_orderpriority").distinct().limit(100).collect()] + ["none of them"]
+    return spark.createDataFrame([(x, counts.estimateCount(x)) for x in asked], "o_orderpriority string, estimate long")
 
 
-@R.frame("SELECT count(*) AS members, 0::BIGINT AS missed FROM orders")
+@R.frame("SELECT count(*) AS members, 0::BIGINT AS missed, count(*) AS strangers, true AS few_let_through FROM orders")
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Bloom filter of all order keys in 64 mergeable slices: no key is ever missed."""
-    bits, slices = 1 << 16, 64
+    """Bloom filters of all order keys, one per slice of about 4096: no key is missed, and of as many other keys hardly one passes."""
+    orders, bits = load(spark, sf_dir, "orders"), 1 << 16
+    slices = max(16, -(-orders.count() // 4096))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         filled = np.zeros(bits, dtype=bool)
@@ -107,15 +123,17 @@ def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "filter": [np.packbits(filled).tobytes()]})
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        filled = np.unpackbits(np.frombuffer(right["filter"].iloc[0], np.uint8)).astype(bool)
-        h = left["h"].to_numpy().view("uint64")
+        filled = np.unpackbits(np.frombuffer(right["filter"].iloc[0], np.uint8)).astype(bool) if len(right) else np.zeros(bits, dtype=bool)
+        h, member = left["h"].to_numpy().view("uint64"), left["member"].to_numpy()
         found = np.logical_and.reduce([filled[(h >> np.uint64(16 * k)) % np.uint64(bits)] for k in range(3)])
-        return pd.DataFrame({"members": [len(left)], "missed": [int((~found).sum())]})
-
-    keys = load(spark, sf_dir, "orders").select(F.xxhash64("o_orderkey").alias("h"), F.pmod(F.hash("o_orderkey"), F.lit(slices)).alias("slice"))
-    filters = keys.groupBy("slice").applyInPandas(build, "slice int, filter binary")
-    hit = keys.groupBy("slice").cogroup(filters.groupBy("slice")).applyInPandas(probe, "members long, missed long")
-    return hit.agg(F.sum("members").alias("members"), F.sum("missed").alias("missed"))
+        return pd.DataFrame({"members": [int(member.sum())], "missed": [int((member & ~found).sum())], "strangers": [int((~member).sum())], "passed": [int((~member & found).sum())]})
+
+    hashed = lambda key, member: orders.select(F.xxhash64(key).alias("h"), F.lit(member).alias("member")).withColumn("slice", F.pmod(F.hash("h"), F.lit(slices)))
+    members = hashed(F.col("o_orderkey"), True)
+    filters = members.groupBy("slice").applyInPandas(build, "slice int, filter binary")
+    hit = members.union(hashed(-F.col("o_orderkey") - 1, False)).groupBy("slice").cogroup(filters.groupBy("slice")).applyInPandas(probe, "members long, missed long, strangers long, passed long")
+    total = hit.agg(*[F.sum(c).alias(c) for c in ("members", "missed", "strangers", "passed")])
+    return total.select("members", "missed", "strangers", (F.col("passed") < 0.02 * F.col("strangers")).alias("few_let_through"))
 
 
 @R.frame("SELECT floor(o_totalprice / 50000)::BIGINT AS bin, true AS close FROM orders GROUP BY 1")

@@ -184,14 +184,14 @@ R.sql("limit_ordered", "SELECT c_custkey FROM customer ORDER BY 1 LIMIT 7 OFFSET
 R.sql("topk_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) x WHERE r <= 2")
 
 
-@R.frame("SELECT count(*) AS n, 0::BIGINT AS out_of_order FROM orders")
+@R.frame("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::BIGINT AS place FROM orders")
 def sort_within_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DISTRIBUTE BY and SORT BY: within each partition no key falls behind the one before."""
+    """DISTRIBUTE BY and SORT BY: a customer's orders lie in one partition, in order; an order's place is counted from the running number."""
     from pyspark.sql import Window
 
-    o = load(spark, sf_dir, "orders").repartition(8, "o_custkey").sortWithinPartitions("o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
-    before = F.lag("o_custkey").over(Window.partitionBy("p").orderBy("i"))
-    return o.withColumn("b", before).agg(F.count("*").alias("n"), F.count_if(F.col("b") > F.col("o_custkey")).alias("out_of_order"))
+    o = load(spark, sf_dir, "orders").repartition(8, "o_custkey").sortWithinPartitions("o_custkey", F.desc("o_totalprice"), "o_orderkey")
+    o = o.select("o_custkey", "o_orderkey", F.monotonically_increasing_id().alias("i"))
+    return o.select("o_orderkey", (F.col("i") - F.min("i").over(Window.partitionBy("o_custkey")) + 1).alias("place"))
 
 
 # Whole queries.

@@ -116,9 +116,11 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max("top").alias("top"))
 
 
-@R.frame("SELECT 5::BIGINT AS n")
+@R.frame("SELECT 5::BIGINT AS n, 5::BIGINT AS known")
 def stream_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finish(spark, sf_dir, stream(spark, sf_dir).select("event_id").limit(5), "append").agg(F.count("*").alias("n"))
+    """Five different events of the table, whichever come first."""
+    found = finish(spark, sf_dir, stream(spark, sf_dir).select("event_id").limit(5), "append")
+    return found.join(load(spark, sf_dir, "events").select("event_id", F.lit(1).alias("k")), "event_id", "left").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("k") == 1, F.col("event_id"))).alias("known"))
 
 
 @R.frame("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
