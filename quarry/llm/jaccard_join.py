@@ -6,11 +6,12 @@ their first ``n - ceil(t n) + 1``. So only these prefixes are dealt out, by n-gr
 
 1. one pass counts documents per n-gram in a sketch of fixed size (partial sketches of
    tasks add up; it only orders, so its collisions cost no result) and fingerprints sets;
-2. a second pass emits prefix entries, in blobs per bucket; sets that are equal meet by
-   their fingerprint and count once;
-3. in each n-gram's group every member is paired with the least one only; pairs that
-   pass the length and positional filters are verified once each, by the suffix filter
-   and then by the whole intersection;
+2. a second pass emits prefix entries, in blobs per bucket, of which there are more the
+   more entries there are; sets that are equal meet by their fingerprint and count once;
+3. in each n-gram's group every member is paired with the least one only; an n-gram that
+   ``HOT`` documents or more may have is spread over buckets, whose least ones are paired
+   with the least of all; pairs that pass the length and positional filters are verified
+   once each, by the suffix filter and then by the whole intersection;
 4. where members of a group are still in different components, all their pairs across
    components that pass the filters are verified too.
 
@@ -20,7 +21,9 @@ copies costs a star and not its square.
 
 Defined cases: null or empty text has the empty set and links with nothing; a text of
 fewer than n words is one n-gram, its whole sequence; equal sets link; repeated rows
-share a component; an empty table gives an empty result; extra columns are ignored.
+share a component; a row of null doc_id links with nothing and its component is null;
+very long texts are read whole, one at a time; an empty table gives an empty result;
+other columns are ignored. ``keep`` keeps every row of null doc_id, and one of equal rows.
 """
 
 from __future__ import annotations
@@ -31,15 +34,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import exchange_width, materialize, small_batches
+from .storage import exchange_width, free_name, materialize, small_batches
 from .textops import SLICE, U64, Words, lower_ascii, mix, slices, string_buffer
 
 SKETCH_BITS = 18
 PART_BITS = 8
+BUCKET_ENTRIES = 400_000
+HOT = 50_000
+FILTER_BITS = 1 << 28
 ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("fp", "<u8"), ("n", "<i4"), ("pos", "<i4")])
 
 
@@ -92,7 +98,11 @@ def document_counts(measured: DataFrame) -> np.ndarray:
     return np.minimum(sum(np.frombuffer(r.counts, dtype="<u4").astype(np.int64) for r in parts), 2**32 - 1).astype(np.uint32)
 
 
-def _prefixes(size: int, percent: int, rarity, buckets: int):
+def _slot_counts(order: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return order[h >> U64(64 - SKETCH_BITS)]
+
+
+def _prefixes(size: int, percent: int, rarity, buckets: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, rows, seen = [], 0, set()
         order = rarity.value
@@ -107,25 +117,26 @@ def _prefixes(size: int, percent: int, rarity, buckets: int):
                     continue
                 seen.add(fp)
                 p = n - least_overlap(n, percent) + 1
-                first = s[np.argsort(order[s >> U64(64 - SKETCH_BITS)], kind="stable")[:p]]
+                first = s[np.argsort(_slot_counts(order, s), kind="stable")[:p]]
                 e = np.empty(p, dtype=ENTRY)
                 e["h"], e["doc"], e["fp"], e["n"], e["pos"] = first, doc, int.from_bytes(fp[:8], "little"), n, np.arange(p)
                 kept.append(e)
                 rows += p
             if rows > 400_000:
-                yield _dealt(kept, buckets)
+                yield _dealt(kept, buckets, order, hot)
                 kept, rows = [], 0
                 if len(seen) > 200_000:
                     seen = set()
         if kept:
-            yield _dealt(kept, buckets)
+            yield _dealt(kept, buckets, order, hot)
 
     return run
 
 
-def _dealt(kept: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+def _dealt(kept: list[np.ndarray], buckets: int, order: np.ndarray, hot: int) -> pa.RecordBatch:
     e = np.concatenate(kept)
-    at = (e["h"] % U64(buckets)).astype(np.int64)
+    grain = e["fp"] % (1 + _slot_counts(order, e["h"]) // U64(hot))  # equal sets stay together
+    at = ((e["h"] + grain * U64(0x9E3779B97F4A7C15)) % U64(buckets)).astype(np.int64)
     order = np.argsort(at, kind="stable")
     e, at = e[order], at[order]
     cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
@@ -139,10 +150,16 @@ def passes(n1, n2, pos1, pos2, percent: int):
     return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (1 + np.minimum(n1 - pos1, n2 - pos2) - 1 >= need)
 
 
-FOUND = "h long, doc long, n int, pos int, centre long, passes boolean"
+def _passes(n1: Column, n2: Column, pos1: Column, pos2: Column, percent: int) -> Column:
+    """``passes`` over columns."""
+    need = F.ceil(percent * (n1 + n2) / (100 + percent))
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - pos1, n2 - pos2) >= need)
+
+
+FOUND = "h long, doc long, n int, pos int, centre long, passes boolean, spread boolean"
 
 
-def _groups(percent: int):
+def _groups(percent: int, rarity, hot: int):
     def run(table: pa.Table) -> pa.Table:
         e = np.concatenate([np.frombuffer(x.as_py(), dtype=ENTRY) for x in table["entries"]])
         e = e[np.lexsort((e["doc"], e["fp"], e["h"]))]
@@ -151,10 +168,11 @@ def _groups(percent: int):
         head = np.concatenate([[True], e["h"][1:] != e["h"][:-1]])
         group = np.cumsum(head) - 1
         centre = np.flatnonzero(head)[group]
-        many = np.bincount(group)[group] > 1
-        e, c = e[many], e[centre[many]]
+        spread = _slot_counts(rarity.value, e["h"]) >= hot
+        many = (np.bincount(group)[group] > 1) | spread
+        e, c, spread = e[many], e[centre[many]], spread[many]
         ok = passes(e["n"].astype(np.int64), c["n"].astype(np.int64), e["pos"], c["pos"], percent)
-        return pa.table({"h": e["h"].view(np.int64), "doc": e["doc"], "n": e["n"], "pos": e["pos"], "centre": c["doc"], "passes": ok})
+        return pa.table({"h": e["h"].copy().view(np.int64), "doc": e["doc"], "n": e["n"], "pos": e["pos"], "centre": c["doc"], "passes": ok, "spread": spread})
 
     return run
 
@@ -220,40 +238,46 @@ def _verify(size: int, percent: int):
 
 
 def _bits(width: int):
+    """Of slots whose eighths of the width come together: each eighth as bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(width, dtype=bool)
+        eighths: dict[int, np.ndarray] = {}
         for batch in batches:
-            bits[_slot(batch.column(0), width)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+            slot = batch.column(0).to_numpy()
+            for e in np.unique(slot // (width // 8)):
+                bits = eighths.setdefault(int(e), np.zeros(width // 8, dtype=bool))
+                bits[slot[slot // (width // 8) == e] % (width // 8)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(eighths), pa.int64()), pa.array([np.packbits(b).tobytes() for b in eighths.values()], pa.binary())], names=["eighth", "bits"])
 
     return run
 
 
-def _slot(ids: pa.Array, width: int) -> np.ndarray:
-    return (mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(U64)) & U64(width - 1)).astype(np.int64)
-
-
 def parted(s: np.ndarray) -> np.ndarray:
     """How many of a set's n-grams fall into each part of the hash space."""
     return np.bincount((s >> U64(64 - PART_BITS)).astype(np.int64), minlength=1 << PART_BITS)
 
 
 def texts_of(spark: SparkSession, docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, parts, packed) of the documents in ``ids``, and some more: a filter of bounded
-    size finds them without a shuffle of texts. ``parts`` counts the set's n-grams by part of
-    the hash space, ``packed`` is the compressed text."""
-    width = min(1 << 28, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
-    parts = ids.repartition(8).mapInArrow(_bits(width), "bits binary").collect()
-    bits = np.zeros(width // 8, dtype=np.uint8)
-    for r in parts:
-        bits |= np.frombuffer(r.bits, dtype=np.uint8)
+    """(doc_id, n, parts, packed) of the documents in ``ids``, and some more: a filter of at most 32 MB
+    finds them without a shuffle of texts, and a join where they are too many for it. ``parts`` counts
+    the set's n-grams by part of the hash space, ``packed`` is the compressed text."""
+    docs, width = docs.where("doc_id is not null"), max(1 << 16, 1 << (16 * ids.count()).bit_length())
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(width)).alias("slot")
+    if width <= FILTER_BITS:
+        bits = np.zeros(width // 8, dtype=np.uint8)
+        for r in ids.select(slot("doc")).repartition(8, F.floor(F.col("slot") / (width // 8))).mapInArrow(_bits(width), "eighth long, bits binary").collect():
+            bits[r.eighth * (width // 64) : (r.eighth + 1) * (width // 64)] = np.frombuffer(r.bits, dtype=np.uint8)
+    else:
+        docs, bits = docs.join(ids.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), None
     shared = spark.sparkContext.broadcast(bits)
+    docs = docs.select("doc_id", "text", slot("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in slices(batches, "text", SLICE):
-            slot = _slot(batch.column(0), width)
-            batch = batch.filter(pa.array((shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
+            if shared.value is not None:
+                slot = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
             if not batch.num_rows:
                 continue
             raw, offsets = string_buffer(batch.column(1))
@@ -262,7 +286,7 @@ def texts_of(spark: SparkSession, docs: DataFrame, ids: DataFrame, size: int) ->
             packed = [pack(whole[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(parts, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "n", "parts", "packed"])
 
-    return materialize(docs.where("doc_id is not null").mapInArrow(run, "doc_id long, n long, parts binary, packed binary"), "jaccard-texts")
+    return materialize(docs.mapInArrow(run, "doc_id long, n long, parts binary, packed binary"), "jaccard-texts")
 
 
 def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -276,10 +300,17 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     rarity = spark.sparkContext.broadcast(document_counts(measured)) if measured.where("counts is not null").take(1) else None
     if rarity is None:
         return own.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    dealt = docs.mapInArrow(_prefixes(size, percent, rarity, 4 * exchange_width(spark)), "bucket long, entries binary")
-    found = materialize(dealt.groupBy("bucket").applyInArrow(_groups(percent), FOUND), "jaccard-groups")
-
-    stars = materialize(found.where("doc != centre").groupBy(F.col("doc").alias("u"), F.col("centre").alias("v")).agg(F.max("passes").alias("passes")), "jaccard-stars")
+    entries = own.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0]
+    buckets = max(4 * exchange_width(spark), -(-entries // BUCKET_ENTRIES))
+    dealt = docs.mapInArrow(_prefixes(size, percent, rarity, buckets, HOT), "bucket long, entries binary").repartition(-(-buckets // 4), "bucket")
+    found = materialize(dealt.groupBy("bucket").applyInArrow(_groups(percent, rarity, HOT), FOUND), "jaccard-groups")
+
+    # The least ones of a hot n-gram's buckets and the least of all.
+    local = found.where("spread and doc = centre").select("h", "doc", "n", "pos")
+    least = local.groupBy("h").agg(F.min(F.struct("doc", "n", "pos")).alias("c"))
+    hot = local.join(least, "h").where("doc != c.doc").select(F.col("doc").alias("u"), F.col("c.doc").alias("v"), _passes(F.col("n"), F.col("c.n"), F.col("pos"), F.col("c.pos"), percent).alias("passes"))
+    members = found.where("doc != centre").select(F.col("doc").alias("u"), F.col("centre").alias("v"), "passes")
+    stars = materialize(members.union(hot).groupBy("u", "v").agg(F.max("passes").alias("passes")), "jaccard-stars")
     texts = texts_of(spark, docs, found.select("doc").distinct(), size)
     first = materialize(verify(stars.where("passes").select("u", "v"), texts, size, percent), "jaccard-links")
     joined = components(first)
@@ -294,11 +325,9 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
         mixed = member.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").select("h")
         member = materialize(member.join(mixed, "h", "left_semi"), "jaccard-members")
         other = member.select("h", *[F.col(x).alias(f"{x}2") for x in ("doc", "n", "pos", "c")])
-        need = F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent))
         pairs = (
             member.join(other, "h").where("c < c2")
-            .where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-            .where(F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
+            .where(_passes(F.col("n"), F.col("n2"), F.col("pos"), F.col("pos2"), percent))
             .select(F.greatest("doc", "doc2").alias("u"), F.least("doc", "doc2").alias("v")).distinct()
         )
         pairs = pairs.join(stars.where("passes").select("u", "v"), ["u", "v"], "left_anti")  # each pair once
@@ -327,6 +356,11 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
 
 
 def keep(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """One document of each component, the one of least id, with all columns."""
-    firsts = link(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(firsts, docs["doc_id"] == firsts["_kept"], "left_semi")
+    """One document of each component, the one of least id, with all columns; of rows that repeat its id, the
+    one whose text has the least hash. Rows of null doc_id all stay."""
+    kept, place = free_name(docs, "_kept"), free_name(docs, "_place")
+    firsts = link(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    named = docs.where("doc_id is not null")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    single = named.join(firsts, named["doc_id"].cast("long") == firsts[kept], "left_semi").withColumn(place, first).where(F.col(place) == 1).drop(place)
+    return single.unionByName(docs.where("doc_id is null"))

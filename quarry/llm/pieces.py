@@ -15,9 +15,10 @@ these two. Exactly one does, and the walk over prefixes is the same.
 Characters that the vocabulary lacks become their UTF-8 bytes' pieces. Decoding joins
 pieces, turns marks into spaces and drops the one in front.
 
-Defined cases: null text counts as empty and has no ids; very long words are walked like
-others and not remembered; repeated rows are encoded each by itself; an empty table gives
-an empty result; extra columns are ignored.
+Defined cases: null text counts as empty and has no ids; very long texts and words are
+walked like others, one text at a time at least; a row of null doc_id is encoded like
+others; repeated rows are encoded each by itself; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -187,7 +188,7 @@ class Model:
 class Encoder:
     """Encodes batches of texts; words are remembered across the batches of a worker."""
 
-    MOST, MOST_CHARS, LONG = 1_000_000, 24 << 20, 64
+    MOST, MOST_CHARS = 1_000_000, 24 << 20
 
     def __init__(self, model: Model):
         self.model = model

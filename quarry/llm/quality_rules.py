@@ -11,9 +11,10 @@ size is bounded by the number of buckets whatever the number of rows. A hot sour
 therefore no hot task: it arrives as partial counts.
 
 Defined cases: null text counts as no words and fails the base rules; null lang or
-source form groups of their own; repeated rows are judged alike, each by itself; an
-empty table gives an empty result; extra columns are ignored by ``judge`` and survive
-in ``keep``.
+source form groups of their own; repeated rows are judged alike, each by itself; very long
+texts are read whole, one at a time; an empty table gives an empty result; other columns
+are ignored by ``judge`` and survive in ``keep``, where a row of null doc_id, which no
+verdict names, goes, and rows that repeat a doc_id stay if one of them is kept.
 """
 
 from __future__ import annotations
@@ -55,7 +56,8 @@ MEASURES = (
     Measure("repeated_lines", "n_dup_lines", "n_lines", 0.5),
     Measure("chars_per_word", "word_chars", "n_words", 2.0, low=True),
 )
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+CONTRACT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+COUNTS = (*CONTRACT, "n_lines")
 
 
 def measure_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +164,8 @@ def judge(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         schema = schema.add(c, "long")
     counted = materialize(rows.mapInArrow(measure_texts, schema), "quality-counts")
     limits = fences(sketches(counted))
-    # A null key must meet its own group: nulls become a value that no name can be.
-    named = lambda c: F.when(F.col(c).isNull(), "\u0000").otherwise(F.col(c))
+    # A null key must meet its own group: names get a letter in front, and null is a word without it.
+    named = lambda c: F.when(F.col(c).isNull(), "null").otherwise(F.concat(F.lit("="), F.col(c)))
     sides = [f"{m.name}_{s}" for m in MEASURES for s in ("low", "high")]
     level = lambda k: limits.where(F.col("level") == k)
     own = level(0).select(named("lang").alias("_lang"), named("source").alias("_source"), F.lit(0).alias("_all"), F.col("size").alias("_n0"), *[F.col(s).alias(f"{s}_0") for s in sides])
@@ -178,7 +180,8 @@ def judge(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         beyond = beyond | (ratio(m) > F.col(f"{m.name}_high"))
         if m.low:
             beyond = beyond | (ratio(m) < F.col(f"{m.name}_low"))
-    return met.select(key, *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~F.coalesce(beyond, F.lit(True))).alias("kept"))
+    more = [c for c in COUNTS if c not in CONTRACT]
+    return met.select(key, *CONTRACT, base_failed().alias("base_failed"), (~base_failed() & ~F.coalesce(beyond, F.lit(True))).alias("kept"), *more)
 
 
 def keep(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -240,8 +243,8 @@ WITH base AS (
     AND (q.level = 2 OR q.lang IS NOT DISTINCT FROM r.lang) AND (q.level > 0 OR q.source IS NOT DISTINCT FROM r.source)
   GROUP BY r.doc_id
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed,
-  (NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND NOT coalesce(beyond, true)) AS kept
+  (NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND NOT coalesce(beyond, true)) AS kept, n_lines
 FROM counted JOIN judged USING (doc_id)
 """

@@ -20,7 +20,9 @@ batch are settled there, so a passage in a third of all rows arrives once per ba
 
 Defined cases: null text counts as empty; texts under ``length`` bytes lose nothing; a row
 with null doc_id is left whole and shows nothing to others; rows repeating a doc_id are one
-document and get the same result; an empty table gives an empty result.
+document and get the same result; very long texts are read whole, one at a time; other
+columns are ignored by ``remove_repeats``, and ``cleaned`` returns them as they are; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .run_index import earlier_windows
-from .storage import exchange_width, materialize, small_batches
+from .storage import exchange_width, free_name, materialize, small_batches
 from .textops import BYTE_VALUES, U64, mix, powers, slices, string_buffer
 
 LENGTH = 100
@@ -351,10 +353,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with repeated passages cut out of ``text`` (and ``n_chars`` counted anew, if there)."""
-    kept = remove_repeats(docs, length, with_text=True).where("n_removed > 0 and doc_id is not null").select(F.col("doc_id").alias("_doc"), F.col("kept_text").alias("_text")).dropDuplicates(["_doc"])
-    out = docs.join(kept, docs["doc_id"] == kept["_doc"], "left")
-    changed = {"text": F.when(F.col("_doc").isNotNull(), F.col("_text")).otherwise(F.col("text"))}
+    """``docs`` with repeated passages cut out of ``text`` (and ``n_chars`` counted anew, if there); rows of null doc_id as they are."""
+    doc, text = free_name(docs, "_doc"), free_name(docs, "_text")
+    kept = remove_repeats(docs, length, with_text=True).where("n_removed > 0 and doc_id is not null").select(F.col("doc_id").alias(doc), F.col("kept_text").alias(text)).dropDuplicates([doc])
+    out = docs.join(kept, docs["doc_id"] == kept[doc], "left")
+    changed = {"text": F.when(F.col(doc).isNotNull(), F.col(text)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_doc").isNotNull(), F.length("_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col(doc).isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.withColumns(changed).select(*docs.columns)

@@ -44,7 +44,13 @@ def test_table(spark, sf):
     assert got == brute(texts)
 
 
-def test_planted(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_planted(spark, small, monkeypatch):
+    """Small: every n-gram counts as hot and is spread over many buckets, and texts are found by a join."""
+    if small:
+        monkeypatch.setattr(jaccard_join, "HOT", 2)
+        monkeypatch.setattr(jaccard_join, "BUCKET_ENTRIES", 20)
+        monkeypatch.setattr(jaccard_join, "FILTER_BITS", 1)
     pick = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
     texts = {0: None, 1: "", 2: "a b", 3: "A  B", 4: "a b c d", 5: "\n\t"}
@@ -67,3 +73,13 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e")], "doc_id long, text string")
     assert [tuple(r) for r in jaccard_join.link(df).collect()] == [(1, 2, 1), (1, 2, 1)]
     assert jaccard_join.link(df.limit(0)).count() == 0
+
+
+def test_keep_odd_rows(spark):
+    """Null ids stay, rows that repeat an id become one, columns that clash with inner names survive."""
+    long = " ".join(f"w{i * i % 9973}" for i in range(150_000))
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "A b c d e F", "y"), (None, "a b c d e f", "z"), (None, None, "z"), (3, None, "n"), (4, long, "l"), (5, long + " end", "l"), (6, "p q r s t u", "p")]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, _kept string, _place int, slot int")
+    got = jaccard_join.keep(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, r._kept) for r in got.collect()) == [(0, "z"), (0, "z"), (1, "x"), (3, "n"), (4, "l"), (6, "p")]

@@ -1,7 +1,9 @@
 """Encoding against the public library, decoding as a round trip, and a unigram model against all segmentations."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 from quarry.llm import pieces
@@ -49,8 +51,9 @@ def test_tables(spark):
     rows = op1_sentencepiece(spark, "/root/testdata/sf0.001").collect()
     assert all(r.round_trip for r in rows)
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
-    sizes = {d: len(library().encode(t)) for d, t in texts.items()}
-    assert {r.doc_id: r.n_ids for r in rows} == sizes
+    model = library()
+    want = {d: model.encode(t) for d, t in texts.items()}
+    assert {r.doc_id: (r.n_ids, r.ids_crc32) for r in rows} == {d: (len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for d, x in want.items()}
     df = spark.createDataFrame([(1, None, "e"), (2, "two words", "e"), (2, "two words", "e"), (None, "", "e")], "doc_id long, text string, ids string")
     enc = pieces.encode(df, PATH)
     assert sorted((r.doc_id or 0, r.text) for r in pieces.decoded(enc, PATH).collect()) == [(0, ""), (1, ""), (2, "two words"), (2, "two words")]

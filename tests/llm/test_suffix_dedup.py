@@ -84,3 +84,12 @@ def test_run_index():
             for p in range(hit.shape[1]):
                 w = s[p : p + least]
                 assert hit[i, p] == (len(w) == least and any(groups[j] == groups[i] and w in strings[j] for j in range(i)))
+
+
+def test_cleaned_keeps_clashing_columns(spark):
+    same = "".join(chr(97 + i * i % 23) for i in range(300))
+    rows = [(1, same, "a", "b", 1), (2, f"x{same}y", "c", "d", 1), (None, same, "e", "f", 1)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, _doc string, _text string, home int, n_bytes int")
+    got = suffix_dedup.cleaned(df)
+    assert got.columns == df.columns
+    assert {(r.doc_id, r.text, r._doc, r._text) for r in got.collect()} == {(1, same, "a", "b"), (2, "xy", "c", "d"), (None, same, "e", "f")}
