@@ -9,8 +9,10 @@ engine. Neither needs a count or an order of rows.
 from __future__ import annotations
 
 import json
+import math
 import os
 import random
+import re
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 BLOCK = "block_id"
 DEFAULT_STATS = ("count", "mean", "stddev", "min", "25%", "50%", "75%", "max")
+FEW_FILES = 50_000
 WHOLE_FILE = 1 << 40
 
 
@@ -114,6 +117,40 @@ def sum_estimate(frame: BlockFrame, column: str, ids: Sequence[int]) -> DataFram
     return frame.subset(ids).df.agg((F.count("*") * scale).alias("count"), (F.sum(column) * scale).alias("sum"))
 
 
+def count_bounds(frame: BlockFrame, ids: Sequence[int], keys: Sequence[str] = (), z: float = 1.96) -> DataFrame:
+    """Count of the whole, per ``keys`` if any, from some blocks: low, count, high. Each row lies in those blocks
+    with the chance p that the blocks are of all, so n rows there stand for n / p, give or take z sqrt(n (1 - p)) / p."""
+    p = len(ids) / frame.n_blocks
+    n, half = F.col("_n"), z * F.sqrt(F.col("_n") * (1 - p)) / p
+    counted = frame.subset(ids).df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return counted.select(*keys, F.greatest(n, n / p - half).alias("low"), (n / p).alias("count"), (n / p + half).alias("high"))
+
+
+def sum_bounds(frame: BlockFrame, column: str, ids: Sequence[int], z: float = 1.96) -> DataFrame:
+    """Sum of the whole from some blocks: low, sum, high, by the spread of the rows' parts of the sum, rows not chosen being 0."""
+    p, x = len(ids) / frame.n_blocks, F.col(column).cast("double")
+    s = frame.subset(ids).df.agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    half = z * F.sqrt(F.col("q") * (1 - p)) / p
+    return s.select((F.col("s") / p - half).alias("low"), (F.col("s") / p).alias("sum"), (F.col("s") / p + half).alias("high"))
+
+
+def share_for(size: int, total: int, miss: float = 1e-4) -> float:
+    """A share of ``total`` rows, each drawn by itself, of which fewer than ``size`` come with a chance of ``miss`` at most (Chernoff's bound)."""
+    share, slack = size / total, -math.log(miss) / total
+    return min(1.0, max(1e-10, share + slack + math.sqrt(slack * slack + 2 * slack * share)))
+
+
+def reservoir(df: DataFrame, size: int, keys: Sequence[str], total: int) -> DataFrame:
+    """Exactly ``size`` rows, all sets of them alike likely: those of the least hashes of ``keys``. Rows beyond the
+    share that holds ``size`` of them almost surely don't reach the sort; were they too few, all rows would."""
+    place = F.md5(F.concat_ws("|", *keys))
+    first = f"{min((1 << 32) - 1, int(share_for(size, total) * (1 << 32))):08x}"
+    few = df.withColumn("_place", place).where(F.col("_place") <= first + "f" * 24)
+    if few.count() < min(size, total):
+        few = df.withColumn("_place", place)
+    return few.orderBy("_place").limit(size).drop("_place")
+
+
 # Block store.
 
 
@@ -139,11 +176,13 @@ class BlockReader:
             self.spark.conf.set(f"spark.sql.files.{key}", WHOLE_FILE)
 
     def load(self, path: str | list[str], kind: str | None = None, **options: str) -> DataFrame:
-        """The files' rows; ``block_id`` numbers the files by name."""
+        """The files' rows; ``block_id`` numbers the files by full path, from a table of files that meets the rows."""
         df = self.spark.read.format(kind or file_type(path if isinstance(path, str) else path[0])).options(**options).load(path)
-        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-        names = sorted({os.path.basename(f) for f in df.inputFiles()})
-        return df.withColumn(BLOCK, F.array_position(F.array(*[F.lit(x) for x in names]), name) - 1) if names else df.withColumn(BLOCK, F.lit(0).cast("long"))
+        listed = sorted(re.sub(":/+", ":/", f, count=1) for f in df.inputFiles())  # a scheme's slashes are written in two ways
+        files = self.spark.createDataFrame([(f, i) for i, f in enumerate(listed)], f"_file string, {BLOCK} long")
+        if len(listed) <= FEW_FILES:  # some MB at most; a shuffle would also take the rows out of their files' partitions
+            files = F.broadcast(files)
+        return df.withColumn("_file", F.regexp_replace("_metadata.file_path", "^([^:/]+):/+", "$1:/")).join(files, "_file", "left").drop("_file")
 
     def csv(self, path, **options):
         return self.load(path, "csv", **options)
@@ -172,14 +211,15 @@ class BlockStore:
     def path(self, database: str, name: str) -> str:
         return f"{self.root}/{database}/{name}"
 
-    def convert(self, source: str | DataFrame, n: int, target: str, source_kind: str | None = None, target_kind: str | None = None, keys: Sequence[str] = (), seed: int = 0) -> str:
-        """Any table of a known format, as n blocks of another; a kind that is named alone holds for both."""
+    def convert(self, source: str | DataFrame, n: int, target: str, source_kind: str | None = None, target_kind: str | None = None, keys: Sequence[str] = (), seed: int = 0, files: int = 1) -> str:
+        """Any table of a known format, as n blocks of another, of about ``files`` files each; a kind that is named alone holds for both."""
         kind_in = source_kind or target_kind
         kind_out = target_kind or source_kind or (file_type(target) if os.path.splitext(target)[1] else file_type(source) if isinstance(source, str) else "parquet")
         df = source if isinstance(source, DataFrame) else read_any(self.spark, source, kind_in)
         blocks = BlockFrame.assign(df, n, keys, seed).df
-        # A block goes to as many tasks as it has grains, so that no task holds a whole block.
-        blocks.repartition(n, BLOCK).write.mode("overwrite").format(kind_out).partitionBy(BLOCK).save(target)
+        # By range, for hashes of few block numbers collide; a block of several files is spread over as many tasks.
+        grain = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(files))
+        blocks.withColumn("_grain", grain).repartitionByRange(n * files, BLOCK, "_grain").drop("_grain").write.mode("overwrite").format(kind_out).partitionBy(BLOCK).save(target)
         self._describe(target, kind_out, n)
         return target
 
@@ -221,6 +261,7 @@ class BlockStore:
     def take_each(self, target: str, names: Sequence[str]) -> list[DataFrame]:
         return [self.take(target, [x]) for x in names]
 
-    def apply(self, target: str, names: Sequence[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-        """f once, on all rows of the named blocks together."""
-        return self.take(target, names).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(f, schema)
+    def apply(self, target: str, names: Sequence[str], f: Callable, schema: str, transfer: Callable[[pd.DataFrame], object] | None = None) -> DataFrame:
+        """f once, on all rows of the named blocks together, which fit one task by their choice; ``transfer`` makes of the rows what f takes."""
+        run = f if transfer is None else lambda rows: f(transfer(rows))
+        return self.take(target, names).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda rows: run(rows), schema)

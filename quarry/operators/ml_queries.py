@@ -246,3 +246,43 @@ def ml_generalised_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ml_top_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.row_number().over(Window.partitionBy("label").orderBy(F.desc(F.col("embedding")[0]), "vec_id"))
     return load(spark, sf_dir, "embeddings").withColumn("r", r).where("r <= 3").select("label", F.col("vec_id").alias("top"))
+
+
+@R.frame("WITH m AS (SELECT sum(embedding[1]::DOUBLE ** 2) AS a, sum(embedding[2]::DOUBLE ** 2) AS b, sum(embedding[1]::DOUBLE * embedding[2]::DOUBLE) AS c FROM embeddings) SELECT round(sqrt((a + b + sqrt((a - b) ** 2 + 4 * c ** 2)) / 2), 5) AS first_value, round(sqrt((a + b - sqrt((a - b) ** 2 + 4 * c ** 2)) / 2), 5) AS second_value FROM m")
+def ml_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Singular values of two columns, from the sums of their products: one aggregate, and a matrix of two by two."""
+    import numpy as np
+
+    x, y = (F.col("embedding")[i].cast("double") for i in (0, 1))
+    a, b, c = load(spark, sf_dir, "embeddings").agg(F.sum(x * x), F.sum(y * y), F.sum(x * y)).first()
+    values = np.sqrt(np.linalg.eigvalsh(np.array([[a, c], [c, b]])))[::-1]
+    return spark.createDataFrame([tuple(round(float(v), 5) for v in values)], "first_value double, second_value double")
+
+
+@R.frame("SELECT p_partkey, p_retailprice AS label, 3 AS terms, p_size::DOUBLE AS size, round(p_size * p_retailprice, 4) AS product FROM part")
+def ml_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", (F.col("p_size") % 2).cast("double").alias("odd"))
+    out = mf.RFormula(formula="p_retailprice ~ p_size + odd + p_size:p_retailprice").fit(df).transform(df)
+    v = vector_to_array("features")
+    return out.select("p_partkey", "label", F.size(v).alias("terms"), v[0].alias("size"), F.round(v[2], 4).alias("product"))
+
+
+@R.frame("WITH o AS (SELECT avg((o_orderkey % 3 = o_custkey % 3)::INTEGER) AS hit FROM orders) SELECT round(hit, 6) AS subset_accuracy, round((1 - hit) * 2 / 4, 6) AS hamming_loss, round((1 + hit) / 2, 6) AS precision, round((1 + hit) / 2, 6) AS recall FROM o")
+def ml_multilabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order is told two labels of four, one of which is always right."""
+    pair = lambda c: F.array((F.col(c) % 3).cast("double"), F.lit(3.0))
+    df = load(spark, sf_dir, "orders").select(pair("o_orderkey").alias("prediction"), pair("o_custkey").alias("label"))
+    value = lambda name: round(float(me.MultilabelClassificationEvaluator(metricName=name).evaluate(df)), 6)
+    return spark.createDataFrame([tuple(value(n) for n in ("subsetAccuracy", "hammingLoss", "precision", "recall"))], "subset_accuracy double, hamming_loss double, precision double, recall double")
+
+
+@R.frame("SELECT range AS id, (range % 2 = 0)::INTEGER AS with_first FROM range(60)")
+def ml_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of two vocabularies that share no word: their main topics tell them apart."""
+    counts = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda w: F.when(F.floor(w / 5) == F.col("id") % 2, 5.0 + F.pmod(F.hash("id", w), F.lit(3))).otherwise(0.0))
+    df = spark.range(60).select("id", array_to_vector(counts).alias("features"))
+    model = mc.LDA(k=2, seed=1, maxIter=30, optimizer="em").fit(df)
+    shares = vector_to_array("topicDistribution")
+    main = model.transform(df).select("id", (shares[0] > shares[1]).alias("main"))
+    first = main.where("id = 0").select(F.col("main").alias("first"))
+    return main.crossJoin(first).select("id", (F.col("main") == F.col("first")).cast("int").alias("with_first"))  # one row

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import local_global as lg
-from quarry.operators.blocks import BLOCK, BlockFrame, BlockReader, BlockStore, choose, keyed_block, mean_estimate, split, sum_estimate
+from quarry.operators.blocks import BLOCK, BlockFrame, BlockReader, BlockStore, choose, count_bounds, keyed_block, mean_estimate, reservoir, split, sum_bounds, sum_estimate
 from quarry.plans.registry import Registry
 from quarry.plans.scratch import scratch
 from quarry.session import load
@@ -169,6 +169,70 @@ def block_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.sum("n").alias("n"), F.countDistinct("p").alias("partitions"), F.countDistinct(BLOCK).alias("blocks"))
 
 
+def _one_file_one_block(kind: str):
+    @R.frame("SELECT 4::BIGINT AS partitions, 4::BIGINT AS blocks, true AS one, count(*) AS n, max(c_name) AS last FROM customer", name=f"block_reader_{kind}")
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Of two folders whose files have the same names: every file a partition and a block of its own."""
+        base, names = f"{scratch(spark, sf_dir, 'block_reader')}/{kind}", load(spark, sf_dir, "customer").select(F.col("c_name").alias("value"))
+        paths = [f"{base}/first", f"{base}/second"]
+        for path, wanted in zip(paths, (0, 1), strict=True):
+            names.where(F.pmod(F.hash("value"), F.lit(2)) == wanted).repartition(2).write.mode("overwrite").format(kind).save(path)
+        reader = BlockReader(spark)
+        df = getattr(reader, kind)(paths).withColumnRenamed("_c0", "value")
+        per = df.groupBy(F.spark_partition_id().alias("p"), BLOCK).agg(F.count("*").alias("n"), F.max("value").alias("last"))
+        return per.agg(F.countDistinct("p").alias("partitions"), F.countDistinct(BLOCK).alias("blocks"), (F.count("*") == 4).alias("one"), F.sum("n").alias("n"), F.max("last").alias("last"))
+
+    return query
+
+
+for _kind in ("csv", "json", "orc", "text"):
+    _one_file_one_block(_kind)
+
+SUPPLIERS = "(('0x' || substr(md5(s_suppkey::VARCHAR), 1, 8))::BIGINT) % 6"
+
+
+@R.frame(f"SELECT {SUPPLIERS} AS block_id, count(*) AS n, sum(s_suppkey)::BIGINT AS keys FROM supplier WHERE {SUPPLIERS} IN (1, 4) GROUP BY 1")
+def block_take_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named blocks, each as a frame of its own."""
+    store = BlockStore(spark, scratch(spark, sf_dir, "blocks_list"))
+    target = store.create(load(spark, sf_dir, "supplier"), 6, "geo", "supplier", keys=["s_suppkey"])
+    one, four = store.take_each(target, ["block_id=1", "block_id=4"])
+    count = lambda df: df.groupBy(F.col(BLOCK).cast("long").alias(BLOCK)).agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("keys"))
+    return count(one).union(count(four))
+
+
+@R.frame(f"SELECT count(*) AS n, round(sum(s_acctbal) / count(*), 6) AS mean FROM supplier WHERE {SUPPLIERS} IN (2, 3)")
+def block_apply_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of a matrix, which the rows are made into first."""
+    store = BlockStore(spark, scratch(spark, sf_dir, "blocks_transfer"))
+    target = store.create(load(spark, sf_dir, "supplier"), 6, "geo", "supplier", keys=["s_suppkey"])
+    f = lambda m: pd.DataFrame({"n": [m.shape[0]], "mean": [round(float(m.mean()), 6) if len(m) else None]})
+    return store.apply(target, ["block_id=2", "block_id=3"], f, "n long, mean double", lambda rows: rows[["s_acctbal"]].to_numpy())
+
+
+@R.frame(f"SELECT round(greatest(n, n * 5 - 1.96 * sqrt(n * 0.8) * 5), 6)::DOUBLE AS low, (n * 5)::DOUBLE AS count, round(n * 5 + 1.96 * sqrt(n * 0.8) * 5, 6)::DOUBLE AS high, n * 5 - 4.0 * sqrt(n * 0.8) * 5 < whole AND whole < n * 5 + 4.0 * sqrt(n * 0.8) * 5 AS holds FROM (SELECT count_if({LINE} IN (2, 6)) AS n, count(*) AS whole FROM lineitem)")
+def block_count_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = lines(spark, sf_dir)
+    wide = count_bounds(f, [2, 6], z=4.0).crossJoin(f.df.agg(F.count("*").alias("whole"))).select(((F.col("low") < F.col("whole")) & (F.col("whole") < F.col("high"))).alias("holds"))
+    return count_bounds(f, [2, 6]).select(*[F.round(c, 6).alias(c) for c in ("low", "count", "high")]).crossJoin(wide)  # one row each
+
+
+@R.frame(f"SELECT l_returnflag, round(greatest(n, n * 5 - 1.96 * sqrt(n * 0.8) * 5), 6)::DOUBLE AS low, (n * 5)::DOUBLE AS count, round(n * 5 + 1.96 * sqrt(n * 0.8) * 5, 6)::DOUBLE AS high FROM (SELECT l_returnflag, count(*) AS n FROM lineitem WHERE {LINE} IN (2, 6) GROUP BY 1)")
+def block_count_by_key_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_bounds(lines(spark, sf_dir), [2, 6], ["l_returnflag"]).select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("low", "count", "high")])
+
+
+@R.frame(f"SELECT round(s * 5 - 1.96 * sqrt(q * 0.8) * 5, 4) AS low, round(s * 5, 4) AS sum, round(s * 5 + 1.96 * sqrt(q * 0.8) * 5, 4) AS high FROM (SELECT sum(l_quantity) AS s, sum(l_quantity ** 2) AS q FROM lineitem WHERE {LINE} IN (2, 6))")
+def block_sum_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sum_bounds(lines(spark, sf_dir), "l_quantity", [2, 6]).select(*[F.round(c, 4).alias(c) for c in ("low", "sum", "high")])
+
+
+@R.frame("SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey::VARCHAR) LIMIT 100")
+def sample_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders").select("o_orderkey")
+    return reservoir(o, 100, ["o_orderkey"], o.count())
+
+
 # Itemsets: baskets are suppliers' lines by part brand. The SQL lists pairs and triples only, so the queries stop there.
 BASKETS = "SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey"
 
@@ -299,20 +363,45 @@ def weighted_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Generators.
-@R.frame("SELECT 3000::BIGINT AS n, true AS close")
-def gen_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planted full itemsets come out near their planted share."""
-    batches = gen.support_batches([2, 3], seed=3)
-    rows = gen.transactions(spark, batches, 3000, seed=1)
-    out = rows.agg(F.count("*").alias("n"), *[F.avg(F.forall(F.array(*[F.lit(i) for i in max(b.shares, key=len)]), lambda x: F.array_contains("items", x)).cast("int")).alias(f"p{b.number}") for b in batches])
-    return out.select("n", (F.abs(F.col("p0") - batches[0].shares[max(batches[0].shares, key=len)]) < 0.03).alias("close"))
+BATCHES = gen.support_batches([2, 3], seed=3) + gen.support_batches([3], stratified=True, seed=4)
+for _i, _b in enumerate(BATCHES):
+    _b.number = _i
+PLANTED = ", ".join(f"('{'-'.join(map(str, x))}', {b.number})" for b in BATCHES[:2] for x in b.shares)
 
 
-@R.frame("SELECT unnest([0, 1, 2]) AS label, unnest([300, 200, 100])::BIGINT AS n, true AS near")
+@R.frame(f"SELECT itemset, batch, true AS close FROM (VALUES {PLANTED}) t(itemset, batch)")
+def gen_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every planted itemset of every batch is drawn about as often as planted: within four standard deviations."""
+    count, batches = 20_000, BATCHES[:2]
+    rows = gen.transactions(spark, batches, count, seed=1)
+    of = F.create_map(*[x for b in batches for x in (F.lit(b.number), F.array(*[F.lit(i) for i in sorted({i for s in b.shares for i in s})]))])
+    drawn = rows.select("items", F.explode(F.array(*[F.lit(b.number) for b in batches])).alias("batch")).select("batch", F.array_join(F.array_intersect(of[F.col("batch")], "items"), "-").alias("itemset"))
+    n = drawn.groupBy("batch", "itemset").agg((F.count("*") / count).alias("drawn"))
+    t = gen.truth(spark, batches).select(F.array_join("itemset", "-").alias("itemset"), "batch", "proportion")
+    met, p = t.join(n, ["batch", "itemset"], "left"), F.col("proportion")
+    return met.select("itemset", "batch", (F.abs(F.coalesce("drawn", F.lit(0.0)) - p) < 4 * F.sqrt(p * (1 - p) / count) + 1e-4).alias("close"))
+
+
+@R.frame("SELECT 250000 AS transactions, 3 AS full_size, true AS rising, true AS within FROM range(1)")
+def gen_itemset_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many transactions fill a number of bytes; a stratified batch keeps the bounds that it was given."""
+    planned = gen.count_for_bytes(1_000_000, [gen.SupportBatch(0, {(1, 2): 0.25, (3,): 0.5})])
+    b = BATCHES[2]
+    full = max(b.shares, key=len)
+    subsets = [p for s, p in b.shares.items() if s != full and set(s) <= set(full)]
+    within = 0.05 <= b.shares[full] <= 0.1 and abs(sum(subsets)) <= 0.15 - b.shares[full] + 1e-9
+    return spark.createDataFrame([(planned, len(full), all(p > 0 for p in subsets), bool(within))], "transactions int, full_size int, rising boolean, within boolean")
+
+
+@R.frame("SELECT unnest([0, 1, 2]) AS label, unnest([300, 200, 100])::BIGINT AS n, unnest([300, 200, 100])::BIGINT AS sound, true AS centred")
 def gen_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uniform draws keep their bounds, a rotated constant lies on its line, a plane's points lie within its noise; means lie at the shifts."""
     kinds = [gen.Cluster([gen.gaussian(0, 0.1), gen.uniform(-0.1, 0.1)]), gen.Cluster([gen.gamma(2, 0.05), gen.constant(0)], [gen.rotation(2, 0, 1, 0.5)]), gen.Cluster([gen.gaussian(0, 0.1)] * 2, [gen.Hyperplane([1.0, 1.0], 0.0, gen.gaussian(0, 0.01))])]
     shifts = gen.grid_shift(3, 2, 10.0, seed=2)
     df = gen.clusters(spark, kinds, [300, 200, 100], shifts)
-    place = F.create_map(*[x for i, s in enumerate(shifts) for x in (F.lit(i), F.array(*[F.lit(float(v)) for v in s]))])
-    mean = df.groupBy("label").agg(F.count("*").alias("n"), F.array(F.avg(F.col("features")[0]), F.avg(F.col("features")[1])).alias("m"))
-    return mean.select("label", "n", (lg.squared_distance(F.col("m"), place[F.col("label")]) < 1.0).alias("near"))
+    place = F.create_map(*[x for i, s in enumerate(shifts) for x in (F.lit(i), F.array(*[F.lit(float(v)) for v in s]))])[F.col("label")]
+    x, y = F.col("features")[0] - place[0], F.col("features")[1] - place[1]
+    sound = F.when(F.col("label") == 0, F.abs(y) <= 0.1).when(F.col("label") == 1, (F.abs(y - x * F.tan(F.lit(0.5))) < 1e-9) & (x >= 0)).otherwise(F.abs(x + y) < 5 * 0.01 * 2**0.5)
+    # Standard deviations of the means: gamma draws have the mean 0.1, turned by 0.5.
+    off = F.when(F.col("label") == 1, F.greatest(F.abs(F.avg(x) - 0.1 * F.cos(F.lit(0.5))), F.abs(F.avg(y) - 0.1 * F.sin(F.lit(0.5))))).otherwise(F.greatest(F.abs(F.avg(x)), F.abs(F.avg(y))))
+    return df.groupBy("label").agg(F.count("*").alias("n"), F.count_if(sound).alias("sound"), (off < 0.05).alias("centred"))

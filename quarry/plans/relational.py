@@ -69,15 +69,17 @@ def sample_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").where(h % 10 < 3).select("o_orderkey")
 
 
-@R.frame()
+@R.frame("SELECT unnest(['bernoulli', 'poisson', 'stratified', 'split']) AS kind, true AS near, unnest([0, 0, 0, count(*)])::BIGINT AS whole FROM orders")
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bernoulli, stratified and split samples of all orders, with their sizes."""
+    """Samples of all orders are as large as asked, within five standard deviations; two splits are the whole."""
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    parts = o.randomSplit([0.7, 0.3], seed=11)
-    kinds = {"bernoulli": o.sample(0.2, seed=7), "poisson": o.sample(True, 0.2, 7), "stratified": o.sampleBy("o_orderstatus", {"F": 0.5, "O": 0.1}, seed=3), "split_a": parts[0], "split_b": parts[1]}
-    out = None
-    for k, df in kinds.items():
-        row = df.agg(F.lit(k).alias("kind"), F.count("*").alias("n"))
+    n, strata = o.count(), {r.o_orderstatus: r["count"] for r in o.groupBy("o_orderstatus").count().collect()}
+    a, b = o.randomSplit([0.7, 0.3], seed=11)
+    share, out = {"F": 0.5, "O": 0.1}, None
+    asked = {"bernoulli": (o.sample(0.2, seed=7), 0.2 * n), "poisson": (o.sample(True, 0.2, 7), 0.2 * n), "stratified": (o.sampleBy("o_orderstatus", share, seed=3), sum(share[k] * strata.get(k, 0) for k in share)), "split": (a, 0.7 * n)}
+    for k, (df, want) in asked.items():
+        whole = F.lit(a.union(b).distinct().count() if k == "split" else 0).cast("long")
+        row = df.agg(F.lit(k).alias("kind"), (F.abs(F.count("*") - want) <= 5 * want**0.5).alias("near"), whole.alias("whole"))
         out = row if out is None else out.union(row)
     return out
 

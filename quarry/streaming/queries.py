@@ -6,11 +6,12 @@ A stream reads the table's file with a schema and runs to the end of what is the
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -176,3 +177,108 @@ def dstream_update_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dstream_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stream(spark, sf_dir)
     return finish(spark, sf_dir, s.union(s).groupBy("event_type").agg(F.count("*").alias("n")))
+
+
+@R.frame(f"WITH h AS (SELECT event_type, ({EPOCH}) // 3600 AS h, count(*) AS n FROM events GROUP BY 1, 2) SELECT a.event_type, a.h, sum(b.n)::BIGINT AS n FROM h a JOIN h b ON a.event_type = b.event_type AND b.h BETWEEN a.h - 2 AND a.h GROUP BY 1, 2")
+def dstream_reduce_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the last three hours by adding what enters and taking off what leaves: running sums and their differences."""
+    s = stream(spark, sf_dir).groupBy("event_type", F.floor(seconds("ts") / 3600).alias("h")).agg(F.count("*").alias("n"))
+    hourly = finish(spark, sf_dir, s)
+    w = Window.partitionBy("event_type").orderBy("h")
+    entered = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    left = F.coalesce(F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, -3)), F.lit(0))
+    return hourly.select("event_type", "h", (entered - left).alias("n"))
+
+
+@R.frame("SELECT event_type AS k, sum(user_id + 1)::BIGINT AS values, sum(user_id % 3)::BIGINT AS spread FROM events GROUP BY 1")
+def dstream_map_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mapValues keeps keys and their places; flatMapValues makes of a value none or several."""
+    pairs = stream(spark, sf_dir).select(F.col("event_type").alias("k"), F.col("user_id").alias("v"))
+    mapped = pairs.select("k", (F.col("v") + 1).alias("v"), F.lit(0).alias("s"))
+    several = pairs.select("k", F.lit(0).cast("long").alias("v"), F.explode(F.array_repeat(F.lit(1), (F.col("v") % 3).cast("int"))).alias("s"))
+    return finish(spark, sf_dir, mapped.union(several).groupBy("k").agg(F.sum("v").alias("values"), F.sum("s").alias("spread")))
+
+
+@R.frame("SELECT event_id % 3 AS batch, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def dstream_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A queue of tables, one file after the other, a batch each."""
+    base = f"{scratch(spark, sf_dir, 'streams')}/{uuid.uuid4().hex}"
+    events = load(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 3).alias("batch"))
+    for i in range(3):
+        events.where(F.col("batch") == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    s = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    return finish(spark, sf_dir, s, "append", lambda b: b.groupBy("batch").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")))
+
+
+def _until_quiet(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        n, last = state.get
+        state.remove()
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last": [last]})
+        return
+    n, last = state.get if state.exists else (0, 0)
+    for rows in batches:
+        n, last = n + len(rows), max(last, int(rows["at"].max()))
+    state.update((n, last))
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+
+
+@R.frame("SELECT user_id, count(*) AS n, max(epoch_us(ts) // 1000)::BIGINT AS last FROM events GROUP BY user_id HAVING max(epoch_us(ts) // 1000) < (SELECT max(epoch_us(ts) // 1000) FROM events)")
+def stream_state_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State that ends by event time: users whose last event lies before the watermark are given out and forgotten."""
+    s = stream(spark, sf_dir).select("user_id", "ts", F.unix_millis("ts").alias("at")).withWatermark("ts", "0 seconds").groupBy("user_id")
+    out = s.applyInPandasWithState(_until_quiet, "user_id long, n long, last long", "n long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return finish(spark, sf_dir, out, "append")
+
+
+POLICY = "spark.sql.streaming.multipleWatermarkPolicy"
+
+
+@R.frame(f"WITH w AS (SELECT ({EPOCH}) // 86400 * 86400 + 86400 AS stop, count(*) AS n FROM events GROUP BY 1), m AS (SELECT max({EPOCH}) AS m FROM events) SELECT 'max' AS policy, stop, 2 * n AS n FROM w, m WHERE stop <= m UNION ALL SELECT 'min', stop, 2 * n FROM w, m WHERE stop <= m - 864000")
+def stream_watermark_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two inputs whose watermarks are ten days apart: the windows that close by the earlier and by the later one."""
+    out, before = None, spark.conf.get(POLICY)
+    for policy in ("max", "min"):
+        spark.conf.set(POLICY, policy)
+        try:
+            a, b = (stream(spark, sf_dir).select("ts").withWatermark("ts", delay) for delay in ("0 seconds", "10 days"))
+            s = a.union(b).groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+            one = finish(spark, sf_dir, s.select(F.lit(policy).alias("policy"), seconds("window.end").alias("stop"), "n"), "append")
+        finally:
+            spark.conf.set(POLICY, before)
+        out = one if out is None else out.union(one)
+    return out
+
+
+@R.frame("SELECT unnest(['one', 'two', 'three']) AS value")
+def stream_socket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines from a socket, served on the driver's host."""
+    import socket
+    import threading
+
+    with socket.create_server(("127.0.0.1", 0)) as server:
+        server.settimeout(60)
+
+        def serve() -> None:
+            with contextlib.suppress(OSError):
+                for _ in range(4):  # the source may knock once before it reads
+                    peer, _ = server.accept()
+                    with contextlib.suppress(OSError):
+                        peer.sendall(b"one\ntwo\nthree\n")
+                        ended.wait(60)
+                    peer.close()
+
+        ended = threading.Event()
+        thread = threading.Thread(target=serve, daemon=True)
+        thread.start()
+        name = f"lines_{uuid.uuid4().hex}"
+        lines = spark.readStream.format("socket").option("host", "127.0.0.1").option("port", server.getsockname()[1]).load()
+        query = lines.writeStream.format("memory").queryName(name).start()
+        for _ in range(120):
+            query.processAllAvailable()
+            if spark.table(name).count() >= 3:
+                break
+            query.awaitTermination(0.25)
+        ended.set()
+        query.stop()
+    return spark.table(name)
