@@ -36,7 +36,7 @@ from .textops import kept, slices
 WINDOW = 4096
 END_ID = 2
 POOL_TOKENS = 3_000_000
-COMMON = 16  # a term is common if over one in so many documents has it
+COMMON = 32  # a term is common if over one in so many documents has it
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _END = " end "  # no word has a space
@@ -206,8 +206,8 @@ class Shard:
         terms = self.term[self.rows[seed] : self.rows[seed + 1]]
         column = self.column[terms]
         stay = ~used[self.free]
-        if 10 * np.count_nonzero(stay) < 9 * len(stay):  # used documents leave the matrix
-            self.dense, self.free = self.dense[:, stay], self.free[stay]
+        if 4 * np.count_nonzero(stay) < 3 * len(stay):  # used documents leave the matrix
+            self.dense, self.free = np.compress(stay, self.dense, axis=1), self.free[stay]
         met = np.zeros(len(self.free), dtype=np.float32)
         for row in column[column >= 0].tolist():
             met += self.dense[row]
