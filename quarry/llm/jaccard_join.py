@@ -93,9 +93,9 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_counts(measured: DataFrame) -> np.ndarray:
-    """The summed sketch; at most 16 partial ones of fixed size reach the driver."""
-    parts = measured.where("counts is not null").select("counts").repartition(16).mapInArrow(_add, "counts binary").collect()
-    return np.minimum(sum(np.frombuffer(r.counts, dtype="<u4").astype(np.int64) for r in parts), 2**32 - 1).astype(np.uint32)
+    """The sketches summed in two steps: one of fixed size reaches the driver."""
+    parts = measured.where("counts is not null").select("counts").repartition(64).mapInArrow(_add, "counts binary")
+    return np.frombuffer(parts.repartition(1).mapInArrow(_add, "counts binary").first().counts, dtype="<u4")
 
 
 def _slot_counts(order: np.ndarray, h: np.ndarray) -> np.ndarray:
