@@ -144,11 +144,19 @@ def squared_distance(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def centre_distance(real: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Sum over real centres (id, centre) of the least squared distance to a predicted one."""
-    pairs = real.select("id", F.col("centre").alias("a")).join(F.broadcast(predicted.select(F.col("centre").alias("b"))))
-    least = pairs.groupBy("id").agg(F.min(squared_distance(F.col("a"), F.col("b"))).alias("d"))
-    return least.agg(F.sum("d").alias("distance"))
+def centre_distance(real: DataFrame, predicted: DataFrame, most: int = 100_000) -> DataFrame:
+    """Sum over real centres (id, centre) of the least squared distance to a predicted one, of which there are ``most`` at most."""
+    centres = [r.centre for r in predicted.select("centre").limit(most + 1).collect()]
+    if len(centres) > most:
+        raise ValueError(f"over {most} centres")
+    told = predicted.sparkSession.sparkContext.broadcast(np.array(centres, dtype=float))
+
+    @F.pandas_udf("double")
+    def least(rows: pd.Series) -> pd.Series:
+        x = np.array(rows.tolist(), dtype=float)
+        return pd.Series([float(((told.value - v) ** 2).sum(axis=1).min()) if len(told.value) else None for v in x])
+
+    return real.select(least("centre").alias("d")).agg(F.sum("d").alias("distance"))
 
 
 def purity(labelled: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:

@@ -303,12 +303,15 @@ def cluster_best_of_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lg.global_centres(local, 2, method=lg.best_of_trials).select("place", F.size("centre").alias("width"))
 
 
-@R.frame("WITH c AS (SELECT label AS id, [avg(embedding[1]), avg(embedding[2])] AS v FROM embeddings GROUP BY label), p AS (SELECT vec_id, [embedding[1]::DOUBLE, embedding[2]::DOUBLE] AS v FROM embeddings WHERE vec_id < 8), d AS (SELECT id, min((c.v[1] - p.v[1]) ** 2 + (c.v[2] - p.v[2]) ** 2) AS d FROM c, p GROUP BY id) SELECT round(sum(d), 6) AS distance FROM d")
+WIDE = f"e AS (SELECT label, {VECTOR} AS b, i, embedding[i]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i)), c AS (SELECT label, i, avg(x) AS x FROM e GROUP BY 1, 2), p AS (SELECT b, i, avg(x) AS x FROM e GROUP BY 1, 2)"
+
+
+@R.frame(f"WITH {WIDE}, d AS (SELECT label, b, sum((c.x - p.x) ** 2) AS d FROM c JOIN p USING (i) GROUP BY 1, 2) SELECT round(sum(m), 6) AS distance FROM (SELECT min(d) AS m FROM d GROUP BY label)")
 def cluster_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "embeddings")
-    two = F.slice(F.col("embedding").cast("array<double>"), 1, 2)
-    real = e.groupBy(F.col("label").alias("id")).agg(F.array(F.avg(F.col("embedding")[0]), F.avg(F.col("embedding")[1])).alias("centre"))
-    return lg.centre_distance(real, e.where("vec_id < 8").select(two.alias("centre"))).select(F.round("distance", 6).alias("distance"))
+    """From the labels' mean vectors to the blocks' mean vectors."""
+    f = vectors(spark, sf_dir)
+    mean = F.array(*[F.avg(F.col("embedding")[i].cast("double")) for i in range(64)]).alias("centre")
+    return lg.centre_distance(f.df.groupBy(F.col("label").alias("id")).agg(mean), f.df.groupBy(BLOCK).agg(mean)).select(F.round("distance", 6).alias("distance"))
 
 
 @R.frame("SELECT greatest(p, 1 - p) AS purity FROM (SELECT avg(CASE WHEN (embedding[1] > 0)::INTEGER = label % 2 THEN 1 ELSE 0 END) AS p FROM embeddings)")

@@ -132,13 +132,24 @@ def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("event_type = 'click'").select("event_id", "last_purchase")
 
 
-@R.frame("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(o_totalprice), 0) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
+def salted_join(left: DataFrame, right: DataFrame, key: str, grains: int = 16, most: int = 1024) -> DataFrame:
+    """An inner join whose hot keys, those of over a ``most``-th of the left rows, are dealt to ``grains`` tasks.
+
+    There are fewer than ``most`` such keys, so they are broadcast; only their right rows are repeated."""
+    counted = left.groupBy(key).count()
+    hot = F.broadcast(counted.where(F.col("count") > left.count() / most).select(key, F.lit(True).alias("_hot")))
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(grains)).cast("int")
+    dealt = left.withColumn("_grain", spread).join(hot, key, "left").withColumn("_grain", F.when(F.col("_hot"), F.col("_grain")).otherwise(0)).drop("_hot")
+    repeated = right.join(hot, key, "left").withColumn("_grain", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(grains - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return dealt.join(repeated.hint("shuffle_hash"), [key, "_grain"]).drop("_grain")
+
+
+@R.frame("SELECT s_nationkey, count(*) AS n, round(sum(l_quantity), 0) AS quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
 def join_skew_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sides salted: a hot order key is dealt to 16 tasks, its order row repeated 16 times."""
-    li = load(spark, sf_dir, "lineitem").withColumn("salt", F.pmod(F.xxhash64("l_partkey", "l_linenumber"), F.lit(16)))
-    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    met = li.join(o, (F.col("l_orderkey") == F.col("o_orderkey")) & (li["salt"] == o["salt"]))
-    return met.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 0).alias("total"))
+    """Few suppliers of many lines each: all of them are hot."""
+    li = load(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity")
+    s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    return salted_join(li, s, "l_suppkey").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 0).alias("quantity"))
 
 
 @R.frame("SELECT o_orderkey AS left_key, c_custkey AS right_key FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000")

@@ -124,7 +124,10 @@ def source_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cached table, columnar in memory and on disk, read by two plans."""
     c = load(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey").persist()
     first = c.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-    return first.join(c.select("c_mktsegment").distinct(), "c_mktsegment")
+    both = first.join(c.select("c_mktsegment").distinct(), "c_mktsegment")
+    rows = both.collect()  # a row per segment
+    c.unpersist()
+    return spark.createDataFrame(rows, both.schema)
 
 
 class SquaresReader(DataSourceReader):
