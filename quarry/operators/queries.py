@@ -68,9 +68,14 @@ def block_summary_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.describe([3], ["count", "min", "50%", "max"])
 
 
-@R.frame()
+CHOSEN = ", ".join(map(str, choose(N, 2, 0)))
+
+
+@R.frame(f"WITH x AS (SELECT l_quantity AS q, l_returnflag AS f FROM lineitem WHERE {LINE} IN ({CHOSEN})) SELECT unnest(['count', 'mean', 'stddev', 'min', '25%', '50%', '75%', 'max']) AS summary, unnest([count(*), round(avg(q), 4), round(stddev(q), 4), min(q), quantile_disc(q, 0.25), quantile_disc(q, 0.5), quantile_disc(q, 0.75), max(q)])::DOUBLE AS l_quantity, unnest([count(*)::VARCHAR, NULL, NULL, min(f), NULL, NULL, NULL, max(f)]) AS l_returnflag FROM x")
 def block_summary_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return BlockFrame(lines(spark, sf_dir).df.select("l_quantity", "l_returnflag", BLOCK), N).describe(2)
+    """All default statistics of two blocks chosen by a seed."""
+    s = BlockFrame(lines(spark, sf_dir).df.select("l_quantity", "l_returnflag", BLOCK), N).describe(2)
+    return s.select("summary", F.round(F.col("l_quantity").cast("double"), 4).alias("l_quantity"), "l_returnflag")
 
 
 @R.frame(f"SELECT l_orderkey, l_linenumber, l_quantity * 2 AS twice FROM lineitem WHERE {LINE} IN (0, 9)")

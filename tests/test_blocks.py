@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarry.operators import local_global as lg
-from quarry.operators.blocks import BLOCK, BlockFrame, BlockStore, choose, file_type, split
+from quarry.operators.blocks import BLOCK, BlockFrame, BlockStore, choose, file_type, reservoir, share_for, split
+from quarry.plans.relational import salted_join
 from quarry.sources import generators as gen
 
 
@@ -101,3 +102,59 @@ def test_generators(spark):
     p = gen.Hyperplane([1.0, 2.0], 3.0)(np.random.RandomState(0), np.ones((4, 2)))
     assert np.allclose(p @ [1, 2], 3)
     assert len({tuple(np.floor(v / 10)) for v in gen.grid_shift(9, 2, 10)}) == 9
+
+
+def test_local_centres_are_means_of_what_is_nearest(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    frame = BlockFrame.assign(rows, 3, ["vec_id"])
+    found = {}
+    for r in lg.local_centres(frame, "embedding", 3).collect():
+        found.setdefault(r.block_id, []).append(r.centre)
+    assert found.keys() == {0, 1, 2}
+    for block, centres in found.items():
+        x = np.array([r.embedding for r in frame.subset([block]).df.collect()], dtype=float)
+        c = np.array(centres)
+        near = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+        assert len(c) == 3
+        for k in range(3):
+            assert np.abs(x[near == k].mean(0) - c[k]).max() < 1e-3
+
+
+@pytest.mark.parametrize("make", [lg.Logistic, lg.Tree, lg.Forest])
+def test_votes_of_local_models_find_the_class(spark, make):
+    """Classes that a threshold tells apart, in every block: the vote is right on blocks that no model saw."""
+    pick = np.random.RandomState(1)
+    rows = [(i, [float(v) for v in pick.randn(4)]) for i in range(900)]
+    df = spark.createDataFrame([(i, v, int(v[1] > 0.2)) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    frame = BlockFrame.assign(df, 5, ["vec_id"])
+    models = lg.trimmed(lg.local_models(frame.subset([0, 1, 2]), "embedding", "label", make, "vec_id"))
+    seen = lg.vote_predictions(frame.subset([3, 4]), models, "embedding", "vec_id", "label").toPandas()
+    share = (seen["label"] == seen["predicted"]).mean()
+    assert len(seen) == frame.subset([3, 4]).df.count() and share > 0.9
+    assert lg.weighted_accuracy(spark.createDataFrame(seen), "label").first().accuracy == pytest.approx(share)
+
+
+def test_recount_of_itemsets_of_any_size(spark):
+    pick = np.random.RandomState(2)
+    baskets = [sorted({str(x) for x in pick.randint(0, 9, 6)}) for _ in range(200)]
+    flat = spark.createDataFrame([(i, x) for i, b in enumerate(baskets) for x in b + b[:1]], "basket long, item string")
+    wanted = ["{1,2}", "{2,1}", "{0,3,5}", "{1,2,4,7}", "{3}", "{8,9}"]
+    got = {r.itemset: r.support for r in lg.recount_itemsets(spark.createDataFrame([(w,) for w in wanted], "itemset string"), flat, "basket", "item", 0.0).collect()}
+    want = {w: sum(set(w[1:-1].split(",")) <= set(b) for b in baskets) / 200 for w in wanted}
+    assert got == pytest.approx({w: n for w, n in want.items() if n})
+    assert lg.recount_itemsets(spark.createDataFrame([], "itemset string"), flat, "basket", "item", 0.0).count() == 0
+
+
+def test_reservoir_draws_all_alike(spark):
+    df = spark.range(3000).toDF("x")
+    rows = [r.x for r in reservoir(df, 600, ["x"], 3000).collect()]
+    assert len(rows) == len(set(rows)) == 600 and abs(np.mean(rows) - 1499.5) < 4 * 866 / 600**0.5
+    assert reservoir(df, 5000, ["x"], 3000).count() == 3000
+    assert 0.2 < share_for(600, 3000) < 0.27 and share_for(10, 10) == 1.0
+
+
+def test_salted_join(spark):
+    left = spark.createDataFrame([(i % 3 if i < 600 else i, i) for i in range(700)] + [(None, 1)], "k long, v long")
+    right = spark.createDataFrame([(k, f"r{k}{c}") for k in range(0, 700, 2) for c in "ab"] + [(None, "n")], "k long, w string")
+    want = sorted(tuple(r) for r in left.join(right, "k").collect())
+    assert sorted(tuple(r) for r in salted_join(left, right, "k", grains=4, most=10).collect()) == want
