@@ -297,14 +297,17 @@ def trimmed(models: DataFrame, tail: float = 0.1, by_score: bool = True) -> Data
     return kept.withColumn("weight", F.col("accuracy")).drop("_n", "_up", "_low", "_high")
 
 
-def vote_predictions(frame: BlockFrame, models: DataFrame, features: str, key: str, label: str) -> DataFrame:
+def vote_predictions(frame: BlockFrame, models: DataFrame, features: str, key: str, label: str, most: int = 1000) -> DataFrame:
     """(key, label, predicted): every row's majority over the members' predictions, ties to the smaller class.
 
-    The members, one per trained block, are a bounded ensemble; they travel to the rows.
+    The members, one per trained block, are an ensemble of ``most`` at most; they travel to the rows.
     """
     import pickle
 
-    members = frame.df.sparkSession.sparkContext.broadcast([r.model for r in models.select("model", "block_id").orderBy("block_id").collect()])
+    found = models.select("model", "block_id").orderBy("block_id").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} models")
+    members = frame.df.sparkSession.sparkContext.broadcast([r.model for r in found])
 
     def run(batches):
         ensemble = [pickle.loads(m) for m in members.value]
