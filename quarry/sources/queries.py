@@ -191,3 +191,29 @@ def source_jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
     n.coalesce(1).write.mode("overwrite").jdbc(url, "nation", properties=options)
     read = spark.read.jdbc(url, "nation", column="n_nationkey", lowerBound=0, upperBound=25, numPartitions=3, properties=options)
     return read.select(*[F.col(c).cast(n.schema[c].dataType) for c in n.columns])
+
+
+def _png(width: int, height: int, value: int) -> bytes:
+    """A grey picture, all of one value."""
+    import struct
+    import zlib
+
+    def chunk(name: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+    rows = (b"\0" + bytes([value]) * width) * height
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+@R.frame("SELECT 'a.png' AS name, 3 AS width, 2 AS height, 1 AS channels, '000000000000' AS data UNION ALL SELECT 'b.png', 1, 1, 1, 'FF' UNION ALL SELECT 'c.png', 2, 1, 1, '7B7B'")
+def source_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures with their sizes and bytes; a file that is none is left out."""
+    path, jvm = _place(spark, sf_dir, "image"), spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name, data in (("a.png", _png(3, 2, 0)), ("b.png", _png(1, 1, 255)), ("c.png", _png(2, 1, 123)), ("d.png", b"no picture")):
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
+        out.write(bytearray(data))
+        out.close()
+    i = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    return i.select(F.element_at(F.split("origin", "/"), -1).alias("name"), "width", "height", F.col("nChannels").alias("channels"), F.hex("data").alias("data"))
