@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and all that its predecessor kept, written as
 Parquet and read again. The stages but the last return the columns of ``documents``.
+
+Defined cases, of all stages: null text counts as empty (and fails the first stage's base
+rules); null lang or source is a group of its own; very long texts are read whole; an empty
+table gives an empty result; columns beyond those of ``documents`` survive, whatever their
+names. Of rows that repeat a doc_id the first two stages keep all if they keep one, the
+third keeps one, the fourth treats them as one document. A row of null doc_id, which no
+verdict can name, goes in the first two stages; the others keep such rows as they are.
 """
 
 from __future__ import annotations

@@ -57,10 +57,12 @@ def test_stages(spark):
 def test_odd_rows_pass_all_stages(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "x " * 80, "en", None, 1), (3, "word " * 70, "en", "s", 1)]
     rows += [(10 + i, " ".join(f"w{(i * 37 + j * j) % 211}" for j in range(70)), "en", "s", 9) for i in range(12)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    left = []
-    for _, stage in corpus_pipeline.STAGES:
+    clash = ", _kept string, n_words int, bucket long, _doc long, score double"
+    docs = spark.createDataFrame([(*r, "k", 1, 2, 3, 0.5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long" + clash)
+    left, columns = [], docs.columns
+    for name, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF), "test")
+        assert docs.columns == columns or name == "packing"
         left.append({r.doc_id for r in docs.collect()})
     assert left[0] == set(range(10, 22)) and left[0] >= left[1] >= left[2] == left[3] == left[4]
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
