@@ -18,8 +18,9 @@ arrives as partial counts. Priors of hosts of over a ``HOT``-th of all pages, fe
 Defined cases: null html has no text and declares nothing; null url has no host and takes
 the prior of all pages; without any text, declaration or vote the prior decides, ties by
 name; documents of null lang or text teach nothing, nor do those whose lang isn't two or
-three letters, with or without a region (its case doesn't matter); without labelled documents the language is
-null; over ``MOST_LANGUAGES`` languages raise an error, for their tables are broadcast;
+three letters, with or without a region (its case doesn't matter); without labelled
+documents the language is null; over ``MOST_LANGUAGES`` languages raise an error, for their
+tables are broadcast;
 very long pages are read whole; repeated rows are judged each by itself; other columns are
 ignored; an empty table gives an empty result.
 """

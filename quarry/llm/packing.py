@@ -2,11 +2,11 @@
 
 Documents become token ids, and sequences of ``WINDOW`` tokens are filled with lexically
 close documents. Each task streams its rows through pools of bounded size. A pool has its
-own BM25 inverted index (a shard): the seed is the first unused document, the index
-returns its unused neighbours by the score of all its terms, and they fill the window greedily; the document
-that overflows it is cut, and its rest seeds the next window. What is left when a pool
-runs low waits for the next pool, and the rest of a task, under one window, is laid out
-in sequences whose lengths are powers of two, which need no padding. So only whole
+own BM25 inverted index (a shard): the seed is the first unused document, the index returns
+its unused neighbours by the score of all its terms, and they fill the window greedily; the
+document that overflows it is cut, and its rest seeds the next window. What is left when a
+pool runs low waits for the next pool, and the rest of a task, under one window, is laid
+out in sequences whose lengths are powers of two, which need no padding. So only whole
 windows and powers of two occur, and no token of padding.
 
 No row moves between tasks, so no key can be hot; memory is bounded by the pool (and by

@@ -47,7 +47,7 @@ def packed(rows: DataFrame, groups: int, name: str, *place) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         lists = table["v"].combine_chunks()
         sizes = np.diff(lists.offsets.to_numpy())
-        width = int(sizes.max())
+        width = max(1, int(sizes.max()))
         cells = np.zeros((len(lists), width), dtype="<i8")
         cells[np.arange(width)[None, :] < sizes[:, None]] = lists.flatten().to_numpy()
         ids = table["vec_id"].to_numpy().astype("<i8")
@@ -127,9 +127,9 @@ class Lists:
         wide = np.zeros((len(queries), self.width), dtype=np.int64)
         wide[:, :shared] = queries[:, :shared]
         reading, asking = Reading(self, wide.astype(np.float64)), np.arange(len(queries))
-        few = max(RESOLVE, n // 8)
+        few = max(RESOLVE, k, n // 8)
         for share in SHARES:
-            if n <= RESOLVE:
+            if n <= few:
                 near = self.ids[None, :] != query_ids[asking][:, None]
             else:
                 reading.read(share, asking)

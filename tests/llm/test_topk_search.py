@@ -74,3 +74,14 @@ def test_large_components(spark):
             scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in held if i != q)
             want |= {(q, r + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, i) in enumerate(scored[:5])}
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.search(df).collect()} == want
+
+
+def test_few_rows_and_no_components(spark):
+    """More results wanted than a shard of some size has; vectors that are all empty."""
+    rows = [(i, [float((i * 7) % 13), 1.0]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_search.search(df, k=100, every=50).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == brute(rows, 100, 50)
+    empty = [(i, []) for i in range(100)]
+    got = topk_search.search(spark.createDataFrame(empty, "vec_id long, embedding array<float>")).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == brute(empty, 5, 50)
