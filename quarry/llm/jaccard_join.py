@@ -4,16 +4,18 @@ Each text is the set of its distinct word n-grams. All sets are ordered alike, r
 n-grams first; two sets of Jaccard similarity t or more then share an n-gram within
 their first ``n - ceil(t n) + 1``. So only these prefixes are dealt out, by n-gram:
 
-1. one pass counts documents per n-gram in a sketch of fixed size (partial sketches of
-   tasks add up; it only orders, so its collisions cost no result) and fingerprints sets;
+1. one pass counts documents per n-gram in a sketch, with about a slot per n-gram up to
+   2**``MOST_BITS`` slots (counts of slots add up, and a byte keeps a count's logarithm; it
+   only orders, so its collisions cost no result), and fingerprints sets;
 2. a second pass emits prefix entries, in blobs per bucket, of which there are more the
    more entries there are; sets that are equal meet by their fingerprint and count once;
 3. in each n-gram's group every member is paired with the least one only; an n-gram that
    ``HOT`` documents or more may have is spread over buckets, whose least ones are paired
    with the least of all; pairs that pass the length and positional filters are verified
    once each, by the suffix filter and then by the whole intersection;
-4. where members of a group are still in different components, all their pairs across
-   components that pass the filters are verified too.
+4. where members of a group are still in different components, they are paired with the
+   one that has the fewest rare n-grams of its own, which of near copies is the one that
+   most link to; after that all pairs across components that pass the filters are verified.
 
 Step 4 makes the components exact: two linked documents share a prefix n-gram, so either
 they are already connected or they are one of its pairs. A group of thousands of near
@@ -41,7 +43,9 @@ from .components import components
 from .storage import exchange_width, free_name, materialize, small_batches
 from .textops import SLICE, U64, Words, lower_ascii, mix, slices, string_buffer
 
-SKETCH_BITS = 18
+LEAST_BITS, PIECE_BITS, MOST_BITS = 18, 18, 25  # of the sketch, and of a piece of it
+STEPS = 8  # of a count's logarithm, per octave
+SLOTS = np.dtype([("slot", "<u4"), ("n", "<u4")])
 PART_BITS = 8
 BUCKET_ENTRIES = 400_000
 HOT = 50_000
@@ -69,37 +73,76 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _measure(size: int):
+def _measure(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        seen, waiting = [], 0
+
+        def counted() -> pa.RecordBatch:
+            """Of the slots seen, how often, a blob per piece of the sketch."""
+            slot, n = np.unique(np.concatenate(seen), return_counts=True)
+            piece = slot >> U64(PIECE_BITS)
+            cut, end = (np.searchsorted(piece, np.unique(piece), side=x) for x in ("left", "right"))
+            e = np.empty(len(slot), dtype=SLOTS)
+            e["slot"], e["n"] = slot & U64((1 << PIECE_BITS) - 1), n
+            none = pa.nulls(len(cut), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(cut), pa.binary()), pa.array(piece[cut].astype(np.int64)), pa.array([e[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary())], names=["doc_id", "n", "fp", "piece", "counts"])
+
         for batch in slices(batches, "text", SLICE):
             sets = shingle_sets(*string_buffer(batch.column(1)), size)
-            if sets:
-                counts += np.bincount((np.concatenate(sets) >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
             prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.nulls(len(sets), pa.binary())], names=["doc_id", "n", "fp", "counts"])
-        if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.astype("<u4").tobytes()], pa.binary())], names=["doc_id", "n", "fp", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())], names=["doc_id", "n", "fp", "piece", "counts"])
+            seen.append(np.concatenate(sets) >> U64(64 - bits))
+            waiting += len(seen[-1])
+            if waiting > 1_500_000:
+                yield counted()
+                seen, waiting = [], 0
+        if waiting:
+            yield counted()
 
     return run
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    """Of rows (piece, counts), each piece's blobs added up."""
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for x in batch.column(0):
-            total += np.frombuffer(x.as_py(), dtype="<u4")
-    yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["counts"])
+        for piece, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            e = np.frombuffer(blob.as_buffer(), SLOTS)
+            of = total.setdefault(piece, np.zeros(1 << PIECE_BITS, dtype=np.int64))
+            of[e["slot"]] += e["n"]
+    for piece, of in total.items():
+        e = np.empty(np.count_nonzero(of), dtype=SLOTS)
+        e["slot"] = np.flatnonzero(of)
+        e["n"] = np.minimum(of[e["slot"]], 2**32 - 1)
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([e.tobytes()], pa.binary())], names=["piece", "counts"])
+
+
+def _logarithms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _add(batches):
+        e = np.frombuffer(batch.column(1)[0].as_buffer(), SLOTS)
+        out = np.zeros(1 << PIECE_BITS, dtype=np.uint8)
+        out[e["slot"]] = np.minimum(255, np.round(STEPS * np.log2(1.0 + e["n"])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([out.tobytes()], pa.binary())], names=["piece", "counts"])
+
 
+def document_counts(measured: DataFrame, bits: int) -> np.ndarray:
+    """The sketch, summed in two steps: 2**``bits`` bytes, 32 MB at most, reach the driver."""
+    counts, shape = measured.where("counts is not null").select("piece", "counts"), "piece long, counts binary"
+    pieces, grain = 1 << (bits - PIECE_BITS), F.pmod(F.xxhash64("counts"), F.lit(8))  # a task holds some pieces
+    parts = counts.repartition(max(exchange_width(measured.sparkSession), pieces // 4), "piece", grain).mapInArrow(_add, shape)
+    out = np.zeros(1 << bits, dtype=np.uint8)
+    for r in parts.repartition(max(1, pieces // 8), "piece").mapInArrow(_logarithms, shape).collect():
+        out[r.piece << PIECE_BITS : (r.piece + 1) << PIECE_BITS] = np.frombuffer(r.counts, np.uint8)
+    return out
 
-def document_counts(measured: DataFrame) -> np.ndarray:
-    """The sketches summed in two steps: one of fixed size reaches the driver."""
-    parts = measured.where("counts is not null").select("counts").repartition(64).mapInArrow(_add, "counts binary")
-    return np.frombuffer(parts.repartition(1).mapInArrow(_add, "counts binary").first().counts, dtype="<u4")
+
+def _rarity(order: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The logarithms of the n-grams' document counts."""
+    return order[h >> U64(65 - len(order).bit_length())]
 
 
 def _slot_counts(order: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return order[h >> U64(64 - SKETCH_BITS)]
+    return np.exp2(_rarity(order, h) / STEPS).astype(np.int64)
 
 
 def _prefixes(size: int, percent: int, rarity, buckets: int, hot: int):
@@ -117,7 +160,7 @@ def _prefixes(size: int, percent: int, rarity, buckets: int, hot: int):
                     continue
                 seen.add(fp)
                 p = n - least_overlap(n, percent) + 1
-                first = s[np.argsort(_slot_counts(order, s), kind="stable")[:p]]
+                first = s[np.argsort(_rarity(order, s), kind="stable")[:p]]
                 e = np.empty(p, dtype=ENTRY)
                 e["h"], e["doc"], e["fp"], e["n"], e["pos"] = first, doc, int.from_bytes(fp[:8], "little"), n, np.arange(p)
                 kept.append(e)
@@ -294,10 +337,12 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    measured = materialize(docs.mapInArrow(_measure(size), "doc_id long, n long, fp binary, counts binary"), "jaccard-sets")
+    letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (letters // 6).bit_length()))  # about a slot for each word
+    measured = materialize(docs.mapInArrow(_measure(size, bits), "doc_id long, n long, fp binary, piece long, counts binary"), "jaccard-sets")
     own = measured.where("fp is not null")
     classes = own.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    rarity = spark.sparkContext.broadcast(document_counts(measured)) if measured.where("counts is not null").take(1) else None
+    rarity = spark.sparkContext.broadcast(document_counts(measured, bits)) if measured.where("counts is not null").take(1) else None
     if rarity is None:
         return own.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     entries = own.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0]
@@ -315,25 +360,34 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     first = materialize(verify(stars.where("passes").select("u", "v"), texts, size, percent), "jaccard-links")
     joined = components(first)
 
-    # Members of a group in different components: their pairs across components.
+    # Members of a group in different components meet a second one first: the member that shares the rarest of its
+    # n-grams, which has the least of its own and links to most. Then their pairs across components that are left.
     place = lambda df, key, out: df.join(joined.select(F.col("u").alias(key), F.col("v").alias("_to")), key, "left").withColumn(out, F.coalesce("_to", key)).drop("_to")
     apart = place(place(stars.select("u", "v"), "u", "cu"), "v", "cv").where("cu != cv")
     loose = materialize(apart.select(F.explode(F.array("u", "v")).alias("doc")).distinct(), "jaccard-loose")
     if loose.take(1):
         open_groups = found.join(loose, "doc", "left_semi").select("h").distinct()
-        member = place(found.join(open_groups, "h", "left_semi").select("h", "doc", "n", "pos"), "doc", "c")
-        mixed = member.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").select("h")
-        member = materialize(member.join(mixed, "h", "left_semi"), "jaccard-members")
+        own_ones = found.groupBy("doc").agg(F.min("pos").alias("alone"))
+        member = found.join(open_groups, "h", "left_semi").select("h", "doc", "n", "pos").join(own_ones, "doc")
+        member = _mixed(place(member, "doc", "c"))
+        best = member.groupBy("h").agg(F.min(F.struct("alone", "doc", "n", "pos", "c")).alias("b"))
+        second = member.join(best, "h").where((F.col("c") != F.col("b.c")) & _passes(F.col("n"), F.col("b.n"), F.col("pos"), F.col("b.pos"), percent))
+        second = second.select(F.greatest("doc", "b.doc").alias("u"), F.least("doc", "b.doc").alias("v")).distinct()
+        tried = stars.where("passes").select("u", "v")
+        second = materialize(second.join(tried, ["u", "v"], "left_anti"), "jaccard-pairs")
+        links = first.union(materialize(verify(second, texts, size, percent), "jaccard-links"))
+        joined = components(links)
+        member = _mixed(place(member.drop("c"), "doc", "c"))
         other = member.select("h", *[F.col(x).alias(f"{x}2") for x in ("doc", "n", "pos", "c")])
         pairs = (
             member.join(other, "h").where("c < c2")
             .where(_passes(F.col("n"), F.col("n2"), F.col("pos"), F.col("pos2"), percent))
             .select(F.greatest("doc", "doc2").alias("u"), F.least("doc", "doc2").alias("v")).distinct()
         )
-        pairs = pairs.join(stars.where("passes").select("u", "v"), ["u", "v"], "left_anti")  # each pair once
-        second = materialize(verify(pairs, texts, size, percent), "jaccard-links")
-        if second.take(1):
-            joined = components(first.union(second))
+        pairs = pairs.join(tried.union(second), ["u", "v"], "left_anti")  # each pair once
+        third = materialize(verify(pairs, texts, size, percent), "jaccard-links")
+        if third.take(1):
+            joined = components(links.union(third))
     # A class of equal sets went by one of its documents; its name, and its component's, is the least of all.
     # Copies of one text share a key: it is salted, with a class row for each grain of salt.
     salted = classes.where("copies > 1").select("fp", "class_id", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt"))
@@ -346,6 +400,12 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("_to", "class_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _mixed(member: DataFrame) -> DataFrame:
+    """The members of n-grams whose members are in different components ``c``."""
+    mixed = member.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").select("h")
+    return materialize(member.join(mixed, "h", "left_semi"), "jaccard-members")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (u, v) that link. Texts travel only for pairs whose part counts let them."""
     t = lambda k, *more: texts.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in more])

@@ -44,6 +44,11 @@ def forget(spark: SparkSession) -> int:
     return gone
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of the files of finished shuffles: Spark deletes them when the driver's garbage is collected, else rarely."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one if ``df`` has such a column."""
     taken = {c.lower() for c in df.columns}

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .run_index import earlier_windows
-from .storage import exchange_width, free_name, materialize, small_batches
+from .storage import exchange_width, free_name, materialize, small_batches, tidy
 from .textops import BYTE_VALUES, U64, mix, powers, slices, string_buffer
 
 LENGTH = 100
@@ -337,6 +337,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         raise ValueError(f"length must be over {ANCHOR}")
     spark = docs.sparkSession
     small_batches(spark)
+    tidy(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A home holds about 8 MB of text, a bucket about as much of anchors; rows are one blob per pair of them.
