@@ -41,11 +41,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import exchange_width, free_name, materialize, small_batches
-from .textops import SLICE, U64, Words, lower_ascii, mix, slices, string_buffer
+from .textops import SLICE, U64, Words, ints, lower_ascii, mix, slices, string_buffer, whole
 
 LEAST_BITS, PIECE_BITS, MOST_BITS = 18, 18, 25  # of the sketch, and of a piece of it
 STEPS = 8  # of a count's logarithm, per octave
-SLOTS = np.dtype([("slot", "<u4"), ("n", "<u4")])
 PART_BITS = 8
 BUCKET_ENTRIES = 400_000
 HOT = 50_000
@@ -73,6 +72,17 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _counts(slot: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending slots, as differences, and their counts."""
+    slots = ints(np.diff(slot.astype(U64), prepend=U64(0)))
+    return len(slots).to_bytes(4, "little") + slots + ints(n)
+
+
+def _read_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    cut = 4 + int.from_bytes(blob[:4], "little")
+    return np.cumsum(whole(blob[4:cut]), dtype=U64).astype(np.int64), whole(blob[cut:]).astype(np.int64)
+
+
 def _measure(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, waiting = [], 0
@@ -82,10 +92,9 @@ def _measure(size: int, bits: int):
             slot, n = np.unique(np.concatenate(seen), return_counts=True)
             piece = slot >> U64(PIECE_BITS)
             cut, end = (np.searchsorted(piece, np.unique(piece), side=x) for x in ("left", "right"))
-            e = np.empty(len(slot), dtype=SLOTS)
-            e["slot"], e["n"] = slot & U64((1 << PIECE_BITS) - 1), n
+            slot &= U64((1 << PIECE_BITS) - 1)
             none = pa.nulls(len(cut), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(cut), pa.binary()), pa.array(piece[cut].astype(np.int64)), pa.array([e[a:b].tobytes() for a, b in zip(cut, end, strict=True)], pa.binary())], names=["doc_id", "n", "fp", "piece", "counts"])
+            return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(cut), pa.binary()), pa.array(piece[cut].astype(np.int64)), pa.array([_counts(slot[a:b], n[a:b]) for a, b in zip(cut, end, strict=True)], pa.binary())], names=["doc_id", "n", "fp", "piece", "counts"])
 
         for batch in slices(batches, "text", SLICE):
             sets = shingle_sets(*string_buffer(batch.column(1)), size)
@@ -107,21 +116,19 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for piece, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            e = np.frombuffer(blob.as_buffer(), SLOTS)
             of = total.setdefault(piece, np.zeros(1 << PIECE_BITS, dtype=np.int64))
-            of[e["slot"]] += e["n"]
+            slot, n = _read_counts(blob.as_py())
+            of[slot] += n
     for piece, of in total.items():
-        e = np.empty(np.count_nonzero(of), dtype=SLOTS)
-        e["slot"] = np.flatnonzero(of)
-        e["n"] = np.minimum(of[e["slot"]], 2**32 - 1)
-        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([e.tobytes()], pa.binary())], names=["piece", "counts"])
+        slot = np.flatnonzero(of)
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([_counts(slot, of[slot])], pa.binary())], names=["piece", "counts"])
 
 
 def _logarithms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _add(batches):
-        e = np.frombuffer(batch.column(1)[0].as_buffer(), SLOTS)
+        slot, n = _read_counts(batch.column(1)[0].as_py())
         out = np.zeros(1 << PIECE_BITS, dtype=np.uint8)
-        out[e["slot"]] = np.minimum(255, np.round(STEPS * np.log2(1.0 + e["n"])))
+        out[slot] = np.minimum(255, np.round(STEPS * np.log2(1.0 + n)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([out.tobytes()], pa.binary())], names=["piece", "counts"])
 
 

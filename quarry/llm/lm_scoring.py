@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import exchange_width, materialize, small_batches
-from .textops import SLICE, U64, Words, lower_ascii, mix, slices, string_buffer
+from .textops import SLICE, U64, Words, ints, lower_ascii, mix, slices, string_buffer, whole
 
 MU = 20.0
 SLICE_BYTES = 8 << 20
@@ -46,20 +46,6 @@ ASKED = "bucket long, slice long, " + ", ".join(f"{k}_{c} binary" for k in KINDS
 TOLD = "slice long, bucket long, distinct long, " + ", ".join(f"{k}_{c} binary" for k in KINDS for c in ("all", "target"))
 
 
-def ints(x: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the largest needs, byte by byte, and compressed; the first byte tells."""
-    size = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
-    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T)
-    return bytes([size]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def whole(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
-    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    out[:, : blob[0]] = planes.T
-    return out.reshape(-1).view("<u8")
-
-
 def _stored(limit: int):
     """Rows (doc_id, text, good) as slices."""
 
