@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
+import re
+import tempfile
+import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -184,15 +192,41 @@ def source_local_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.frame(NATION)
 def source_jdbc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table in an embedded database, written and read in bounded ranges of its key."""
-    url = f"jdbc:derby:{scratch(spark, sf_dir, 'derby').removeprefix('file:').replace('//', '/')};create=true"
+    """A table in an embedded database, written by the driver and read in bounded ranges of its key. One process alone may
+    open a database that can be written, and executors are others; they read the finished one, packed, which can't."""
     n = load(spark, sf_dir, "nation")
     options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    n.coalesce(1).write.mode("overwrite").jdbc(url, "nation", properties=options)
-    read = spark.read.jdbc(url, "nation", column="n_nationkey", lowerBound=0, upperBound=25, numPartitions=3, properties=options)
+    packed = re.sub("^file:/+", "/", f"{scratch(spark, sf_dir, 'derby')}-{uuid.uuid4().hex}.jar")
+    with tempfile.TemporaryDirectory(prefix="quarry-derby-") as own:
+        url = f"jdbc:derby:{own}/database"
+        spark.createDataFrame([], n.schema).write.mode("overwrite").jdbc(f"{url};create=true", "nation", properties=options)  # no rows, so no tasks
+        _insert(n, url, "nation")
+        with contextlib.suppress(Py4JJavaError):  # its end is told by an exception
+            spark.sparkContext._jvm.java.sql.DriverManager.getConnection(f"{url};shutdown=true")
+        os.makedirs(os.path.dirname(packed), exist_ok=True)
+        with zipfile.ZipFile(packed, "w") as out:
+            for path in sorted(Path(own, "database").rglob("*")):
+                out.write(path, path.relative_to(own))
+    read = spark.read.jdbc(f"jdbc:derby:jar:({packed})database", "nation", column="n_nationkey", lowerBound=0, upperBound=25, numPartitions=3, properties=options)
     return read.select(*[F.col(c).cast(n.schema[c].dataType) for c in n.columns])
 
 
+def _insert(df: DataFrame, url: str, table: str) -> None:
+    """Rows into a table from the driver, which holds a partition of them at a time."""
+    names, jvm = ", ".join(f'"{c}"' for c in df.columns), df.sparkSession.sparkContext._jvm
+    connection = jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        connection.setAutoCommit(False)
+        put = connection.prepareStatement(f"INSERT INTO {table} ({names}) VALUES ({', '.join('?' * len(df.columns))})")
+        for row in df.toLocalIterator():
+            for k, v in enumerate(row, 1):
+                put.setObject(k, v)
+            put.executeUpdate()
+        connection.commit()
+    finally:
+        connection.close()
+
+
 def _png(width: int, height: int, value: int) -> bytes:
     """A grey picture, all of one value."""
     import struct
