@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.ranks import percentiles
 from quarry.plans.registry import Registry
-from quarry.session import load
+from quarry.session import load, register
 
 R = Registry()
 
@@ -25,11 +26,14 @@ R.sql(
 R.sql("agg_corr_cov", "SELECT l_linestatus, round(corr(l_quantity, l_extendedprice), 6) AS r, round(covar_pop(l_quantity, l_discount), 6) AS cp, round(covar_samp(l_quantity, l_discount), 6) AS cs FROM lineitem GROUP BY l_linestatus")
 R.sql("agg_percentile", "SELECT l_returnflag, percentile(l_extendedprice, 0.5) AS p50, percentile(l_extendedprice, 0.9) AS p90 FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.9) AS p90 FROM lineitem GROUP BY l_returnflag")
 R.sql("agg_first_last", "SELECT c_mktsegment, min_by(c_name, c_custkey) AS f, max_by(c_name, c_custkey) AS l, max(struct(c_acctbal, c_custkey)).c_custkey AS rich FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, min_by(c_name, c_custkey) AS f, max_by(c_name, c_custkey) AS l, max_by(c_custkey, (c_acctbal, c_custkey)) AS rich FROM customer GROUP BY c_mktsegment")
-R.sql(
-    "agg_aliases",
-    "SELECT o_orderstatus, round(mean(o_totalprice), 4) AS mean, round(std(o_totalprice), 4) AS std, approx_percentile(o_orderkey, 0.5, 1000000) AS middle, sum(mod(o_orderkey, 7)) AS rest, round(max(power(o_custkey, 2)), 0) AS squared, sum(ceiling(o_totalprice)) AS whole, max(character_length(o_orderpriority)) AS longest FROM orders GROUP BY o_orderstatus",
-    "SELECT o_orderstatus, round(avg(o_totalprice), 4) AS mean, round(stddev(o_totalprice), 4) AS std, quantile_disc(o_orderkey, 0.5) AS middle, sum(o_orderkey % 7)::BIGINT AS rest, round(max(o_custkey ** 2), 0) AS squared, sum(ceil(o_totalprice)::BIGINT)::BIGINT AS whole, max(length(o_orderpriority))::INTEGER AS longest FROM orders GROUP BY o_orderstatus",
-)
+
+@R.frame("SELECT o_orderstatus, round(avg(o_totalprice), 4) AS mean, round(stddev(o_totalprice), 4) AS std, quantile_disc(o_orderkey, 0.5) AS middle, sum(o_orderkey % 7)::BIGINT AS rest, round(max(o_custkey ** 2), 0) AS squared, sum(ceil(o_totalprice)::BIGINT)::BIGINT AS whole, max(length(o_orderpriority))::INTEGER AS longest FROM orders GROUP BY o_orderstatus")
+def agg_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates by their other names. approx_percentile gives the median up to a share of the rows, and so only bounds it."""
+    register(spark, sf_dir, "orders")
+    others = spark.sql("SELECT o_orderstatus, round(mean(o_totalprice), 4) AS mean, round(std(o_totalprice), 4) AS std, sum(mod(o_orderkey, 7)) AS rest, round(max(power(o_custkey, 2)), 0) AS squared, sum(ceiling(o_totalprice)) AS whole, max(character_length(o_orderpriority)) AS longest FROM orders GROUP BY o_orderstatus")
+    middle = percentiles(spark.table("orders"), ["o_orderkey"], ["0.5"], ["o_orderstatus"]).select(F.col("o_orderstatus").alias("_status"), F.col("o_orderkey")[0].alias("middle"))
+    return others.join(middle, F.col("o_orderstatus").eqNullSafe(F.col("_status"))).select("o_orderstatus", "mean", "std", "middle", "rest", "squared", "whole", "longest")
 
 
 @R.frame("SELECT c_nationkey, arg_min(c_name, c_custkey) AS first, arg_max(c_name, c_custkey) AS last, count(DISTINCT c_mktsegment) > 0 AS any FROM customer GROUP BY 1")

@@ -2,7 +2,13 @@
 
 import math
 import random
+import shutil
+from pathlib import Path
 
+import duckdb
+from oracle import SF, compare
+
+from quarry import catalog
 from quarry.operators.blocks import BlockFrame
 from quarry.operators.ranks import percentiles
 
@@ -27,3 +33,12 @@ def test_percentiles_of_groups(spark):
         for name, at in (("v", 1), ("w", 2)):
             own = sorted(x[at] for x in rows if x[0] == r.k and x[at] is not None)
             assert r[name] == [own[max(1, math.ceil(len(own) * p / 1000)) - 1] if own else None for p in (100, 500, 999, 1000)]
+
+
+def test_aliases_of_many_rows(spark, tmp_path):
+    for p in Path(SF).glob("*.parquet"):
+        shutil.copy(p, tmp_path)
+    (tmp_path / "orders.parquet").chmod(0o644)
+    part = "i * 2654435761 % 9000011 AS o_orderkey, i % 1000 AS o_custkey, ['O', 'F', NULL][1 + i % 3] AS o_orderstatus, (i % 997)::DOUBLE AS o_totalprice, '1-URGENT' AS o_orderpriority"
+    duckdb.execute(f"COPY (SELECT {part} FROM range(9000000) r(i)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    compare(spark, str(tmp_path), catalog.QUERIES["agg_aliases"], catalog.ORACLE_SQL["agg_aliases"])
