@@ -191,7 +191,17 @@ def _dealt(kept: list[np.ndarray], buckets: int, order: np.ndarray, hot: int) ->
     e, at = e[order], at[order]
     cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     ends = np.append(cut[1:], len(at))
-    return pa.RecordBatch.from_arrays([pa.array(at[cut], pa.int64()), pa.array([e[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["bucket", "entries"])
+    return pa.RecordBatch.from_arrays([pa.array(at[cut], pa.int64()), pa.array([_packed(e[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["bucket", "entries"])
+
+
+def _packed(e: np.ndarray) -> bytes:
+    """Entries byte by byte of all, first bytes first: numbers have few bytes that differ."""
+    return zstandard.ZstdCompressor(level=1).compress(e.view(np.uint8).reshape(len(e), -1).T.tobytes())
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(ENTRY.itemsize, -1).T).reshape(-1).view(ENTRY)
 
 
 def passes(n1, n2, pos1, pos2, percent: int):
@@ -211,7 +221,7 @@ FOUND = "h long, doc long, n int, pos int, centre long, passes boolean, spread b
 
 def _groups(percent: int, rarity, hot: int):
     def run(table: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(x.as_py(), dtype=ENTRY) for x in table["entries"]])
+        e = np.concatenate([_unpacked(x.as_py()) for x in table["entries"]])
         e = e[np.lexsort((e["doc"], e["fp"], e["h"]))]
         e = e[np.concatenate([[True], (e["h"][1:] != e["h"][:-1]) | (e["fp"][1:] != e["fp"][:-1])])]  # equal sets: the least document
         e = e[np.lexsort((e["doc"], e["h"]))]
@@ -307,27 +317,44 @@ def parted(s: np.ndarray) -> np.ndarray:
     return np.bincount((s >> U64(64 - PART_BITS)).astype(np.int64), minlength=1 << PART_BITS)
 
 
+def _filter(ids: DataFrame) -> tuple[int, np.ndarray | None]:
+    """The slots of the documents in ``ids`` as bits, at most 32 MB, and how many slots there are; no bits where they are too many for it."""
+    width = max(1 << 16, 1 << (16 * ids.count()).bit_length())
+    if width > FILTER_BITS:
+        return width, None
+    bits = np.zeros(width // 8, dtype=np.uint8)
+    for r in ids.select(_slot("doc", width)).repartition(8, F.floor(F.col("slot") / (width // 8))).mapInArrow(_bits(width), "eighth long, bits binary").collect():
+        bits[r.eighth * (width // 64) : (r.eighth + 1) * (width // 64)] = np.frombuffer(r.bits, dtype=np.uint8)
+    return width, bits
+
+
+def _slot(key: str, width: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(width)).alias("slot")
+
+
+def _set_bits(batch: pa.RecordBatch, bits: np.ndarray | None) -> pa.RecordBatch:
+    """The rows (id, value, slot) whose slot's bit is set."""
+    if bits is None:
+        return batch
+    slot = batch.column(2).to_numpy()
+    return batch.filter(pa.array((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
+
+
 def texts_of(spark: SparkSession, docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, parts, packed) of the documents in ``ids``, and some more: a filter of at most 32 MB
     finds them without a shuffle of texts, and a join where they are too many for it. ``parts`` counts
     the set's n-grams by part of the hash space, ``packed`` is the compressed text."""
-    docs, width = docs.where("doc_id is not null"), max(1 << 16, 1 << (16 * ids.count()).bit_length())
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(width)).alias("slot")
-    if width <= FILTER_BITS:
-        bits = np.zeros(width // 8, dtype=np.uint8)
-        for r in ids.select(slot("doc")).repartition(8, F.floor(F.col("slot") / (width // 8))).mapInArrow(_bits(width), "eighth long, bits binary").collect():
-            bits[r.eighth * (width // 64) : (r.eighth + 1) * (width // 64)] = np.frombuffer(r.bits, dtype=np.uint8)
-    else:
-        docs, bits = docs.join(ids.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), None
+    docs = docs.where("doc_id is not null")
+    width, bits = _filter(ids)
+    if bits is None:
+        docs = docs.join(ids.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
     shared = spark.sparkContext.broadcast(bits)
-    docs = docs.select("doc_id", "text", slot("doc_id"))
+    docs = docs.select("doc_id", "text", _slot("doc_id", width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in slices(batches, "text", SLICE):
-            if shared.value is not None:
-                slot = batch.column(2).to_numpy()
-                batch = batch.filter(pa.array((shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
+            batch = _set_bits(batch, shared.value)
             if not batch.num_rows:
                 continue
             raw, offsets = string_buffer(batch.column(1))
@@ -339,6 +366,20 @@ def texts_of(spark: SparkSession, docs: DataFrame, ids: DataFrame, size: int) ->
     return materialize(docs.mapInArrow(run, "doc_id long, n long, parts binary, packed binary"), "jaccard-texts")
 
 
+def packed_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, packed) of the documents in ``ids``, and some more, before a shuffle: texts that no pair asks for don't travel."""
+    width, bits = _filter(ids)
+    if bits is None:
+        return texts.select("doc_id", "packed")
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _set_bits(batch, shared.value).select([0, 1])
+
+    return materialize(texts.select("doc_id", "packed", _slot("doc_id", width)).mapInArrow(run, "doc_id long, packed binary"), "jaccard-packed")
+
+
 def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -418,7 +459,9 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     t = lambda k, *more: texts.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in more])
     counts = pairs.join(t("u", "n", "parts"), "u").join(t("v", "n", "parts"), "v").select("u", "v", "n_u", "n_v", "parts_u", "parts_v")
     pairs = materialize(counts.mapInArrow(_may_link(percent), "u long, v long"), "jaccard-candidates")
-    both = pairs.join(t("u", "packed"), "u").join(t("v", "packed"), "v").select("u", "v", "packed_u", "packed_v")
+    packed = packed_of(texts, pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct())
+    p = lambda k: packed.select(F.col("doc_id").alias(k), F.col("packed").alias(f"packed_{k}"))
+    both = pairs.join(p("u"), "u").join(p("v"), "v").select("u", "v", "packed_u", "packed_v")
     return both.mapInArrow(_verify(size, percent), "u long, v long").distinct()
 
 

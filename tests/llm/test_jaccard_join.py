@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quarry.llm import jaccard_join
@@ -83,3 +84,18 @@ def test_keep_odd_rows(spark):
     got = jaccard_join.keep(df)
     assert got.columns == df.columns
     assert sorted((r.doc_id or 0, r._kept) for r in got.collect()) == [(0, "z"), (0, "z"), (1, "x"), (3, "n"), (4, "l"), (6, "p")]
+
+
+def test_only_what_pairs_ask_for_travels(spark):
+    """Of many stored texts those of a few pairs, and entries in fewer bytes than they have."""
+    texts = spark.range(2000).selectExpr("id as doc_id", "1L as n", "cast('p' as binary) as parts", "cast(cast(id as string) as binary) as packed")
+    asked = spark.createDataFrame([(5,), (1999,)], "doc long")
+    got = {r.doc_id: bytes(r.packed) for r in jaccard_join.packed_of(texts, asked).collect()}
+    assert {5, 1999} <= got.keys() and len(got) < 20 and got[1999] == b"1999"
+    pick = np.random.RandomState(1)
+    e = np.zeros(5000, dtype=jaccard_join.ENTRY)
+    for f in ("h", "fp"):
+        e[f] = pick.randint(0, 1 << 62, len(e))
+    e["doc"], e["n"], e["pos"] = np.arange(len(e)) * 37 - 3, pick.randint(1, 3000, len(e)), pick.randint(0, 400, len(e))
+    blob = jaccard_join._packed(e)
+    assert len(blob) < 0.75 * e.nbytes and (jaccard_join._unpacked(blob) == e).all()
