@@ -2,16 +2,20 @@
 
 Each labelled document of quality 1 is preferred to one of quality 0. The worth of a
 document is linear in features of its text alone; the logistic loss of worth
-differences over preference pairs gives the weights. A quantile of the worths of the
-training sample, at the share of quality 0 in it, becomes the threshold, and the worth
+differences over preference pairs gives the weights. A quantile of the worths of all
+labelled documents, at the share of quality 0 among them, becomes the threshold, and the worth
 is mapped so that the threshold scores ``CUT``.
 
-Fitting uses a bounded sample: about ``sample_rows`` labelled documents at most, those with the
-smallest hashes of their ids, and ``pairs`` preference pairs. Features are measured over whole
-texts and over all documents; labels, lang, source and doc_id are no features.
+Fitting uses every labelled document that isn't held out. They are dealt by hash of their ids to
+blocks of about ``block_rows``; means and scales are those of all of them; each block's weights come
+of preference pairs in which each of its documents stands, and the model has their mean, by the blocks'
+documents. A quality with few documents goes to all blocks, so that none is without pairs. Up to
+``block_rows`` labelled documents are one block. The driver gets sums and weights per block and the
+two worths on either side of the threshold. Features are measured over whole texts and over all
+documents; labels, lang, source and doc_id are no features.
 
 Defined cases: null text counts as empty and is scored; labels that are null, or of
-documents that don't exist, are ignored; without both labels in the sample the weights
+documents that don't exist, are ignored; without both labels the weights
 are zero and every document scores 0.5; an id that is labelled twice counts as often; a
 row of null doc_id is scored and not held out; repeated rows are scored each by itself;
 very long texts are read whole, one at a time; an empty table gives an empty result; other
@@ -23,7 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators.ranks import percentiles
+
 from .quality_rules import repeated_words
 from .storage import materialize, small_batches
 from .textops import Words, counts_by_row, slices, string_buffer
 
-CUT = 0.3
+CUT, FEW = 0.3, 50  # FEW: documents of a quality a block, below which all blocks get all of them
 FEATURES = (
     "log_words", "chars_per_word", "words_per_line", "distinct_words", "repeated_words", "repeated_neighbours",
     "upper", "digits", "non_ascii", "space", "stops", "commas", "exclamations", "bars", "hashes_stars", "dollars_percents",
@@ -117,17 +123,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, rounds: int = 400, ridge: float = 1e-3, seed: int = 7) -> Model | None:
-    """Weights by gradient descent with momentum on the logistic loss of feature differences."""
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
-        return None
+def moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale of each feature."""
     x = x.astype(np.float64)
-    mean, scale = x.mean(0), x.std(0)
-    scale[scale < 1e-9] = 1.0
-    z = np.clip((x - mean) / scale, -6, 6)
+    return x.mean(0), _sound(x.std(0))
+
+
+def _sound(scale: np.ndarray) -> np.ndarray:
+    return np.where(scale < 1e-9, 1.0, scale)
+
+
+def weights(x: np.ndarray, y: np.ndarray, mean: np.ndarray, scale: np.ndarray, pairs: int = 60_000, rounds: int = 400, ridge: float = 1e-3, seed: int = 7) -> np.ndarray:
+    """Weights by gradient descent with momentum on the logistic loss of feature differences; both labels are there, and every document is in a pair."""
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    z = np.clip((x.astype(np.float64) - mean) / scale, -6, 6)
     pick = np.random.RandomState(seed)
-    n = min(pairs, len(good) * len(bad))
+    n = min(max(pairs, len(good), len(bad)), len(good) * len(bad))
     each = -(-n // len(bad))
     over = np.tile(bad, each)[:n]  # every rejected document loses about equally often
     under = np.concatenate([pick.permutation(good) for _ in range(-(-n // len(good)))])[:n]
@@ -137,14 +148,24 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, rounds: int = 400, ri
         lose = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
         pace = 0.9 * pace + diff.T @ lose / n - ridge * w
         w = w + 0.2 * pace
-    worth = z @ w
-    share = len(bad) / (len(good) + len(bad))
-    low, high = np.quantile(worth, share, method="lower"), np.quantile(worth, share, method="higher")
+    return w
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> Model | None:
+    """The model of one block."""
+    bad = int((y == 0).sum())
+    if not 0 < bad < len(y):
+        return None
+    mean, scale = moments(x)
+    model = Model(mean, scale, weights(x, y, mean, scale), 0.0, 1.0)
+    worth = model.worth(x)
     ranked = np.sort(worth)
-    k = int(round(share * len(ranked)))
-    if 0 < k < len(ranked):  # the threshold lies midway between the worths on either side of the quantile
-        low, high = ranked[k - 1], ranked[k]
-    return Model(mean, scale, w, float((low + high) / 2), float(max(worth.std() / 4, 1e-6)))
+    return placed(model, ranked[bad - 1], ranked[bad], worth.std())
+
+
+def placed(model: Model, low: float, high: float, deviation: float) -> Model:
+    """The threshold lies midway between the worths on either side of the quantile."""
+    return replace(model, threshold=float((low + high) / 2), spread=float(max(deviation / 4, 1e-6)))
 
 
 def remainder(key: str = "doc_id") -> Column:
@@ -161,23 +182,62 @@ def features(docs: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(measure, rows.select("doc_id").schema.add("features", T.ArrayType(T.FloatType()))), "quality-features")
 
 
-def train(measured: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Model | None:
-    """Fit on labelled, not held-out documents; of more than ``sample_rows``, on those whose id hash
-    falls under that share, so that about ``sample_rows`` rows reach the driver however many there are."""
+def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a block, in an order that its rows decide."""
+    of = lambda t: t["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+    table = table.take(np.lexsort(of(table).T)).sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    return of(table), table["quality"].to_numpy()
+
+
+def train(measured: DataFrame, labels: DataFrame, block_rows: int = 20_000) -> Model | None:
+    """Fit on all labelled documents that aren't held out, block by block."""
     marked = labels.where("quality in (0, 1)").where(remainder() != 0).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    share = min(1.0, sample_rows / max(1, marked.count()))
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
-    got = chosen.join(measured, "doc_id").select("doc_id", "quality", "features").orderBy("doc_id", "quality").toArrow()
-    if not got.num_rows:
+    taught = materialize(marked.join(measured, "doc_id").select("doc_id", "quality", "features"), "quality-taught")
+    counts = {r.quality: r.n for r in taught.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
         return None
-    x = got["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-    return fit(x, got["quality"].to_numpy())
+    total = sum(counts.values())
+    blocks = -(-total // block_rows)
+    dealt = taught.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    few = [q for q, n in counts.items() if blocks > 1 and n < FEW * blocks]
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    whole = dealt.where(~F.col("quality").isin(few)).unionByName(dealt.where(F.col("quality").isin(few)).withColumn("block", everywhere)) if few else dealt
+
+    def add(table: pa.Table) -> pa.Table:
+        x = _rows(table)[0].astype(np.float64)
+        mean = x.mean(0)
+        return pa.table({"block": table["block"][:1], "n": pa.array([len(x)], pa.int64()), "mean": [mean], "squares": [((x - mean) ** 2).sum(0)]})
+
+    sums = sorted(dealt.groupBy("block").applyInArrow(add, "block long, n long, mean array<double>, squares array<double>").collect())
+    n, means = np.array([[r.n] for r in sums], dtype=np.float64), np.array([r.mean for r in sums])
+    mean = (n * means).sum(0) / n.sum() if len(sums) > 1 else means[0]
+    scale = _sound(np.sqrt((np.array([r.squares for r in sums]).sum(0) + (n * (means - mean) ** 2).sum(0)) / n.sum()))
+
+    def learn(table: pa.Table) -> pa.Table:
+        x, y = _rows(table)
+        both = 0 < (y == 0).sum() < len(y)
+        return pa.table({"block": table["block"][:1], "n": pa.array([len(y) if both else 0], pa.int64()), "weights": [weights(x, y, mean, scale) if both else np.zeros(x.shape[1])]})
+
+    learnt = sorted(whole.groupBy("block").applyInArrow(learn, "block long, n long, weights array<double>").collect())
+    n = np.array([[r.n] for r in learnt], dtype=np.float64)
+    if not n.sum():
+        return None
+    model = Model(mean, scale, (n * np.array([r.weights for r in learnt])).sum(0) / n.sum(), 0.0, 1.0)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([pa.array(model.worth(x), pa.float64())], names=["worth"])
+
+    worths = materialize(taught.select("features").mapInArrow(judge, "worth double"), "quality-worths")
+    low, high = percentiles(worths, ["worth"], [f"{counts[0]}/{total}", f"{counts[0] + 1}/{total}"]).first().worth
+    return placed(model, low, high, worths.agg(F.stddev_pop("worth")).first()[0])
 
 
-def score(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, block_rows: int = 20_000) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     measured = features(docs)
-    model = train(measured, labels, sample_rows)
+    model = train(measured, labels, block_rows)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

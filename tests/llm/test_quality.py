@@ -141,3 +141,20 @@ def test_classifier_odd_rows(spark):
     assert pairwise_quality.score(docs.limit(0), none).count() == 0
     one = spark.createDataFrame([(2, 1), (3, 0), (3, None)], "doc_id long, quality int")
     assert pairwise_quality.score(docs, one).count() == 5
+
+
+def test_classifier_learns_from_all_labels(spark):
+    """Of many blocks: means, scales and the threshold are those of all labelled documents, and the verdicts near those of one block."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    measured = pairwise_quality.features(docs)
+    x = {r.doc_id: r.features for r in measured.collect()}
+    taught = [(r.doc_id, r.quality) for r in labels.orderBy("doc_id").collect() if r.doc_id in x and not pairwise_quality.is_held_out(r.doc_id)]
+    z, y = np.array([x[d] for d, _ in taught], dtype=np.float32), np.array([q for _, q in taught])
+    for block_rows, marks in ((60, y), (60, np.where(np.arange(len(y)) % 100 == 5, 1, 0))):  # the second: few of one label
+        model = pairwise_quality.train(measured, spark.createDataFrame([(d, int(q)) for (d, _), q in zip(taught, marks, strict=True)], "doc_id long, quality int"), block_rows)
+        mean, scale = pairwise_quality.moments(z)
+        assert np.allclose(model.mean, mean) and np.allclose(model.scale, scale)
+        ranked, bad = np.sort(model.worth(z)), int((marks == 0).sum())
+        assert np.isclose(model.threshold, (ranked[bad - 1] + ranked[bad]) / 2) and np.isclose(model.spread, ranked.std() / 4)
+    many, one = (pairwise_quality.train(measured, labels, n) for n in (60, 20_000))
+    assert ((many.score(z) >= 0.3) == (one.score(z) >= 0.3)).mean() > 0.97
