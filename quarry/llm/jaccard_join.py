@@ -8,8 +8,12 @@ their first ``n - ceil(t n) + 1``. So only these prefixes are dealt out, by n-gr
    2**``MOST_BITS`` slots (counts of slots add up, and a byte keeps a count's logarithm; it
    only orders, so its collisions cost no result), and fingerprints sets;
 2. a second pass emits prefix entries, in blobs per bucket, of which there are more the
-   more entries there are; sets that are equal meet by their fingerprint and count once;
-3. in each n-gram's group every member is paired with the least one only; an n-gram that
+   more entries there are; an n-gram travels as so many first bits of its hash as tell
+   entries apart (two that agree in them make one group, which costs time and no result);
+   of equal sets that of the least document is dealt out, as a table of their fingerprints
+   tells; where it would be too large, entries carry the fingerprint and meet by it;
+3. a member of an n-gram's group that passes the length and positional filters with no
+   other one leaves it; every other is paired with the least one only; an n-gram that
    ``HOT`` documents or more may have is spread over buckets, whose least ones are paired
    with the least of all; pairs that pass the length and positional filters are verified
    once each, by the suffix filter and then by the whole intersection;
@@ -47,6 +51,7 @@ LEAST_BITS, PIECE_BITS, MOST_BITS = 18, 18, 25  # of the sketch, and of a piece
 STEPS = 8  # of a count's logarithm, per octave
 PART_BITS = 8
 BUCKET_ENTRIES = 400_000
+SPARE_BITS = 8  # of an n-gram's hash, beyond those that number the entries
 HOT = 50_000
 FILTER_BITS = 1 << 28
 ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("fp", "<u8"), ("n", "<i4"), ("pos", "<i4")])
@@ -152,10 +157,35 @@ def _slot_counts(order: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.exp2(_rarity(order, h) / STEPS).astype(np.int64)
 
 
-def _prefixes(size: int, percent: int, rarity, buckets: int, hot: int):
+def hash_bits(entries: int, bits: int) -> int:
+    """How many first bits of an n-gram's hash its entries keep; those of its slot in the sketch at least."""
+    return min(64, max(bits, entries.bit_length() + SPARE_BITS))
+
+
+def _repeated(classes: DataFrame) -> tuple[np.ndarray, ...] | None:
+    """The fingerprints that several sets have, in two columns, ascending, and the least document of each: 24 MB at most, or nothing."""
+    if classes.count() > FILTER_BITS >> 8:
+        return None
+    found = classes.where("class_id is not null").select("fp", "class_id").toArrow()
+    prints = np.frombuffer(b"".join(found["fp"].to_pylist()), "<u8").reshape(-1, 2)
+    order = np.argsort(prints[:, 0])
+    return prints[order, 0], prints[order, 1], found["class_id"].to_numpy()[order]
+
+
+def _least_of(least: tuple[np.ndarray, ...], fp: bytes, doc: int) -> int:
+    """The least document whose set has this fingerprint."""
+    a, b = np.frombuffer(fp, "<u8")
+    i = int(np.searchsorted(least[0], a))
+    return int(least[2][i]) if i < len(least[0]) and least[0][i] == a and least[1][i] == b else doc
+
+
+def _prefixes(size: int, percent: int, rarity, buckets: int, hot: int, bits: int, repeated):
+    """``repeated``: what ``_repeated`` returns; without it, entries carry their fingerprint."""
+    mask = U64((1 << 64) - (1 << (64 - bits)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, rows, seen = [], 0, set()
-        order = rarity.value
+        order, least = rarity.value, repeated.value
         for batch in slices(batches, "text", SLICE):
             ids = batch.column(0).to_pylist()
             for doc, s in zip(ids, shingle_sets(*string_buffer(batch.column(1)), size), strict=True):
@@ -163,13 +193,13 @@ def _prefixes(size: int, percent: int, rarity, buckets: int, hot: int):
                 if not n or doc is None:
                     continue
                 fp = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                if fp in seen:  # one entry stands for the class of equal sets
+                if least is not None and _least_of(least, fp, doc) != doc or fp in seen:  # one entry stands for the class of equal sets
                     continue
                 seen.add(fp)
                 p = n - least_overlap(n, percent) + 1
                 first = s[np.argsort(_rarity(order, s), kind="stable")[:p]]
                 e = np.empty(p, dtype=ENTRY)
-                e["h"], e["doc"], e["fp"], e["n"], e["pos"] = first, doc, int.from_bytes(fp[:8], "little"), n, np.arange(p)
+                e["h"], e["doc"], e["fp"], e["n"], e["pos"] = first & mask, doc, int.from_bytes(fp[:8], "little") if least is None else 0, n, np.arange(p)
                 kept.append(e)
                 rows += p
             if rows > 400_000:
@@ -185,23 +215,31 @@ def _prefixes(size: int, percent: int, rarity, buckets: int, hot: int):
 
 def _dealt(kept: list[np.ndarray], buckets: int, order: np.ndarray, hot: int) -> pa.RecordBatch:
     e = np.concatenate(kept)
-    grain = e["fp"] % (1 + _slot_counts(order, e["h"]) // U64(hot))  # equal sets stay together
-    at = ((e["h"] + grain * U64(0x9E3779B97F4A7C15)) % U64(buckets)).astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    e, at = e[order], at[order]
+    grain = np.where(e["fp"] > 0, e["fp"], mix(e["doc"].view(U64))) % (1 + _slot_counts(order, e["h"]) // U64(hot))  # equal sets stay together
+    at = (((e["h"] >> U64(32)) * U64(buckets) >> U64(32)) + grain * U64(0x9E3779B97F4A7C15)) % U64(buckets)  # ranges: hashes begin alike
+    order = np.lexsort((e["doc"], at))
+    e, at = e[order], at[order].astype(np.int64)
     cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     ends = np.append(cut[1:], len(at))
     return pa.RecordBatch.from_arrays([pa.array(at[cut], pa.int64()), pa.array([_packed(e[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["bucket", "entries"])
 
 
 def _packed(e: np.ndarray) -> bytes:
-    """Entries byte by byte of all, first bytes first: numbers have few bytes that differ."""
-    return zstandard.ZstdCompressor(level=1).compress(e.view(np.uint8).reshape(len(e), -1).T.tobytes())
+    """Entries column by column, documents as differences."""
+    columns = [ints(np.diff(e[c].astype(U64), prepend=U64(0)) if c == "doc" else e[c]) for c in ENTRY.names]
+    return b"".join(len(x).to_bytes(4, "little") + x for x in columns)
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(ENTRY.itemsize, -1).T).reshape(-1).view(ENTRY)
+    columns = []
+    while blob:
+        end = 4 + int.from_bytes(blob[:4], "little")
+        columns.append(whole(blob[4:end]))
+        blob = blob[end:]
+    e = np.empty(len(columns[0]), dtype=ENTRY)
+    for c, x in zip(ENTRY.names, columns, strict=True):
+        e[c] = np.cumsum(x, dtype=U64).view(np.int64) if c == "doc" else x
+    return e
 
 
 def passes(n1, n2, pos1, pos2, percent: int):
@@ -216,21 +254,41 @@ def _passes(n1: Column, n2: Column, pos1: Column, pos2: Column, percent: int) ->
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - pos1, n2 - pos2) >= need)
 
 
+def partnered(group: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+    """Which members pass both filters with another one of their group? Groups ascend from 0.
+
+    Two pass if neither set is larger than the other one's position lets it be. So of the sets
+    that are small enough for a member, the one that takes the largest must take the member.
+    """
+    most = np.maximum((100 + percent) * (n - pos) // percent - n, 0)
+    bits = int(max(n.max(initial=0), most.max(initial=0))).bit_length()
+    order = np.argsort(group << bits | n, kind="stable")
+    sizes, takes = (group << bits | n)[order], (group << bits | most)[order]
+    first = np.maximum.accumulate(takes)  # so far, in the group: a later group's are larger
+    second = np.maximum.accumulate(np.minimum(takes, np.concatenate([takes[:1] * 0, first[:-1]])))
+    end = np.searchsorted(sizes, takes, side="right") - 1
+    own = takes >= sizes  # a member that takes its own size is the first or second itself
+    out = np.empty(len(n), dtype=bool)
+    out[order] = (end >= 0) & (np.where(own, second[end], first[end]) >= sizes)
+    return out
+
+
 FOUND = "h long, doc long, n int, pos int, centre long, passes boolean, spread boolean"
 
 
 def _groups(percent: int, rarity, hot: int):
     def run(table: pa.Table) -> pa.Table:
         e = np.concatenate([_unpacked(x.as_py()) for x in table["entries"]])
-        e = e[np.lexsort((e["doc"], e["fp"], e["h"]))]
-        e = e[np.concatenate([[True], (e["h"][1:] != e["h"][:-1]) | (e["fp"][1:] != e["fp"][:-1])])]  # equal sets: the least document
+        e = e[np.lexsort((e["pos"], e["n"], e["doc"], e["fp"], e["h"]))]
+        new = {c: e[c][1:] != e[c][:-1] for c in ENTRY.names}
+        e = e[np.concatenate([[True], new["h"] | new["fp"] | (e["fp"][1:] == 0) & (new["doc"] | new["n"])])]  # equal sets: the least document
         e = e[np.lexsort((e["doc"], e["h"]))]
-        head = np.concatenate([[True], e["h"][1:] != e["h"][:-1]])
-        group = np.cumsum(head) - 1
-        centre = np.flatnonzero(head)[group]
         spread = _slot_counts(rarity.value, e["h"]) >= hot
-        many = (np.bincount(group)[group] > 1) | spread
-        e, c, spread = e[many], e[centre[many]], spread[many]
+        group = np.cumsum(np.concatenate([[True], e["h"][1:] != e["h"][:-1]])) - 1
+        many = partnered(group, e["n"].astype(np.int64), e["pos"].astype(np.int64), percent) | spread
+        e, spread = e[many], spread[many]
+        head = np.concatenate([[True], e["h"][1:] != e["h"][:-1]])[: len(e)]
+        c = e[np.flatnonzero(head)[np.cumsum(head) - 1]]
         ok = passes(e["n"].astype(np.int64), c["n"].astype(np.int64), e["pos"], c["pos"], percent)
         return pa.table({"h": e["h"].copy().view(np.int64), "doc": e["doc"], "n": e["n"], "pos": e["pos"], "centre": c["doc"], "passes": ok, "spread": spread})
 
@@ -390,20 +448,22 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     measured = materialize(docs.mapInArrow(_measure(size, bits), "doc_id long, n long, fp binary, piece long, counts binary"), "jaccard-sets")
     own = measured.where("fp is not null")
     classes = own.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    classes = materialize(classes.where("copies > 1"), "jaccard-classes")
     rarity = spark.sparkContext.broadcast(document_counts(measured, bits)) if measured.where("counts is not null").take(1) else None
     if rarity is None:
         return own.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     entries = own.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0]
     buckets = max(4 * exchange_width(spark), -(-entries // BUCKET_ENTRIES))
-    dealt = docs.mapInArrow(_prefixes(size, percent, rarity, buckets, HOT), "bucket long, entries binary").repartition(-(-buckets // 4), "bucket")
+    repeated = spark.sparkContext.broadcast(_repeated(classes))
+    dealt = docs.mapInArrow(_prefixes(size, percent, rarity, buckets, HOT, hash_bits(entries, bits), repeated), "bucket long, entries binary").repartition(-(-buckets // 4), "bucket")
     found = materialize(dealt.groupBy("bucket").applyInArrow(_groups(percent, rarity, HOT), FOUND), "jaccard-groups")
 
     # The least ones of a hot n-gram's buckets and the least of all.
     local = found.where("spread and doc = centre").select("h", "doc", "n", "pos")
     least = local.groupBy("h").agg(F.min(F.struct("doc", "n", "pos")).alias("c"))
-    hot = local.join(least, "h").where("doc != c.doc").select(F.col("doc").alias("u"), F.col("c.doc").alias("v"), _passes(F.col("n"), F.col("c.n"), F.col("pos"), F.col("c.pos"), percent).alias("passes"))
-    members = found.where("doc != centre").select(F.col("doc").alias("u"), F.col("centre").alias("v"), "passes")
-    stars = materialize(members.union(hot).groupBy("u", "v").agg(F.max("passes").alias("passes")), "jaccard-stars")
+    hot = local.join(least, "h").where("doc != c.doc").select("h", F.col("doc").alias("u"), F.col("c.doc").alias("v"), _passes(F.col("n"), F.col("c.n"), F.col("pos"), F.col("c.pos"), percent).alias("passes"))
+    met = found.where("doc != centre").select("h", F.col("doc").alias("u"), F.col("centre").alias("v"), "passes").union(hot)
+    stars = materialize(met.groupBy("u", "v").agg(F.max("passes").alias("passes")), "jaccard-stars")
     texts = texts_of(spark, docs, found.select("doc").distinct(), size)
     first = materialize(verify(stars.where("passes").select("u", "v"), texts, size, percent), "jaccard-links")
     joined = components(first)
@@ -411,13 +471,12 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     # Members of a group in different components meet a second one first: the member that shares the rarest of its
     # n-grams, which has the least of its own and links to most. Then their pairs across components that are left.
     place = lambda df, key, out: df.join(joined.select(F.col("u").alias(key), F.col("v").alias("_to")), key, "left").withColumn(out, F.coalesce("_to", key)).drop("_to")
-    apart = place(place(stars.select("u", "v"), "u", "cu"), "v", "cv").where("cu != cv")
-    loose = materialize(apart.select(F.explode(F.array("u", "v")).alias("doc")).distinct(), "jaccard-loose")
-    if loose.take(1):
-        open_groups = found.join(loose, "doc", "left_semi").select("h").distinct()
+    apart = materialize(place(place(stars.select("u", "v"), "u", "cu"), "v", "cv").where("cu != cv").select("u", "v"), "jaccard-apart")
+    if apart.take(1):
+        open_groups = met.join(apart, ["u", "v"], "left_semi").select("h").distinct()  # those of several components
         own_ones = found.groupBy("doc").agg(F.min("pos").alias("alone"))
         member = found.join(open_groups, "h", "left_semi").select("h", "doc", "n", "pos").join(own_ones, "doc")
-        member = _mixed(place(member, "doc", "c"))
+        member = materialize(place(member, "doc", "c"), "jaccard-members")
         best = member.groupBy("h").agg(F.min(F.struct("alone", "doc", "n", "pos", "c")).alias("b"))
         second = member.join(best, "h").where((F.col("c") != F.col("b.c")) & _passes(F.col("n"), F.col("b.n"), F.col("pos"), F.col("b.pos"), percent))
         second = second.select(F.greatest("doc", "b.doc").alias("u"), F.least("doc", "b.doc").alias("v")).distinct()
@@ -438,9 +497,9 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
             joined = components(links.union(third))
     # A class of equal sets went by one of its documents; its name, and its component's, is the least of all.
     # Copies of one text share a key: it is salted, with a class row for each grain of salt.
-    salted = classes.where("copies > 1").select("fp", "class_id", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt"))
+    salted = classes.select("fp", "class_id", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt"))
     named = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")).join(salted, ["fp", "salt"], "left")
-    named = named.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).alias("class_id"))
+    named = materialize(named.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).alias("class_id")), "jaccard-named")
     nodes = joined.union(joined.select(F.col("v").alias("u"), "v").distinct())
     nodes = materialize(nodes.join(named.select(F.col("doc_id").alias("u"), "class_id").distinct(), "u").select("class_id", "v"), "jaccard-nodes")
     least = nodes.groupBy("v").agg(F.min("class_id").alias("_to"))
