@@ -484,7 +484,7 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
         second = materialize(second.join(tried, ["u", "v"], "left_anti"), "jaccard-pairs")
         links = first.union(materialize(verify(second, texts, size, percent), "jaccard-links"))
         joined = components(links)
-        member = _mixed(place(member.drop("c"), "doc", "c"))
+        member = _mixed(materialize(place(member.drop("c"), "doc", "c"), "jaccard-members"))  # read twice
         other = member.select("h", *[F.col(x).alias(f"{x}2") for x in ("doc", "n", "pos", "c")])
         pairs = (
             member.join(other, "h").where("c < c2")
