@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,29 +37,128 @@ from .textops import kept, slices
 WINDOW = 4096
 END_ID = 2
 POOL_TOKENS = 3_000_000
+FIRST = 128  # neighbours that are put in order at first, the others when these are used
 COMMON = 32  # a term is common if over one in so many documents has it
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _END = " end "  # no word has a space
 _MARK = "\x02"
+_SPECIAL = "<|"  # special tokens begin so, and are seen before letters get lower case
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # how the tokenizer cuts pieces
+_LETTERS, _NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"  # of Latin-1, in lower case
+_PIECES = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\n{_LETTERS}{_NUMBERS}]+")  # the same for such words in lines
+_PLAIN = re.compile(r"[!-@\[-~\u00a1-\u00bf\u00d7\u00df-\u00ff]{0,100}")  # printable Latin-1 without upper case
 
 
 def _byte_names() -> dict[int, str]:
     """Characters that byte-level vocabularies write for bytes: printable ones as they are, others from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(256 + i) for i, b in enumerate(hidden) if b != 32}
+    return {b: chr(256 + i) for i, b in enumerate(hidden)} | {b: chr(b) for b in shown}
 
 
 _BYTES = _byte_names()
 
 
+class Merges:
+    """Byte-pair merges of many pieces at once: each round joins, in every piece, the first pair of the lowest rank.
+
+    A block is a matrix with a column per piece and a row per byte between two empty rows. A
+    joined symbol stands where its first byte was; ranks of pairs are in a table by hash.
+    """
+
+    BLOCK, BITS = 4096, 18
+    GONE, NONE = np.uint32(0xFFFF), 1 << 22  # no symbol, no rank
+
+    def __init__(self, model: dict):
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.symbol = np.array([[vocab[_BYTES[b] + x] for b in range(256)] for x in ("", end)], dtype=np.uint32)
+        self.joined = np.array([vocab[a + b] for a, b in pairs], dtype=np.uint32)
+        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], dtype=np.uint32)
+        held, size = {}, 1 << self.BITS
+        for rank, slot in enumerate(self._slots(keys).tolist()):
+            while slot in held:
+                slot = (slot + 1) % size
+            held[slot] = rank
+        self.keys, self.ranks = np.full(size, 0xFFFFFFFF, dtype=np.uint32), np.full(size, self.NONE, dtype=np.int32)
+        slots, ranks = np.array(list(held)), np.array(list(held.values()))
+        self.keys[slots], self.ranks[slots] = keys[ranks], ranks
+        left = np.repeat(self.symbol[0], 256)
+        self.bytes = np.concatenate([self.rank(left, np.tile(x, 256)) for x in self.symbol])  # of pairs of bytes, then of those that end a piece
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint32(2654435761)) >> np.uint32(32 - self.BITS)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols, ``NONE`` where they don't join."""
+        key = left << np.uint32(16) | right
+        slot = self._slots(key)
+        held, out = self.keys[slot], self.ranks[slot]
+        other = held != key
+        out[other] = self.NONE
+        rest = np.flatnonzero(other & (held != 0xFFFFFFFF))
+        while len(rest):
+            slot[rest] = (slot[rest] + np.uint32(1)) & np.uint32((1 << self.BITS) - 1)
+            held = self.keys[slot[rest]]
+            same = held == key[rest]
+            out[rest[same]] = self.ranks[slot[rest[same]]]
+            rest = rest[~same & (held != 0xFFFFFFFF)]
+        return out
+
+    def _block(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, width = len(starts), int(sizes.max())
+        row = np.arange(width, dtype=np.int32)[:, None]
+        byte = raw.take(starts + row, mode="clip")
+        ends = (row == sizes - 1).astype(np.int32)
+        sym = np.full((width + 2, n), self.GONE, dtype=np.uint32)
+        sym[1:-1] = np.where(row < sizes, self.symbol[ends, byte], self.GONE)
+        value = np.full((width + 2, n), self.NONE << 8, dtype=np.int32)  # rank and row of the pair that begins here
+        value += np.arange(width + 2, dtype=np.int32)[:, None]
+        ranks = self.bytes[(ends[1:] << 16) + (byte[:-1].astype(np.int32) << 8) + byte[1:]]
+        value[1:-2] = np.where(row[1:] < sizes, ranks << 8, self.NONE << 8) + row[1:]
+        place = np.arange((width + 2) * n, dtype=np.int32)
+        after, before = place + np.int32(n), place - np.int32(n)
+        flat, least = sym.reshape(-1), value.reshape(-1)
+        while True:
+            best = value.min(axis=0)
+            column = np.flatnonzero(best < self.NONE << 8)
+            if not len(column):
+                break
+            best = best[column]
+            a = (best & 255) * n + column
+            made, b, left = self.joined[best >> 8], after[a], before[a]
+            right = after[b]
+            flat[a], flat[b] = made, self.GONE
+            after[a], before[right] = right, a
+            ranks = self.rank(np.concatenate([flat[left], made]), np.concatenate([made, flat[right]])) << 8
+            least[b] |= self.NONE << 8
+            least[left] = ranks[: len(a)] + (least[left] & 255)
+            least[a] = ranks[len(a) :] + (best & 255)
+        sym = sym[1:-1].T
+        there = sym != self.GONE
+        return sym[there], there.sum(axis=1)
+
+    def encode(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after the other, and how many each has. A piece has 1 to 254 bytes."""
+        order = np.argsort(sizes, kind="stable")
+        cuts = [order[i : i + self.BLOCK] for i in range(0, len(order), self.BLOCK)]
+        found = [self._block(raw, starts[x], sizes[x].astype(np.int32)) for x in cuts]
+        ids = np.concatenate([np.zeros(0, dtype=np.uint32), *[x for x, _ in found]])
+        some = np.concatenate([np.zeros(0, dtype=np.int64), *[x for _, x in found]])
+        many, first = np.empty_like(some), np.empty_like(some)
+        many[order], first[order] = some, np.cumsum(some) - some
+        at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(len(ids))
+        return ids[at], many
+
+
 class WordEncoder:
     """Token ids of texts, by the public tokenizer, with each distinct word encoded once.
 
     The tokenizer never joins across white space, so a text's ids are those of its pieces
     between spaces and line feeds, one after the other. It lower-cases, so texts of Latin-1
-    characters, whose lower case depends on no neighbour, are lower-cased before the split.
+    characters, whose lower case depends on no neighbour, are lower-cased before the split
+    (but for texts where a special token may stand, which only counts as it is written).
     The table of words outlives a task: a Python worker keeps it until it grows too large.
     """
 
@@ -70,17 +170,27 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._ids(_MARK)
-        # The model alone, for words whose pieces need no further cutting; a word's last token says so in its name.
         with open(path) as f:
             parts = json.load(f)
-        self.plain = None
-        suffix = parts["model"].get("end_of_word_suffix")
-        if suffix and [x["type"] for x in parts["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
-            self.plain = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
-            self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-            self.closes[[i for t, i in parts["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.merges = Merges(parts["model"]) if self._known(parts) else None
         self._reset()
 
+    @staticmethod
+    def _known(parts: dict) -> bool:
+        """Whether the tokenizer is one whose pieces ``_learn`` can cut and ``Merges`` can encode."""
+        model, steps = parts["model"], [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
+        cutter = [(x["type"], x.get("pattern"), x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        return (
+            model["type"] == "BPE"
+            and bool(end := model.get("end_of_word_suffix"))
+            and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "ignore_merges"))
+            and steps == ["NFC", "Replace", "Lowercase"]
+            and cutter == [("Split", {"Regex": _CUT}, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
+            and all(x["content"].startswith(_SPECIAL) for x in parts["added_tokens"])
+            and all(x in model["vocab"] for b in _BYTES.values() for x in (b, b + end))
+            and max(model["vocab"].values()) < Merges.GONE
+        )
+
     def _reset(self) -> None:
         self.codes, self.stored = _Codes(), 0
         self.ids, self.first, self.size = array("i", [END_ID]), array("i", [0]), array("i", [1])
@@ -90,15 +200,10 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words: those of Latin-1 letters by the model alone, others in one text with marks between."""
-        simple, rest, cuts = [], [], []
+        """Encode new words: those that are cut into pieces here by the merges, others in one text with marks between."""
+        plain, rest = [], []
         for i, w in enumerate(words):
-            stem = w[:-1] if w[-1:] in (",", ".") else w
-            if stem.isalpha() and (w.isascii() or max(w) < "\u0100") and w == w.lower() and self.plain is not None:
-                simple.append(i)
-                cuts.append(stem if stem is w else f"{stem} {w[-1]}")
-            else:
-                rest.append(i)
+            (plain if self.merges is not None and _PLAIN.fullmatch(w) and _SPECIAL not in w else rest).append(i)
         first, size = np.zeros(len(words), dtype=np.int32), np.zeros(len(words), dtype=np.int32)
 
         def store(which: list[int], found: np.ndarray, ends: np.ndarray) -> None:
@@ -106,13 +211,14 @@ class WordEncoder:
             first[which], size[which] = starts + len(self.ids), ends - starts
             self.ids.frombytes(found.astype(np.int32).tobytes())
 
-        if simple:
-            text = " ".join(cuts)
-            if not text.isascii():
-                text = text.encode().decode("latin-1").translate(_BYTES)
-            found = np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype=np.int32)
-            ends = np.flatnonzero(self.closes[found]) + 1
-            store(simple, found, ends[np.cumsum([1 + (" " in c) for c in cuts]) - 1])  # a stop or comma is a piece of its own
+        if plain:
+            pieces = _PIECES.findall("\n".join([words[i] for i in plain]) + "\n")
+            raw = np.frombuffer((" ".join(pieces) + " ").encode(), dtype=np.uint8)
+            stops = np.flatnonzero(raw == 32)
+            starts = np.concatenate([[0], stops[:-1] + 1])
+            line, many = raw[starts] == 10, np.zeros(len(starts), dtype=np.int64)
+            found, many[~line] = self.merges.encode(raw, starts[~line], (stops - starts)[~line])
+            store(plain, found, np.cumsum(many)[line])
         if rest:
             if any(_MARK in words[i] for i in rest) or len(self.mark) != 1:
                 parts = [self._ids(words[i]) for i in rest]
@@ -134,7 +240,7 @@ class WordEncoder:
         upto = np.zeros(len(texts) + 1, dtype=np.int64)
         for i, t in enumerate(texts):
             if t:
-                if _is_latin(t):
+                if _SPECIAL not in t and _is_latin(t):
                     t = t.lower()
                 words += t.replace("\n", " ").split(" ")
             words.append(_END)
@@ -144,8 +250,8 @@ class WordEncoder:
             for at in range(0, len(fresh), 20_000):
                 self._learn(fresh[at : at + 20_000])
             self.codes.fresh = []
-        table = np.array(self.ids, dtype=np.int32)
-        first, length = np.array(self.first, dtype=np.int32)[code], np.array(self.size, dtype=np.int32)[code]
+        table, first, length = (np.frombuffer(x, dtype=np.int32) for x in (self.ids, self.first, self.size))
+        first, length = first[code], length[code]
         total = np.zeros(len(code) + 1, dtype=np.int32)
         np.cumsum(length, out=total[1:])
         first -= total[:-1]
@@ -201,8 +307,11 @@ class Shard:
         self.doc, self.by_term = doc[order], weight[order]
         self.terms = np.searchsorted(term[order], np.arange((1 << 16) + 1))
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, by the score of all its terms, best first; ties to the earlier."""
+    def neighbours(self, seed: int, used: np.ndarray, first: int | None = None) -> np.ndarray:
+        """Unused documents that share a term with the seed, by the score of all its terms, best first; ties to the earlier.
+
+        With ``first``, only so many of them, and those that tie with the last.
+        """
         terms = self.term[self.rows[seed] : self.rows[seed + 1]]
         column = self.column[terms]
         stay = ~used[self.free]
@@ -218,6 +327,9 @@ class Shard:
         for a, b in lists:
             score[self.doc[a:b]] += self.by_term[a:b]
         found = np.flatnonzero((score > 0) & ~used)
+        if first is not None and first < len(found):
+            best = score[found]
+            found = found[best >= np.partition(best, len(best) - first)[len(best) - first]]
         return found[np.argsort(-score[found], kind="stable")]
 
 
@@ -249,7 +361,7 @@ class Packer:
         used, start = np.zeros(len(docs), dtype=bool), [x[2] for x in docs]
         seed = turn = 0
         while left >= WINDOW:
-            filled, queue, k = 0, None, 0
+            filled, queue, k, some = 0, None, 0, True
             now = seed
             while filled < WINDOW:
                 doc = docs[now]
@@ -261,9 +373,11 @@ class Packer:
                 if start[now] < len(doc[1]):
                     break  # the window is full; what is left of this document seeds the next
                 if queue is None and filled < WINDOW:
-                    queue = shard.neighbours(seed, used)
+                    queue = shard.neighbours(seed, used, FIRST)
                 while queue is not None and k < len(queue) and used[queue[k]]:
                     k += 1
+                if queue is not None and k == len(queue) and some:
+                    queue, k, some = shard.neighbours(seed, used), 0, False  # all the others
                 if queue is not None and k < len(queue):
                     now = queue[k]
                 else:

@@ -52,6 +52,47 @@ def test_edges(spark):
     assert packing.pack(df.limit(0), PATH).count() == 0
 
 
+def test_plain_words_need_no_library():
+    """Words of printable Latin-1 are cut and merged here, to the library's ids."""
+    pick = np.random.RandomState(5)
+    letters = [chr(c) for c in range(33, 256) if chr(c).isprintable() and not chr(c).isspace()] + list("etaoinsrh'.,#*" * 12)
+    words = ["".join(pick.choice(letters, pick.randint(1, 14))) for _ in range(20_000)]
+    words += ["", "aaaaaaaaaa", "th" * 50, "\u00ff" * 100, "it's", "--'s", "we'LL'VE", "x86\u00b2\u00bd", "\u00aa\u00b5\u00ba\u00d7\u00f7", "onat.###"]
+    text = " ".join(w for w in words if "<|" not in w)
+    want = ids_of(text)
+    encoder = packing.WordEncoder(PATH)
+    encoder.tokenizer = None
+    ids, offsets = encoder.encode([text, "the\nsame  " + text])
+    assert ids[: offsets[1]].tolist() == want
+    assert ids[offsets[1] :].tolist() == ids_of("the same")[:-1] + want
+
+
+@pytest.mark.parametrize("text", ["<|ENDOFTEXT|>", "A<|EndOfText|>B <|x", "A <|endoftext|> B", "A<|startoftext|>\u00c9", "\u0394<|ENDOFTEXT|>", "x" * 101 + " " + "\u00fc" * 130 + "!"])
+def test_special_tokens_and_long_words(text):
+    """Special tokens count as they are written only; a long word is the library's."""
+    assert packing.WordEncoder(PATH).encode([text])[0].tolist() == ids_of(text)
+
+
+def test_first_neighbours_decide_nothing(monkeypatch):
+    """The best neighbours, put in order first, are a head of all; windows that use them up go on with the others."""
+    pick = np.random.RandomState(4)
+    docs = [np.minimum(pick.zipf(1.3, pick.randint(1, 30)), 3000).astype(np.uint32) for _ in range(2000)]
+    ids, offsets = np.concatenate(docs), np.cumsum([0, *map(len, docs)])
+    shard, used = packing.Shard(ids, offsets), np.zeros(2000, dtype=bool)
+    used[9] = True
+    every, some = shard.neighbours(9, used).tolist(), shard.neighbours(9, used, 5).tolist()
+    assert 5 <= len(some) < len(every) and some == every[: len(some)]
+    found = []
+    for first in (1, 50, 10_000):
+        monkeypatch.setattr(packing, "FIRST", first)
+        packer = packing.Packer(0)
+        packer.add(list(range(2000)), ids, offsets)
+        packer.pack()
+        packer.close()
+        found.append(packer.batch())
+    assert found[0].equals(found[2]) and found[1].equals(found[2])
+
+
 def test_neighbours_share_terms():
     ids = np.array([5, 6, 7, 5, 6, 7, 8, 9, 10, 7, 8, 9], dtype=np.uint32)
     shard = packing.Shard(ids, np.array([0, 3, 6, 9, 12]))
